@@ -52,3 +52,11 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with the lineage cut at a reliable checkpoint."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """The same rows, written once as Parquet in the shared scratch space and read back."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
