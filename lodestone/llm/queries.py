@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe_trie, media_ogg, token_count, token_files
+from lodestone.llm import bpe_trie, media_ogg, oracles, quality_rules, token_count, token_files
 from lodestone.session import table
 
 
@@ -26,11 +26,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_bpe_trie": op5_bpe_trie,
     "op6_ogg_media": op6_ogg_media,
     "op7_token_counts": op7_token_counts,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_quality_rules": oracles.QUALITY_RULES,
+}
