@@ -43,3 +43,49 @@ QUALITY_RULES = f"""WITH {quality_features()}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   (NOT base_failed AND reject_level > coalesce(level, 0)) AS kept, stratum, reject_level
 FROM judged LEFT JOIN levels USING (stratum)"""
+
+
+def _weights(level: str) -> str:
+    from lodestone.llm.mixing import Recipe
+
+    whens = " ".join(f"WHEN '{k}' THEN {v}" for k, v in Recipe().weights[level].items())
+    return f"CASE {level} {whens} ELSE 1 END"
+
+
+def _share(path: tuple[str, ...], parents: tuple[str, ...], nodes: str, given: str) -> str:
+    """The water level of each family, found by trying every child as the first that is not full."""
+    level, name = path[-1], "_".join(path)
+    on = " AND ".join(f"x.{p} = y.{p}" for p in parents) or "true"
+    keys = ", ".join(path)
+    fam = ", ".join(parents) or "1"
+    return f"""
+n_{name} AS (SELECT a.*, b.budget FROM (SELECT {keys}, sum(cap) AS cap, ({_weights(level)}) AS weight FROM {nodes} GROUP BY {keys}) a {f'JOIN {given} b USING ({", ".join(parents)})' if parents else f', {given} b'}),
+o_{name} AS (SELECT *, row_number() OVER (PARTITION BY {fam} ORDER BY cap / weight, {level}) AS k FROM n_{name}),
+p_{name} AS (SELECT x.*, x.budget - coalesce((SELECT sum(y.cap) FROM o_{name} y WHERE {on} AND y.k < x.k), 0) AS left_over, (SELECT sum(y.weight) FROM o_{name} y WHERE {on} AND y.k >= x.k) AS others FROM o_{name} x),
+q_{name} AS (SELECT *, (cap * others <= weight * left_over) AS is_full FROM p_{name}),
+s_{name} AS (SELECT *, budget - coalesce(sum(cap) FILTER (WHERE is_full) OVER (PARTITION BY {fam}), 0) AS r, sum(weight) FILTER (WHERE NOT is_full) OVER (PARTITION BY {fam}) AS w FROM q_{name}),
+u_{name} AS (SELECT *, CASE WHEN is_full THEN cap ELSE (r * weight) // w END AS least_, CASE WHEN is_full THEN -1 ELSE (r * weight) % w END AS rest FROM s_{name}),
+v_{name} AS (SELECT *, budget - sum(least_) OVER (PARTITION BY {fam}) AS more, row_number() OVER (PARTITION BY {fam} ORDER BY rest DESC, {level}) AS place FROM u_{name}),
+g_{name} AS (SELECT {keys}, least_ + CASE WHEN NOT is_full AND place <= more THEN 1 ELSE 0 END AS budget FROM v_{name})"""
+
+
+def mixing(docs: str = "documents") -> str:
+    from lodestone.llm.mixing import Recipe
+
+    r = Recipe()
+    return f"""m AS (SELECT doc_id, CASE WHEN source IS NULL OR num IS NULL THEN 'other' WHEN num < 10 THEN 'web' WHEN num < 15 THEN 'books' ELSE 'forums' END AS domain,
+  coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens, md5(coalesce(text, '')) AS digest
+  FROM (SELECT *, try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS num FROM {docs})),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, sum(n_tokens)::HUGEINT * {r.max_epochs} AS cap FROM m GROUP BY ALL),
+root AS (SELECT least(sum(tokens), sum(cap)) AS budget FROM leaves),
+{_share(("domain",), (), "leaves", "root")},
+{_share(("domain", "lang"), ("domain",), "leaves", "g_domain")},
+{_share(("domain", "lang", "source"), ("domain", "lang"), "leaves", "g_domain_lang")},
+b AS (SELECT l.domain, l.lang, l.source, coalesce(budget // nullif(tokens, 0), 0) AS full_epochs, coalesce(budget % nullif(tokens, 0), 0) AS part FROM leaves l JOIN g_domain_lang_source USING (domain, lang, source)),
+o AS (SELECT m.*, full_epochs, part, md5(concat_ws('|', '{r.seed}', full_epochs::VARCHAR, coalesce(doc_id::VARCHAR, ''), digest)) AS okey FROM m JOIN b USING (domain, lang, source)),
+a AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY okey, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM o),
+mixed AS (SELECT doc_id, domain, lang, source, n_tokens, full_epochs::BIGINT AS full_epochs, least(n_tokens, greatest(0, part - ahead))::BIGINT AS part_tokens FROM a)"""
+
+
+MIXING = f"""WITH {mixing()}
+SELECT *, full_epochs * n_tokens + part_tokens AS taken_tokens FROM mixed"""

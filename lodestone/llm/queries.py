@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe_trie, media_ogg, oracles, quality_rules, token_count, token_files
+from lodestone.llm import bpe_trie, media_ogg, mixing, oracles, quality_rules, sharding, token_count, token_files
 from lodestone.session import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_histogram_sort": op2_histogram_sort,
     "op4_token_files": op4_token_files,
     "op5_bpe_trie": op5_bpe_trie,
     "op6_ogg_media": op6_ogg_media,
@@ -39,5 +49,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_mixing": oracles.MIXING,
     "op10_quality_rules": oracles.QUALITY_RULES,
 }
