@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe_trie, line_dedup, media_ogg, mixing, oracles, quality_rules, sharding, token_count, token_files
+from lodestone.llm import bpe_trie, line_dedup, media_ogg, mixing, ngram_join, oracles, quality_rules, sharding, token_count, token_files
 from lodestone.session import table
 
 
@@ -34,6 +34,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_trie": op5_bpe_trie,
     "op6_ogg_media": op6_ogg_media,
     "op7_token_counts": op7_token_counts,
+    "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
