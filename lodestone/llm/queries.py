@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import bpe_trie, line_dedup, media_ogg, mixing, ngram_join, oracles, quality_rules, sharding, token_count, token_files
+from lodestone.llm import bpe_trie, line_dedup, media_ogg, mixing, ngram_join, oracles, pii, quality_rules, sharding, token_count, token_files
 from lodestone.session import table
 
 
@@ -18,6 +18,10 @@ def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_histogram_sort": op2_histogram_sort,
+    "op3_pii_field": op3_pii_field,
     "op4_token_files": op4_token_files,
     "op5_bpe_trie": op5_bpe_trie,
     "op6_ogg_media": op6_ogg_media,
