@@ -30,6 +30,7 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.vocab import _PLAIN, BYTE_LEVEL, byte_chars, place, slices
 from lodestone.session import ship
@@ -269,7 +270,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = c.encode_many(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
 
-    return docs.mapInArrow(run, docs.schema.add("ids", "array<int>"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -286,7 +287,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
             text = [None if x is None else c.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*names, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from lodestone.session import ship
 
@@ -182,7 +183,7 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs with a binary column ``media`` in place of the text."""
     ship(docs.sparkSession)
     rest = [c for c in docs.columns if c != text]
-    schema = docs.select(*rest).schema.add("media", "binary")
+    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField("media", T.BinaryType())])
 
     def run(batches):
         for b in batches:
