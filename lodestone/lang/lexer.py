@@ -20,11 +20,12 @@ class SyntaxProblem(ValueError):
 
 @dataclass
 class Source:
-    """A token list: kinds, strings, lines, and for each bracket the place of its partner."""
+    """A token list: kinds, strings, lines, offsets, and for each bracket the place of its partner."""
 
     kind: list[str] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
     line: list[int] = field(default_factory=list)
+    at: list[int] = field(default_factory=list)
     mate: dict[int, int] = field(default_factory=dict)
 
     def written(self, a: int, b: int) -> str:
@@ -87,6 +88,7 @@ def lex(text: str) -> Source:
             s.kind.append(kind)
             s.text.append(piece)
             s.line.append(line)
+            s.at.append(at)
         line += piece.count("\n")
         at = end
     if open_:
