@@ -73,6 +73,8 @@ pub struct Take<'info> {
     )]
     pub locker: Account<'info, Locker>,
     pub owner: Signer<'info>,
+    #[account(mut)]
+    pub fee_token: Account<'info, TokenAccount>,
 }
 
 #[account]

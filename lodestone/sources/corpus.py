@@ -33,8 +33,8 @@ def source_tree(spark: SparkSession, root: str, suffix: str = "rs") -> DataFrame
     """(path, text) of the files below a folder, without build output and dot entries; a missing root is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").load(root)
     base = root.rstrip("/")
-    below = F.substring_index("path", F.lit(base + "/"), -1)
-    kept = files.select(below.alias("path"), F.decode("content", F.lit("UTF-8")).alias("text")).where(~F.rlike("path", F.lit(r"(^|/)(\.[^/]*|target)(/|$)")))
+    below = F.substring_index("path", base.rsplit(":", 1)[-1].rstrip("/") + "/", -1)
+    kept = files.select(below.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")).where(~F.rlike("path", F.lit(r"(^|/)(\.[^/]*|target)(/|$)")))
     return kept.orderBy("path")
 
 
