@@ -27,6 +27,7 @@ class Program:
 
     handlers: DataFrame
     structs: DataFrame
+    states: DataFrame
     decls: DataFrame
     constraints: DataFrame
     fields: DataFrame
@@ -79,4 +80,4 @@ def program(files: DataFrame) -> Program:
         .unionByName(note(more_states, "ambiguity", F.concat(F.lit("state struct `"), "name", F.lit("` is defined again"))))
         .unionByName(note(unknown, "skipped", F.concat(F.lit("handler `"), "name", F.lit("` takes the unknown context `"), "context_ty", F.lit("`"))))
     )
-    return Program(handlers, structs, decls, constraints, fields, diagnostics)
+    return Program(handlers, structs, states, decls, constraints, fields, diagnostics)

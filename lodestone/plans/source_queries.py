@@ -55,3 +55,11 @@ def mutation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mutation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(files(spark).where("program = 'locker'")).summary
+
+
+@query()
+def review_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.lang.units import units
+
+    f = files(spark)
+    return units(program(f), f).select("program", "handler", "line", F.length("source").alias("source_chars"), "query")
