@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.vocab import _PLAIN, BYTE_LEVEL, byte_chars, place, slices
+from lodestone.llm.memory import bounded, returned
 from lodestone.session import ship
 
 _CODECS: dict[str, "TrieCodec"] = {}
@@ -41,7 +42,7 @@ _CODECS: dict[str, "TrieCodec"] = {}
 class TrieCodec:
     """A byte-level vocabulary with its merges: encodes by trie, decodes by table."""
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = {c: b for b, c in byte_chars().items()}
@@ -178,9 +179,9 @@ class TrieCodec:
                 at -= size[n]
             out.append(tuple(reversed(got)))
             before = word
-        if len(pair) > 1_000_000:
+        if len(pair) > 300_000:
             pair.clear()
-        if len(seen) > 100_000:
+        if len(seen) > 50_000:
             seen.clear()
         return out
 
@@ -258,7 +259,7 @@ def codec(path: str) -> TrieCodec:
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The rows of docs with an array column ``ids``."""
-    ship(docs.sparkSession)
+    bounded(ship(docs.sparkSession))
     path = path or place("byte_bpe_50k.json")
     names = [c for c in docs.columns if c != "ids"]
     docs = docs.select(*names)
@@ -270,12 +271,12 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = c.encode_many(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(lambda batches: returned(run(batches)), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     """The rows with a string column ``decoded`` made from their ``ids``."""
-    ship(rows.sparkSession)
+    bounded(ship(rows.sparkSession))
     path = path or place("byte_bpe_50k.json")
     names = [c for c in rows.columns if c != "decoded"]
     rows = rows.select(*names)
@@ -287,12 +288,12 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
             text = [None if x is None else c.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*names, "decoded"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+    return rows.mapInArrow(lambda batches: returned(run(batches)), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row a document: its count of tokens and the hashes of its ids and of their decoded text."""
-    ship(docs.sparkSession)
+    bounded(ship(docs.sparkSession))
     path = path or place("byte_bpe_50k.json")
 
     def run(batches):
@@ -307,4 +308,4 @@ def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
         back = [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]
         return pa.RecordBatch.from_arrays([keys, pa.array([len(x) for x in ids], pa.int64()), pa.array(named), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: returned(run(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

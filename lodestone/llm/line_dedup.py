@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.memory import bounded, returned
 from lodestone.session import ship, stored
 
 MIN_CHARS = 20
@@ -141,7 +142,7 @@ def _near(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     """The first places of lines that have an earlier one within one edit."""
     flags = stored(_candidates(distinct), "candidates")
     lines = stored(_lines(docs, min_chars).join(_small(flags), ["d", "l"]).select("d", "l", "t", "sub_p", "sub_s", "del_p", "del_s", "short").dropDuplicates(["d", "l"]), "near-lines")
-    keys = stored(lines.mapInArrow(_emit, "key long, role byte, d long, l int"), "variants")
+    keys = stored(lines.mapInArrow(lambda batches: returned(_emit(batches)), "key long, role byte, d long, l int"), "variants")
     first = lambda role: F.min(F.when(F.col("role") == role, F.struct("d", "l")))
     groups = keys.groupBy("key").agg(first(0).alias("sub"), first(1).alias("short"), first(2).alias("long"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     own = F.struct("d", "l")
@@ -154,7 +155,7 @@ def _near(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
 
 def kept_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The places (d, l) of the lines that stay among those that count; d is doc_id, null as the least long."""
-    ship(docs.sparkSession)
+    bounded(ship(docs.sparkSession))
     distinct = stored(_distinct(_lines(docs, min_chars)), "lines")
     return distinct.select("d", "l").join(_near(docs, distinct, min_chars), ["d", "l"], "left_anti")
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.llm.memory import bounded, returned
 from lodestone.session import ship
 
 PACKET = 4096
@@ -181,7 +182,7 @@ def digest(text: str | None) -> tuple:
 
 def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs with a binary column ``media`` in place of the text."""
-    ship(docs.sparkSession)
+    bounded(ship(docs.sparkSession))
     rest = [c for c in docs.columns if c != text]
     schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField("media", T.BinaryType())])
 
@@ -191,12 +192,12 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
             kept = [b.column(b.schema.get_field_index(c)) for c in rest]
             yield pa.RecordBatch.from_arrays(kept + [media], names=[*rest, "media"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: returned(run(batches)), schema)
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
     """One row a document: the stored media's size and hash, and what was read from it."""
-    ship(docs.sparkSession)
+    bounded(ship(docs.sparkSession))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches):
@@ -206,4 +207,4 @@ def media_digest(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lambda batches: returned(run(batches)), SCHEMA)

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
+from lodestone.llm.memory import bounded, returned
 from lodestone.session import ship, stored
 
 WIDTH = 5
@@ -47,7 +48,7 @@ MOST_BROADCAST = 400_000
 _NULL = -(1 << 63)
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15
-_PIECE = 1 << 21
+_PIECE = 1 << 18
 
 
 def depth_for(threshold: tuple[int, int] = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -168,7 +169,7 @@ def _texts(column) -> list[bytes]:
 
 def signatures(docs: DataFrame, trees: int = TREES, depth: int | None = None, width: int = WIDTH) -> DataFrame:
     """One row a document: d, the hashes of its shingle set, its size, and its node in each trie."""
-    ship(docs.sparkSession)
+    bounded(ship(docs.sparkSession))
     depth = depth or depth_for(trees=trees)
     names = ["d", "h1", "h2", "n", *[f"k{i}" for i in range(trees)]]
 
@@ -184,7 +185,7 @@ def signatures(docs: DataFrame, trees: int = TREES, depth: int | None = None, wi
             head = list(zip(*heads)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(h, pa.int64()) for h in head], *[pa.array(np.ascontiguousarray(keys[:, t]).view(np.int64)) for t in range(trees)]], names=names)
 
-    return _keyed(docs).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return _keyed(docs).mapInArrow(lambda batches: returned(run(batches)), ", ".join(f"{c} long" for c in names))
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -197,10 +198,10 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             heads = list(zip(*map(_set_hash, sets))) or [[], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(h, pa.int64()) for h in heads], pa.array([s.tobytes() for s in sets], pa.binary())], names=["d", "h1", "h2", "shingles"])
 
-    return docs.mapInArrow(run, "d long, h1 long, h2 long, shingles binary")
+    return docs.mapInArrow(lambda batches: returned(run(batches)), "d long, h1 long, h2 long, shingles binary")
 
 
-def common(sets: list[np.ndarray], limit: int = 8_000_000) -> np.ndarray:
+def common(sets: list[np.ndarray], limit: int = 2_000_000) -> np.ndarray:
     """The sizes of the intersections of all pairs of sets."""
     g = len(sets)
     if g == 2:
@@ -305,7 +306,8 @@ def links(docs: DataFrame, classes: DataFrame, trees: int = TREES, threshold: tu
     rows = tasks.join(full, ["rep", "h1", "h2"]).select("node", "lo", "hi", "tree", "rep", "h1", "h2", "copies", "block", "keys", "shingles")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "node", "lo", "hi").sortWithinPartitions("node", "lo", "hi")
-    return stored(ordered.mapInArrow(_compare(trees, threshold), "rep long, h1 long, h2 long, links long, rep2 long, h1b long, h2b long"), "links")
+    compare = _compare(trees, threshold)
+    return stored(ordered.mapInArrow(lambda batches: returned(compare(batches)), "rep long, h1 long, h2 long, links long, rep2 long, h1b long, h2b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, trees: int = TREES, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.pii_examples import EXAMPLES
+from lodestone.llm.memory import bounded, returned
 from lodestone.session import ship
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -290,7 +291,7 @@ def _written(spans: list[tuple[int, int, str]]) -> str:
 
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """One row a document: counts of the pattern kinds, the hash of their spans, and all spans."""
-    ship(docs.sparkSession)
+    bounded(ship(docs.sparkSession))
     field = field or trained()
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 
@@ -303,4 +304,4 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 sha = pa.array([hashlib.sha256(_written(base).encode()).hexdigest() for base, _ in got])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(got)), *counts, sha, pa.array([_written(e) for _, e in got], pa.string())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: returned(run(batches)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

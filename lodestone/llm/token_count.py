@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.vocab import BYTE_LEVEL, Pieces, as_chars, place, plain
+from lodestone.llm.memory import bounded, returned
 from lodestone.session import ship
 
 CHUNK = 32_768
@@ -131,7 +132,7 @@ def counter(path: str) -> Counter:
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row a document: its UTF-8 bytes, its tokens, and whether these are over the limit."""
-    ship(docs.sparkSession)
+    bounded(ship(docs.sparkSession))
     path = path or place("byte_bpe_50k.json")
 
     def run(batches):
@@ -142,4 +143,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
             size = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lambda batches: returned(run(batches)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

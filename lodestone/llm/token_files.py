@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.vocab import WORD_END, Pieces, as_chars, place, plain
+from lodestone.llm.memory import bounded, returned
 from lodestone.session import scratch, ship
 
 END_ID = 1
@@ -96,7 +97,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     The manifest is also stored as manifest.json. It has a row for each
     partition, so its size follows the number of partitions, not of documents.
     """
-    spark = ship(docs.sparkSession)
+    spark = bounded(ship(docs.sparkSession))
     path = path or place("word_bpe_49k.json")
     dtype = _width(path)
     ended = b"" if end_id is None else np.array([end_id], dtype).tobytes()
@@ -124,7 +125,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.length("text"))
-    parts = sorted((r for r in ordered.mapInArrow(run, "part long, name string, n_docs long, n_ids long").collect() if r.n_docs), key=lambda r: r.part)
+    parts = sorted((r for r in ordered.mapInArrow(lambda batches: returned(run(batches)), "part long, name string, n_docs long, n_ids long").collect() if r.n_docs), key=lambda r: r.part)
     bases = np.concatenate([[0], np.cumsum([r.n_ids for r in parts], dtype=np.int64)])
     manifest = {"dtype": dtype, "end_id": end_id, "n_ids": int(bases[-1]), "parts": [{"name": r.name, "n_docs": r.n_docs, "n_ids": r.n_ids, "base": int(b)} for r, b in zip(parts, bases)]}
 
@@ -141,7 +142,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
                 yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
     if parts:
-        _spread(spark, manifest).mapInArrow(offsets, "name string").collect()
+        _spread(spark, manifest).mapInArrow(lambda batches: returned(offsets(batches)), "name string").collect()
     with fs.open_output_stream(f"{local}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
     return manifest
@@ -155,7 +156,7 @@ def _spread(spark: SparkSession, manifest: dict) -> DataFrame:
 
 def read_token_files(spark: SparkSession, folder: str, manifest: dict | None = None) -> DataFrame:
     """One row a document, from the files: doc_id, start, n_tokens and the CRC of its ids."""
-    ship(spark)
+    bounded(ship(spark))
     if manifest is None:
         fs, local = _open(folder)
         with fs.open_input_file(f"{local}/manifest.json") as f:
@@ -173,7 +174,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: dict | None = N
                     head = keys[at : at + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array(head, pa.int64(), mask=head == _NULL), pa.array(off[at : at + len(head)]), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _spread(spark, manifest).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _spread(spark, manifest).mapInArrow(lambda batches: returned(run(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, folder: str | None = None, path: str | None = None) -> DataFrame:
