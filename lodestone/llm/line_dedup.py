@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 A line (a piece between line feeds, trimmed) of at least ``min_chars`` characters
-is dropped if an earlier one, in order of (doc_id, line number), is the same or
+is dropped if an earlier one, in order of (doc_id, text hash, line number), is the same or
 within one edit of it; the earliest stays. Whether that earlier line was itself
 dropped does not matter. Shorter lines and blank ones are left alone.
 
@@ -19,9 +19,8 @@ dropped does not matter. Shorter lines and blank ones are left alone.
    deletion key has one shorter line, which is matched with the longer ones.
 5. The distance of each pair that comes out is verified on the texts.
 
-Cases: a null text has no lines; rows with equal doc_id and equal lines in the
-same place stay side by side, as neither is earlier; a null doc_id is the
-earliest; an empty table gives no rows; very long lines are handled in memory in
+Cases: a null text has no lines; repeated rows (doc_id and text equal) stay side
+by side, as neither is earlier; a null doc_id is the earliest; an empty table gives no rows; very long lines are handled in memory in
 proportion to their length; other columns are kept by ``dedup``.
 """
 
@@ -43,10 +42,15 @@ _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 
 
+def _place() -> tuple[Column, Column]:
+    """A row's place: its doc_id, null as the least, and its text's hash, which tells rows of one doc_id apart."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("r")
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """The lines that count, each with its place and trimmed text."""
-    pieces = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("l", "piece"))
-    return pieces.select("d", "l", F.btrim("piece", F.lit(_BLANKS)).alias("t")).where(F.length("t") >= min_chars)
+    pieces = docs.select(*_place(), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("l", "piece"))
+    return pieces.select("d", "r", "l", F.btrim("piece", F.lit(_BLANKS)).alias("t")).where(F.length("t") >= min_chars)
 
 
 def _half_key(t: Column, side: str, m: Column) -> Column:
@@ -58,8 +62,8 @@ def _half_key(t: Column, side: str, m: Column) -> Column:
 def _distinct(lines: DataFrame) -> DataFrame:
     """Each distinct line's first place, its length and its four half keys."""
     n = F.length("t")
-    keyed = lines.select("d", "l", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(11), F.col("t")).alias("h2"), n.alias("n"), *[_half_key(F.col("t"), s, n - k).alias(f"{s.lower()}{k}") for k in (0, 1) for s in "PS"])
-    return keyed.groupBy("h1", "h2").agg(F.min(F.struct("d", "l")).alias("at"), *[F.first(c).alias(c) for c in ("n", "p0", "s0", "p1", "s1")]).select("at.*", "n", "p0", "s0", "p1", "s1")
+    keyed = lines.select("d", "r", "l", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(11), F.col("t")).alias("h2"), n.alias("n"), *[_half_key(F.col("t"), s, n - k).alias(f"{s.lower()}{k}") for k in (0, 1) for s in "PS"])
+    return keyed.groupBy("h1", "h2").agg(F.min(F.struct("d", "r", "l")).alias("at"), *[F.first(c).alias(c) for c in ("n", "p0", "s0", "p1", "s1")]).select("at.*", "n", "p0", "s0", "p1", "s1")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -69,12 +73,12 @@ def _small(df: DataFrame) -> DataFrame:
 def _candidates(distinct: DataFrame) -> DataFrame:
     """The lines that share a half with another one, and which variants they need."""
     kinds = F.array(*[F.struct(F.col(c).alias("key"), F.lit(c).alias("kind")) for c in ("p0", "s0", "p1", "s1")])
-    keys = distinct.select("d", "l", F.explode(kinds).alias("k")).select("d", "l", "k.*")
+    keys = distinct.select("d", "r", "l", F.explode(kinds).alias("k")).select("d", "r", "l", "k.*")
     shorter = F.col("kind").isin("p0", "s0")
     groups = keys.groupBy("key").agg(F.count(F.when(shorter, 1)).alias("a"), F.count(F.when(~shorter, 1)).alias("b")).where("a >= 2 or (a >= 1 and b >= 1)")
     used = keys.join(_small(stored(groups, "halves")), "key")
     flag = lambda kind, cond: F.coalesce(F.bool_or((F.col("kind") == kind) & cond), F.lit(False))
-    return used.groupBy("d", "l").agg(
+    return used.groupBy("d", "r", "l").agg(
         flag("p0", F.col("a") >= 2).alias("sub_p"), flag("s0", F.col("a") >= 2).alias("sub_s"), flag("p1", F.col("a") >= 1).alias("del_p"), flag("s1", F.col("a") >= 1).alias("del_s"),
         F.bool_or(shorter & (F.col("b") >= 1)).alias("short"),
     )
@@ -123,8 +127,8 @@ def variants(text: str, sub_p: bool, sub_s: bool, del_p: bool, del_s: bool, shor
 
 def _emit(batches):
     for b in batches:
-        cols = [c.to_pylist() for c in b.columns[2:]]
-        d, l = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+        cols = [c.to_pylist() for c in b.columns[3:]]
+        d, r_, l = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         keys, roles, sizes, begin, total = [], [], [], 0, 0
         for i, row in enumerate(zip(*cols)):
             k, r = variants(*row)
@@ -134,38 +138,40 @@ def _emit(batches):
             total += len(k)
             if total > 500_000 or i + 1 == len(cols[0]):
                 own = slice(begin, i + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles)), pa.array(np.repeat(d[own], sizes)), pa.array(np.repeat(l[own], sizes).astype(np.int32))], names=["key", "role", "d", "l"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(roles)), pa.array(np.repeat(d[own], sizes)), pa.array(np.repeat(r_[own], sizes)), pa.array(np.repeat(l[own], sizes).astype(np.int32))], names=["key", "role", "d", "r", "l"])
                 keys, roles, sizes, begin, total = [], [], [], i + 1, 0
 
 
 def _near(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     """The first places of lines that have an earlier one within one edit."""
     flags = stored(_candidates(distinct), "candidates")
-    lines = stored(_lines(docs, min_chars).join(_small(flags), ["d", "l"]).select("d", "l", "t", "sub_p", "sub_s", "del_p", "del_s", "short").dropDuplicates(["d", "l"]), "near-lines")
-    keys = stored(lines.mapInArrow(lambda batches: returned(_emit(batches)), "key long, role byte, d long, l int"), "variants")
-    first = lambda role: F.min(F.when(F.col("role") == role, F.struct("d", "l")))
+    lines = stored(_lines(docs, min_chars).join(_small(flags), ["d", "r", "l"]).select("d", "r", "l", "t", "sub_p", "sub_s", "del_p", "del_s", "short").dropDuplicates(["d", "r", "l"]), "near-lines")
+    keys = stored(lines.mapInArrow(lambda batches: returned(_emit(batches)), "key long, role byte, d long, r long, l int"), "variants")
+    first = lambda role: F.min(F.when(F.col("role") == role, F.struct("d", "r", "l")))
     groups = keys.groupBy("key").agg(first(0).alias("sub"), first(1).alias("short"), first(2).alias("long"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    own = F.struct("d", "l")
+    own = F.struct("d", "r", "l")
     before = F.when(F.col("role") == 0, F.col("sub")).when(F.col("role") == 1, F.col("long")).otherwise(F.col("short"))
-    pairs = keys.join(groups, "key").select("d", "l", before.alias("by"), own.alias("own")).where("by < own").select("d", "l", F.col("by.d").alias("d2"), F.col("by.l").alias("l2")).distinct()
-    text = lines.select("d", "l", "t")
-    both = pairs.join(text, ["d", "l"]).join(text.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("t").alias("t2")), ["d2", "l2"])
-    return both.where(F.levenshtein("t", "t2", 1) >= 0).select("d", "l").distinct()
+    pairs = keys.join(groups, "key").select("d", "r", "l", before.alias("by"), own.alias("own")).where("by < own").select("d", "r", "l", F.col("by.d").alias("d2"), F.col("by.r").alias("r2"), F.col("by.l").alias("l2")).distinct()
+    text = lines.select("d", "r", "l", "t")
+    other = text.select(*[F.col(c).alias(f"{c}2") for c in ("d", "r", "l", "t")])
+    both = pairs.join(text, ["d", "r", "l"]).join(other, ["d2", "r2", "l2"])
+    return both.where(F.levenshtein("t", "t2", 1) >= 0).select("d", "r", "l").distinct()
 
 
 def kept_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The places (d, l) of the lines that stay among those that count; d is doc_id, null as the least long."""
+    """The places (d, r, l) of the lines that stay among those that count: doc_id, text hash, line number."""
     bounded(ship(docs.sparkSession))
     distinct = stored(_distinct(_lines(docs, min_chars)), "lines")
-    return distinct.select("d", "l").join(_near(docs, distinct, min_chars), ["d", "l"], "left_anti")
+    return distinct.select("d", "r", "l").join(_near(docs, distinct, min_chars), ["d", "r", "l"], "left_anti")
 
 
 def _applied(docs: DataFrame, min_chars: int) -> DataFrame:
     """The rows of docs with ``lines`` (all of them) and ``left`` (those that stay)."""
-    kept = kept_places(docs, min_chars).groupBy("d").agg(F.collect_list("l").alias("stay"))
-    d = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    own = kept.withColumnsRenamed({"d": "__d", "stay": "__stay"})
-    joined = d.join(own, "__d", "left")
+    kept = kept_places(docs, min_chars).groupBy("d", "r").agg(F.collect_list("l").alias("stay"))
+    place = _place()
+    d = docs.withColumn("__d", place[0]).withColumn("__r", place[1])
+    own = kept.withColumnsRenamed({"d": "__d", "r": "__r", "stay": "__stay"})
+    joined = d.join(own, ["__d", "__r"], "left")
     joined = joined.withColumn("__lines", F.coalesce(F.split(F.col("text").cast("string"), "\n"), F.array().cast("array<string>")))
     stay = F.coalesce("__stay", F.array().cast("array<int>"))
     # a flag for each line number

@@ -160,7 +160,7 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("d"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("d"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("r"))
 
 
 def _texts(column) -> list[bytes]:
@@ -168,10 +168,10 @@ def _texts(column) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, trees: int = TREES, depth: int | None = None, width: int = WIDTH) -> DataFrame:
-    """One row a document: d, the hashes of its shingle set, its size, and its node in each trie."""
+    """One row a document: d, its text's hash r, the hashes of its shingle set, its size, and its node in each trie."""
     bounded(ship(docs.sparkSession))
     depth = depth or depth_for(trees=trees)
-    names = ["d", "h1", "h2", "n", *[f"k{i}" for i in range(trees)]]
+    names = ["d", "r", "h1", "h2", "n", *[f"k{i}" for i in range(trees)]]
 
     def run(batches):
         forest = Forest(trees, depth)
@@ -183,7 +183,7 @@ def signatures(docs: DataFrame, trees: int = TREES, depth: int | None = None, wi
                 if len(s):
                     keys[i] = forest.keys(s)
             head = list(zip(*heads)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(h, pa.int64()) for h in head], *[pa.array(np.ascontiguousarray(keys[:, t]).view(np.int64)) for t in range(trees)]], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(h, pa.int64()) for h in head], *[pa.array(np.ascontiguousarray(keys[:, t]).view(np.int64)) for t in range(trees)]], names=names)
 
     return _keyed(docs).mapInArrow(lambda batches: returned(run(batches)), ", ".join(f"{c} long" for c in names))
 
@@ -310,8 +310,8 @@ def links(docs: DataFrame, classes: DataFrame, trees: int = TREES, threshold: tu
     return stored(ordered.mapInArrow(lambda batches: returned(compare(batches)), "rep long, h1 long, h2 long, links long, rep2 long, h1b long, h2b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, trees: int = TREES, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
-    """One row a document: class_id, the least doc_id of its class, and n_links, the documents that it is linked to."""
+def _judged(docs: DataFrame, trees: int = TREES, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
+    """One row a document: d, r, the least d of its class (null: its own) and its links."""
     depth = depth_for(threshold, trees, DEPTH, recall)
     signed = stored(signatures(docs.select("doc_id", "text"), trees, depth, width), "signatures")
     kept = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("d").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(f"k{t}").alias(f"k{t}") for t in range(trees)])
@@ -323,24 +323,33 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, threshold: tuple[int, i
     near = sums.join(grouped.select("node.*", F.col("label.rep").alias("least")), ["rep", "h1", "h2"])
     copied = classes.where("copies > 1").select("rep", "h1", "h2", "copies")
     told = copied.join(near, ["rep", "h1", "h2"], "full").select("h1", "h2", F.coalesce("least", "rep").alias("least"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("links"))
-    out = signed.where("n > 0").select("d", "h1", "h2").join(_small(stored(told, "told")), ["h1", "h2"], "left").select("d", "least", "links")
-    out = out.unionByName(signed.where("n = 0").select("d", F.lit(None).cast("long").alias("least"), F.lit(0).cast("long").alias("links")))
+    out = signed.where("n > 0").select("d", "r", "h1", "h2").join(_small(stored(told, "told")), ["h1", "h2"], "left").select("d", "r", "least", "links")
+    none = F.lit(None).cast("long").alias("least")
+    return out.unionByName(signed.where("n = 0").select("d", "r", none, F.lit(0).cast("long").alias("links")))
+
+
+def near_duplicates(docs: DataFrame, trees: int = TREES, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
+    """One row a document: class_id, the least doc_id of its class, and n_links, the documents that it is linked to."""
     whole = lambda c: F.nullif(c, F.lit(_NULL))
+    out = _judged(docs, trees, threshold, recall, width)
     return out.select(whole(F.col("d")).alias("doc_id"), whole(F.coalesce("least", "d")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, trees: int = TREES, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
     """The documents without near-duplicates of another one: of each class the one with the least doc_id stays.
 
-    Rows that share that doc_id are all kept if their texts differ, else one of them.
+    Rows are told apart by doc_id and text: of repeated rows one stays, and rows
+    of one doc_id with different texts are judged each by its own.
     """
-    judged = stored(near_duplicates(docs, **options).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("rows"), F.max("n_links").alias("links")), "judged")
-    gone = judged.where("class_id <> doc_id or (class_id is null and doc_id is not null)").select("doc_id")
-    left = docs.join(_small(gone), "doc_id", "left_anti")
-    again = judged.where("rows > 1").select("doc_id")
+    rows = stored(_judged(docs, trees, threshold, recall, width).groupBy("d", "r").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("rows")), "judged")
+    key = {"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)), "__r": F.xxhash64(F.col("text").cast("string"))}
+    names = {"d": "__d", "r": "__r"}
+    gone = rows.where("least <> d").select("d", "r").withColumnsRenamed(names)
+    left = docs.withColumns(key).join(_small(gone), ["__d", "__r"], "left_anti")
+    again = rows.where("rows > 1").select("d", "r").withColumnsRenamed(names)
     if again.isEmpty():
         return left.select(*docs.columns)
     again = _small(again)
-    once = left.join(again, left.doc_id.eqNullSafe(again.doc_id), "left_semi").dropDuplicates()
-    rest = left.join(again, left.doc_id.eqNullSafe(again.doc_id), "left_anti")
-    return rest.select(*docs.columns).unionByName(once.select(*docs.columns))
+    once = left.join(again, ["__d", "__r"], "left_semi").dropDuplicates(["__d", "__r"])
+    rest = left.join(again, ["__d", "__r"], "left_anti")
+    return rest.unionByName(once).select(*docs.columns)

@@ -126,6 +126,16 @@ def test_line_dedup(docs, rows, empty, wide):
     assert line_dedup.dedup(wide).columns == wide.columns
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    a, b, c = ("a first line that is long enough to count", "another line that has nothing to do with it", "and a third line that stands for itself")
+    rows = [(1, f"{a}\n{b}"), (5, a), (5, c), (None, b), (None, c)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.text for r in line_dedup.dedup(d).collect())
+    assert kept == sorted([b, c, a])  # those without an id are the earliest
+    near = spark.createDataFrame([(3, a), (5, a), (5, c), (None, b), (None, b), (None, c)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in ngram_join.keep_one(near).collect()) == sorted([("3", a), ("None", b), ("None", c)])
+
+
 def test_line_dedup_finds_every_edit(spark):
     import random
 
