@@ -7,7 +7,7 @@ found without sorting: each round counts the exact bytes between candidate keys
 over all partitions (one map-side-combined aggregation of at most a few hundred
 numbers), keeps for each border the bracket that must hold it, and puts new
 probes in it, until the bytes below a probe are within ``tolerance`` of the
-border's target. Then the rows are exchanged once, by fine key ranges that nest
+border's target or a single row is left between them. Then the rows are exchanged once, by fine key ranges that nest
 in the shards; their order in a range and the prefix sums of the ranges' counts
 give the slots.
 
@@ -46,14 +46,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return one.select("doc_id", "size", "text_crc32", "copy", F.xxhash64("doc_id", "size", "text_crc32", "copy").alias("key"))
 
 
-def _below(rows: DataFrame, probes: list[int]) -> list[int]:
-    """The exact bytes of rows with a key below each probe; probes ascend."""
+def _below(rows: DataFrame, probes: list[int]) -> list[tuple[int, int]]:
+    """The exact bytes and the number of rows with a key below each probe; probes ascend."""
     slot = _slot(F.col("key"), probes)
-    got = {r[0]: r[1] for r in rows.groupBy(slot.alias("slot")).agg(F.sum("size")).collect()}
-    out, total = [], 0
+    got = {r[0]: (r[1], r[2]) for r in rows.groupBy(slot.alias("slot")).agg(F.sum("size"), F.count(F.lit(1))).collect()}
+    out, total, n = [], 0, 0
     for i in range(len(probes)):
-        total += got.get(i, 0)
-        out.append(total)
+        size, count = got.get(i, (0, 0))
+        total, n = total + size, n + count
+        out.append((total, n))
     return out
 
 
@@ -73,11 +74,11 @@ def _half(s: Column, ends: Column, key: Column) -> Column:
 
 def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[int]:
     """The keys at which the shards begin, but for the first."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     targets = [total * i // shards for i in range(1, shards)]
     slack = max(1, int(total / shards * tolerance))
-    low = [(_LOW, 0)] * len(targets)
-    high = [(_HIGH, total)] * len(targets)
+    low = [(_LOW, 0, 0)] * len(targets)
+    high = [(_HIGH, total, n_rows)] * len(targets)
     found: list[int | None] = [None] * len(targets)
     for _ in range(ROUNDS):
         open_ = [i for i, f in enumerate(found) if f is None]
@@ -85,7 +86,7 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
             break
         probes: set[int] = set()
         for i in open_:
-            (a, x), (b, y) = low[i], high[i]
+            (a, x, _), (b, y, _) = low[i], high[i]
             # keys are hashes, so the border is near the interpolated place: half the probes go around it
             near = a + (b - a) * (targets[i] - x) // max(1, y - x)
             width = max(1, (b - a) // (PROBES * PROBES))
@@ -94,13 +95,14 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
         ordered = sorted(probes)
         counts = _below(rows, ordered)
         for i in open_:
-            for key, n in zip(ordered, counts):
+            for key, (n, k) in zip(ordered, counts):
                 if n <= targets[i] and key > low[i][0]:
-                    low[i] = (key, n)
+                    low[i] = (key, n, k)
                 if n >= targets[i] and key < high[i][0]:
-                    high[i] = (key, n)
+                    high[i] = (key, n, k)
             best = min((low[i], high[i]), key=lambda e: abs(e[1] - targets[i]))
-            if abs(best[1] - targets[i]) <= slack or high[i][0] - low[i][0] <= 1:
+            # one row between the two cannot be split, so the nearer end is the border
+            if abs(best[1] - targets[i]) <= slack or high[i][2] - low[i][2] <= 1:
                 found[i] = best[0]
     return sorted(_HIGH if f is None and not total else min((low[i], high[i]), key=lambda e: abs(e[1] - targets[i]))[0] if f is None else f for i, f in enumerate(found))
 
