@@ -159,3 +159,13 @@ def test_variants_of_an_edit_share_a_key():
     assert keys(base) & keys(base.replace("words", "wards"))
     assert keys(base) & keys(base.replace("words", "word"))
     assert not keys(base) & keys(base[::-1])
+
+
+def test_components_of_a_long_path_with_ids_out_of_order(spark):
+    import random
+
+    ids = list(range(3000))
+    random.Random(7).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids[:-1], ids[1:])) + [(5000, 5001)], "a long, b long")
+    got = {tuple(r) for r in components(edges).collect()}
+    assert got == {(i, 0) for i in range(3000)} | {(5000, 5000), (5001, 5000)}
