@@ -311,7 +311,7 @@ def links(docs: DataFrame, classes: DataFrame, trees: int = TREES, threshold: tu
 
 
 def _judged(docs: DataFrame, trees: int = TREES, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
-    """One row a document: d, r, the least d of its class (null: its own) and its links."""
+    """One row a document: d, r, the least d of its class (null: its own), two hashes that tell the class from others of that d, and its links."""
     depth = depth_for(threshold, trees, DEPTH, recall)
     signed = stored(signatures(docs.select("doc_id", "text"), trees, depth, width), "signatures")
     kept = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("d").alias("rep"), F.count(F.lit(1)).alias("copies"), *[F.first(f"k{t}").alias(f"k{t}") for t in range(trees)])
@@ -320,12 +320,12 @@ def _judged(docs: DataFrame, trees: int = TREES, threshold: tuple[int, int] = TH
     node = F.struct("rep", "h1", "h2")
     grouped = components(found.select(node.alias("a"), F.struct(F.col("rep2").alias("rep"), F.col("h1b").alias("h1"), F.col("h2b").alias("h2")).alias("b")))
     sums = found.groupBy("rep", "h1", "h2").agg(F.sum("links").alias("links"))
-    near = sums.join(grouped.select("node.*", F.col("label.rep").alias("least")), ["rep", "h1", "h2"])
+    near = sums.join(grouped.select("node.*", F.col("label.rep").alias("least"), F.col("label.h1").alias("c1"), F.col("label.h2").alias("c2")), ["rep", "h1", "h2"])
     copied = classes.where("copies > 1").select("rep", "h1", "h2", "copies")
-    told = copied.join(near, ["rep", "h1", "h2"], "full").select("h1", "h2", F.coalesce("least", "rep").alias("least"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("links"))
-    out = signed.where("n > 0").select("d", "r", "h1", "h2").join(_small(stored(told, "told")), ["h1", "h2"], "left").select("d", "r", "least", "links")
-    none = F.lit(None).cast("long").alias("least")
-    return out.unionByName(signed.where("n = 0").select("d", "r", none, F.lit(0).cast("long").alias("links")))
+    told = copied.join(near, ["rep", "h1", "h2"], "full").select("h1", "h2", F.coalesce("least", "rep").alias("least"), F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("links"))
+    out = signed.where("n > 0").select("d", "r", "h1", "h2").join(_small(stored(told, "told")), ["h1", "h2"], "left").select("d", "r", "least", "c1", "c2", "links")
+    none = [F.lit(None).cast("long").alias(c) for c in ("least", "c1", "c2")]
+    return out.unionByName(signed.where("n = 0").select("d", "r", *none, F.lit(0).cast("long").alias("links")))
 
 
 def near_duplicates(docs: DataFrame, trees: int = TREES, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
@@ -339,12 +339,17 @@ def keep_one(docs: DataFrame, trees: int = TREES, threshold: tuple[int, int] = T
     """The documents without near-duplicates of another one: of each class the one with the least doc_id stays.
 
     Rows are told apart by doc_id and text: of repeated rows one stays, and rows
-    of one doc_id with different texts are judged each by its own.
+    of one doc_id with different texts are judged each by its own. Where several
+    texts of a class share its least doc_id, the one with the least hash stays.
     """
-    rows = stored(_judged(docs, trees, threshold, recall, width).groupBy("d", "r").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("rows")), "judged")
+    judged = _judged(docs, trees, threshold, recall, width).groupBy("d", "r")
+    rows = stored(judged.agg(F.min("least").alias("least"), F.min("c1").alias("c1"), F.min("c2").alias("c2"), F.count(F.lit(1)).alias("rows")), "judged")
     key = {"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)), "__r": F.xxhash64(F.col("text").cast("string"))}
     names = {"d": "__d", "r": "__r"}
-    gone = rows.where("least <> d").select("d", "r").withColumnsRenamed(names)
+    heads = rows.where("least = d").select("r", "least", "c1", "c2")
+    shared = heads.groupBy("least", "c1", "c2").agg(F.min("r").alias("stays"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    tied = heads.join(_small(stored(shared, "shared")), ["least", "c1", "c2"]).where("r <> stays").select(F.col("least").alias("d"), "r")
+    gone = rows.where("least <> d").select("d", "r").unionByName(tied).withColumnsRenamed(names)
     left = docs.withColumns(key).join(_small(gone), ["__d", "__r"], "left_anti")
     again = rows.where("rows > 1").select("d", "r").withColumnsRenamed(names)
     if again.isEmpty():

@@ -169,3 +169,13 @@ def test_components_of_a_long_path_with_ids_out_of_order(spark):
     edges = spark.createDataFrame(list(zip(ids[:-1], ids[1:])) + [(5000, 5001)], "a long, b long")
     got = {tuple(r) for r in components(edges).collect()}
     assert got == {(i, 0) for i in range(3000)} | {(5000, 5000), (5001, 5000)}
+
+
+def test_keep_one_leaves_one_of_near_copies_that_share_an_id(spark):
+    words = [f"w{i}" for i in range(150)]
+    near = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in (5, 75, 130)]
+    other = " ".join(f"v{i}" for i in range(60))
+    for i in (None, 3):
+        rows = [*[(i, t) for t in near], (i, other), (i, other), (7, near[0])]
+        left = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((str(r.doc_id), r.text == other) for r in left) == [(str(i), False), (str(i), True)]
