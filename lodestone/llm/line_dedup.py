@@ -3,7 +3,8 @@
 A line (a piece between line feeds, trimmed) of at least ``min_chars`` characters
 is dropped if an earlier one, in order of (doc_id, text hash, line number), is the same or
 within one edit of it; the earliest stays. Whether that earlier line was itself
-dropped does not matter. Shorter lines and blank ones are left alone.
+dropped does not matter. Shorter ones are dropped only as exact repeats, and only
+from ``equal_chars`` characters on, if that is given; blank ones are left alone.
 
 1. Equal lines are brought together by a 128-bit hash; the earliest of each stays.
 2. Two lines within one edit agree in the first or the last half of the shorter
@@ -158,16 +159,18 @@ def _near(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     return both.where(F.levenshtein("t", "t2", 1) >= 0).select("d", "r", "l").distinct()
 
 
-def kept_places(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def kept_places(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
     """The places (d, r, l) of the lines that stay among those that count: doc_id, text hash, line number."""
     bounded(ship(docs.sparkSession))
-    distinct = stored(_distinct(_lines(docs, min_chars)), "lines")
-    return distinct.select("d", "r", "l").join(_near(docs, distinct, min_chars), ["d", "r", "l"], "left_anti")
+    distinct = stored(_distinct(_lines(docs, min(min_chars, equal_chars or min_chars))), "lines")
+    near = _near(docs, distinct.where(F.col("n") >= min_chars), min_chars)
+    return distinct.select("d", "r", "l").join(near, ["d", "r", "l"], "left_anti")
 
 
-def _applied(docs: DataFrame, min_chars: int) -> DataFrame:
+def _applied(docs: DataFrame, min_chars: int, equal_chars: int | None) -> DataFrame:
     """The rows of docs with ``lines`` (all of them) and ``left`` (those that stay)."""
-    kept = kept_places(docs, min_chars).groupBy("d", "r").agg(F.collect_list("l").alias("stay"))
+    floor = min(min_chars, equal_chars or min_chars)
+    kept = kept_places(docs, min_chars, equal_chars).groupBy("d", "r").agg(F.collect_list("l").alias("stay"))
     place = _place()
     d = docs.withColumn("__d", place[0]).withColumn("__r", place[1])
     own = kept.withColumnsRenamed({"d": "__d", "r": "__r", "stay": "__stay"})
@@ -179,26 +182,26 @@ def _applied(docs: DataFrame, min_chars: int) -> DataFrame:
     marks = F.array_sort(F.concat(F.transform(stay, lambda i: F.struct(i.alias("i"), F.lit(True).alias("s"))), F.transform(dropped, lambda i: F.struct(i.alias("i"), F.lit(False).alias("s")))))
     flags = F.when(F.size("__lines") > 0, F.transform(marks, lambda m: m["s"]))
     # the flags are bound as a variable, so that they are made once for a row and not once for a line
-    pick = lambda marked: F.filter("__lines", lambda x, i: (F.length(F.btrim(x, F.lit(_BLANKS))) < min_chars) | F.coalesce(F.get(marked, i), F.lit(False)))
+    pick = lambda marked: F.filter("__lines", lambda x, i: (F.length(F.btrim(x, F.lit(_BLANKS))) < floor) | F.coalesce(F.get(marked, i), F.lit(False)))
     return joined.withColumn("__left", F.get(F.transform(F.array(flags), pick), F.lit(0)))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
     """The documents with repeated lines taken out; n_chars, if there, follows the text.
 
     A document of which no word is left goes; one that had none stays as it is.
     """
     text = F.array_join("__left", "\n")
     changed = F.size("__left") < F.size("__lines")
-    out = _applied(docs, min_chars).withColumn("text", F.when(changed, text).otherwise(F.col("text"))).where(~changed | (F.length(F.btrim("text", F.lit(_BLANKS))) > 0))
+    out = _applied(docs, min_chars, equal_chars).withColumn("text", F.when(changed, text).otherwise(F.col("text"))).where(~changed | (F.length(F.btrim("text", F.lit(_BLANKS))) > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
-def dedup_digest(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_digest(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
     """One row a document: its lines, how many of them were dropped, and the hash of what is left."""
-    d = _applied(docs.select("doc_id", "text"), min_chars)
+    d = _applied(docs.select("doc_id", "text"), min_chars, equal_chars)
     return d.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.size("__lines").cast("long").alias("n_lines"), (F.size("__lines") - F.size("__left")).cast("long").alias("n_dropped"),
         F.md5(F.array_join("__left", "\n").cast("binary")).alias("left_md5"),

@@ -179,3 +179,12 @@ def test_keep_one_leaves_one_of_near_copies_that_share_an_id(spark):
         rows = [*[(i, t) for t in near], (i, other), (i, other), (7, near[0])]
         left = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert sorted((str(r.doc_id), r.text == other) for r in left) == [(str(i), False), (str(i), True)]
+
+
+def test_short_lines_are_dropped_as_exact_repeats_only(spark):
+    rows = [(1, "Of, edti oner.\na\n\nOf, edti ones."), (2, "  Of, edti oner.\nb\n\na"), (3, "a longer line that is left alone\nOf, edti oner.")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in line_dedup.dedup(d, equal_chars=1).collect()}
+    assert left == {1: rows[0][1], 2: "b\n", 3: "a longer line that is left alone"}
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_digest(d, equal_chars=10).collect()} == {1: 0, 2: 1, 3: 1}
+    assert {r.n_dropped for r in line_dedup.dedup_digest(d).collect()} == {0}
