@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document or line has within one edit, short ones exactly."""
-    return line_dedup.dedup(docs, equal_chars=1)
+    """Documents without lines that an earlier document or line has, but for an edit for every 20 characters; short ones exactly."""
+    return line_dedup.dedup(docs, equal_chars=1, per=20)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

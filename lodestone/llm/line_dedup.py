@@ -3,7 +3,9 @@
 A line (a piece between line feeds, trimmed) of at least ``min_chars`` characters
 is dropped if an earlier one, in order of (doc_id, text hash, line number), is the same or
 within one edit of it; the earliest stays. Whether that earlier line was itself
-dropped does not matter. Shorter ones are dropped only as exact repeats, and only
+dropped does not matter. If ``per`` is given, the bound grows: lines are near
+within an edit for every ``per`` characters of the longer one, one at least.
+Shorter ones are dropped only as exact repeats, and only
 from ``equal_chars`` characters on, if that is given; blank ones are left alone.
 
 1. Equal lines are brought together by a 128-bit hash; the earliest of each stays.
@@ -19,6 +21,11 @@ from ``equal_chars`` characters on, if that is given; blank ones are left alone.
    a substitution key are within one edit, so no pairs need be made, and a
    deletion key has one shorter line, which is matched with the longer ones.
 5. The distance of each pair that comes out is verified on the texts.
+6. For the grown bound, lines that share the first or last part that edits in one
+   place leave (surely found), or one of the least hashes of their runs of six
+   words (likely found), are verified at their bound: with the earliest line of
+   each key, and where that is not near with all of the key, which takes time
+   with the square of the lines that share a part and are not near.
 
 Cases: a null text has no lines; repeated rows (doc_id and text equal) stay side
 by side, as neither is earlier; a null doc_id is the earliest; an empty table gives no rows; very long lines are handled in memory in
@@ -36,6 +43,8 @@ from lodestone.llm.memory import bounded, returned
 from lodestone.session import ship, stored
 
 MIN_CHARS = 20
+#: Words in a run, and runs a line, whose hashes are keys for lines with edits in several places.
+RUN, RUNS = 6, 8
 _BLANKS = " \t\n\x0b\x0c\r"
 #: Key tables up to this number of rows are broadcast, at some 30 bytes each.
 MOST_BROADCAST = 500_000
@@ -159,18 +168,73 @@ def _near(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     return both.where(F.levenshtein("t", "t2", 1) >= 0).select("d", "r", "l").distinct()
 
 
-def kept_places(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
+def _far_keys(n: Column, t: Column, per: int) -> Column:
+    """A line's keys for the grown bound, each with whether it is the line's own step or one of shorter lines' steps.
+
+    Of two lines whose edits lie in one place, the shorter one agrees with the
+    other in its first or its last ``reach`` characters. These are cut to a step
+    of a ladder, and a line takes the steps of all shorter lines in its bound.
+    For edits in several places, the least hashes of the line's runs of words are
+    keys too; these find a pair with a probability only.
+    """
+    reach = lambda m: F.greatest((m - F.floor(m / (per - 1))) / 2, F.lit(1))
+    step = lambda m: F.floor(F.log2(reach(m)) * 4).cast("int")
+    own = step(n)
+    steps = F.sequence(F.least(step(n - F.floor(n / per)), own), own)
+    cut = lambda j: F.floor(F.pow(F.lit(2.0), j / 4) + 1e-9).cast("int")
+    key = lambda side, j: F.xxhash64(F.lit(side), j, F.substring(t, F.lit(1), cut(j)) if side == "P" else F.right(t, cut(j)))
+    sides = [F.transform(steps, lambda j: F.struct(key(side, j).alias("key"), (j == own).alias("own"))) for side in "PS"]  # noqa: B023
+    # the words are bound as a variable, so that they are made once for a line and not once for a run
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - RUN + 1), lambda i: F.xxhash64(F.slice(w, i, RUN)))
+    least = lambda w: F.when(F.size(w) >= RUN, F.slice(F.sort_array(F.array_distinct(runs(w))), 1, RUNS))
+    inner = F.coalesce(F.get(F.transform(F.array(F.split(t, " ")), least), F.lit(0)), F.array().cast("array<bigint>"))
+    return F.concat(*sides, F.transform(inner, lambda x: F.struct(x.alias("key"), F.lit(True).alias("own"))))
+
+
+def _far(docs: DataFrame, distinct: DataFrame, min_chars: int, per: int) -> DataFrame:
+    """The first places of lines that have an earlier one within an edit for every ``per`` characters of the longer one."""
+    place = ["d", "r", "l"]
+    least = max(min_chars, 2 * per - 2)
+    long = distinct.where(F.col("n") >= least).select(*place)
+    texts = _lines(docs, least).join(long, place).dropDuplicates(place)
+    n = F.length("t")
+    keys = stored(texts.select(*place, n.alias("n"), F.explode(_far_keys(n, F.col("t"), per)).alias("k")).select(*place, "n", "k.*"), "far-keys")
+    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("own"), 1)).alias("owns")).where("all > 1 and owns > 0").select("key")
+    used = stored(keys.join(_small(stored(groups, "far-groups")), "key"), "far-used")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        bound = F.floor(F.greatest("n", "n2") / per).cast("int")
+        close = pairs.withColumn("bound", bound).where("struct(d2, r2, l2) < struct(d, r, l) and abs(n - n2) <= bound and bound > 1")
+        close = stored(close.select(*place, "d2", "r2", "l2", "bound").distinct(), "far-pairs")
+        ends = stored(close.select(*place).union(close.select("d2", "r2", "l2")).distinct(), "far-ends")
+        text = stored(_lines(docs, least).join(_small(ends), place).dropDuplicates(place), "far-lines")
+        both = close.join(text, place).join(text.select(*[F.col(c).alias(f"{c}2") for c in (*place, "t")]), ["d2", "r2", "l2"])
+        return stored(both.where(F.expr("levenshtein(t, t2, bound) >= 0")).select(*place).distinct(), "far-near")
+
+    # one earlier line is enough: each key's earliest settles most lines, and only the rest are held to all of a key
+    whole = F.struct(*place, "n")
+    firsts = used.groupBy("key").agg(F.min(whole).alias("first"), F.min(F.when(F.col("own"), whole)).alias("first_own"))
+    by = used.join(firsts, "key").withColumn("by", F.when(F.col("own"), F.col("first")).otherwise(F.col("first_own")))
+    settled = near(by.select(*place, "n", *[F.col(f"by.{c}").alias(f"{c}2") for c in (*place, "n")]))
+    other = used.select("key", F.col("own").alias("own2"), *[F.col(c).alias(f"{c}2") for c in (*place, "n")])
+    rest = used.join(_small(settled), place, "left_anti").join(other, "key").where("own or own2")
+    return settled.union(near(rest))
+
+
+def kept_places(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None, per: int | None = None) -> DataFrame:
     """The places (d, r, l) of the lines that stay among those that count: doc_id, text hash, line number."""
     bounded(ship(docs.sparkSession))
     distinct = stored(_distinct(_lines(docs, min(min_chars, equal_chars or min_chars))), "lines")
     near = _near(docs, distinct.where(F.col("n") >= min_chars), min_chars)
+    if per:
+        near = near.union(_far(docs, distinct, min_chars, per)).distinct()
     return distinct.select("d", "r", "l").join(near, ["d", "r", "l"], "left_anti")
 
 
-def _applied(docs: DataFrame, min_chars: int, equal_chars: int | None) -> DataFrame:
+def _applied(docs: DataFrame, min_chars: int, equal_chars: int | None, per: int | None) -> DataFrame:
     """The rows of docs with ``lines`` (all of them) and ``left`` (those that stay)."""
     floor = min(min_chars, equal_chars or min_chars)
-    kept = kept_places(docs, min_chars, equal_chars).groupBy("d", "r").agg(F.collect_list("l").alias("stay"))
+    kept = kept_places(docs, min_chars, equal_chars, per).groupBy("d", "r").agg(F.collect_list("l").alias("stay"))
     place = _place()
     d = docs.withColumn("__d", place[0]).withColumn("__r", place[1])
     own = kept.withColumnsRenamed({"d": "__d", "r": "__r", "stay": "__stay"})
@@ -186,22 +250,22 @@ def _applied(docs: DataFrame, min_chars: int, equal_chars: int | None) -> DataFr
     return joined.withColumn("__left", F.get(F.transform(F.array(flags), pick), F.lit(0)))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None, per: int | None = None) -> DataFrame:
     """The documents with repeated lines taken out; n_chars, if there, follows the text.
 
     A document of which no word is left goes; one that had none stays as it is.
     """
     text = F.array_join("__left", "\n")
     changed = F.size("__left") < F.size("__lines")
-    out = _applied(docs, min_chars, equal_chars).withColumn("text", F.when(changed, text).otherwise(F.col("text"))).where(~changed | (F.length(F.btrim("text", F.lit(_BLANKS))) > 0))
+    out = _applied(docs, min_chars, equal_chars, per).withColumn("text", F.when(changed, text).otherwise(F.col("text"))).where(~changed | (F.length(F.btrim("text", F.lit(_BLANKS))) > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
-def dedup_digest(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
+def dedup_digest(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None, per: int | None = None) -> DataFrame:
     """One row a document: its lines, how many of them were dropped, and the hash of what is left."""
-    d = _applied(docs.select("doc_id", "text"), min_chars, equal_chars)
+    d = _applied(docs.select("doc_id", "text"), min_chars, equal_chars, per)
     return d.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.size("__lines").cast("long").alias("n_lines"), (F.size("__lines") - F.size("__left")).cast("long").alias("n_dropped"),
         F.md5(F.array_join("__left", "\n").cast("binary")).alias("left_md5"),

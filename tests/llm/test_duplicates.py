@@ -188,3 +188,31 @@ def test_short_lines_are_dropped_as_exact_repeats_only(spark):
     assert left == {1: rows[0][1], 2: "b\n", 3: "a longer line that is left alone"}
     assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_digest(d, equal_chars=10).collect()} == {1: 0, 2: 1, 3: 1}
     assert {r.n_dropped for r in line_dedup.dedup_digest(d).collect()} == {0}
+
+
+def test_the_edit_bound_grows_with_the_line(spark):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, was = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(was[j] + 1, row[-1] + 1, was[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(8)
+    lines = []
+    for _ in range(12):
+        base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(rng.randint(7, 40))]
+        lines.append(" ".join(base))
+        for _ in range(5):
+            w = list(base)
+            w[rng.randrange(len(w))] = "".join(rng.choice("xyz") for _ in range(rng.randint(1, 12)))
+            lines.append(" ".join(w))
+    near = lambda a, b: distance(a, b) <= max(1, max(len(a), len(b)) // 20)
+    want = {i for i in range(len(lines)) if any(near(lines[j], lines[i]) for j in range(i))}
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    dropped = lambda out: {r.doc_id for r in out.where("n_dropped > 0").collect()}
+    assert dropped(line_dedup.dedup_digest(d, per=20)) == want and len(want) > 20
+    assert len(dropped(line_dedup.dedup_digest(d))) < len(want)
