@@ -61,6 +61,11 @@ def test_stages_against_brute_force(spark, folder, docs, labels, tmp_path):
     assert now.count() > 10
 
 
+def test_last_stage_decodes_what_it_encoded(spark, docs, rows, folder):
+    got = collections.Counter((r.doc_id, r.decoded) for r in corpus_pipeline.tokens(spark, docs, folder).collect())
+    assert got == collections.Counter((i, t or "") for i, t, *_ in rows)
+
+
 def test_empty_documents(spark, empty, labels, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
