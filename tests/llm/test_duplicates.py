@@ -70,12 +70,122 @@ def test_depth_is_shortened_to_the_recall():
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
 
 
+def test_labels_are_tries():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    forest = ngram_join.Forest(ngram_join.TREES)
+    a = np.unique(rng.integers(0, 1 << 62, 400, dtype=np.uint64))
+    labels = np.stack([forest.labels(a), forest.labels(a[:-30]), forest.labels(rng.integers(0, 1 << 62, 400, dtype=np.uint64))])
+    same = [(ngram_join._nodes(labels, d)[0] == ngram_join._nodes(labels, d)[1]) for d in range(1, 9)]
+    assert all((x <= y).all() for x, y in zip(same[1:], same)) and same[0].sum() > same[7].sum() > 0
+    assert not any((ngram_join._nodes(labels, d)[0] == ngram_join._nodes(labels, d)[2]).any() for d in range(2, 9))
+
+
+def test_sizes_of_intersections():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(0, 300), False), rng.integers(0, 1 << 62, 20, dtype=np.uint64)])) for _ in range(40)]
+    got = ngram_join.Owners(sets).common(5, 30)
+    assert all(got[i, j] == len(np.intersect1d(sets[i + 5], sets[j])) for i in range(25) for j in range(40) if i + 5 != j)
+
+
+def edited(rng, words, n):
+    w = list(words)
+    for p in rng.sample(range(len(w)), n):
+        w[p] = f"x{rng.random()}"
+    return " ".join(w)
+
+
+def test_prefix_is_shortened_as_the_links_need_it(spark):
+    """Pairs far above the threshold are surely found early; ones just above it call for the shortest prefix."""
+    import random
+
+    rng = random.Random(11)
+
+    def depths(edits, n):
+        rows = []
+        for i in range(n):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+            rows += [(2 * i, " ".join(words)), (2 * i + 1, edited(rng, words, edits))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        signed = ngram_join.signatures(docs)
+        from pyspark.sql import functions as F
+
+        classes = ngram_join.stored(signed.groupBy("h1", "h2", "n").agg(F.min("d").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ngram_join._halves(ngram_join.TREES)]), "t")
+        found, at = ngram_join.search(docs, classes, recall=0.999)
+        assert found.select("rep").distinct().count() == 2 * n
+        return at
+
+    far, close = depths(1, 150), depths(3, 150)
+    floor = ngram_join.depth_for(recall=0.999)
+    assert far[0] == close[0] == 8 and far[-1] > close[-1] >= floor
+
+
+def test_recall_on_planted_pairs(spark):
+    """Pairs of every similarity above the threshold, the links of brute force against those found."""
+    import random
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(150, 260))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, edited(rng, words, rng.randint(1, 6)))]
+    want = {i for i in range(0, 800, 2) if len(shingles(rows[i][1]) & shingles(rows[i + 1][1])) * 5 >= 4 * len(shingles(rows[i][1]) | shingles(rows[i + 1][1]))}
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links > 0 and doc_id % 2 = 0").collect()
+    assert {r.doc_id for r in got} == want and 100 < len(want) < 400
+
+
+def test_a_node_of_5000_near_copies_sends_rows_in_proportion(spark, monkeypatch):
+    import random
+
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(150)]
+    sent = {}
+    for g in (1250, 5000):
+        rows = [(i, edited(rng, words, 1)) for i in range(g)]
+        tasks, keep = [], ngram_join.stored
+
+        def spy(df, tag):
+            out = keep(df, tag)
+            if tag == "members":
+                tasks.append(out.selectExpr("sum(blocks)").first()[0] or 0)
+            return out
+
+        monkeypatch.setattr(ngram_join, "stored", spy)
+        got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("class_id").agg({"n_links": "sum", "doc_id": "count"}).collect()
+        monkeypatch.setattr(ngram_join, "stored", keep)
+        assert len(got) == 1 and got[0]["count(doc_id)"] == g and got[0]["sum(n_links)"] >= 0.9999 * g * (g - 1)
+        sent[g] = sum(tasks)
+    assert sent[5000] <= 4.4 * sent[1250] and sent[5000] <= 5000 * ngram_join.TREES * 5
+
+
+def test_blocks_give_the_same_links(spark, monkeypatch):
+    import random
+
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, edited(rng, words, rng.randint(1, 3))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = brute_classes(rows)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 20)
+    got = collections.Counter(tuple(r) for r in ngram_join.near_duplicates(docs).select("doc_id", "class_id", "n_links").collect())
+    assert got == whole
+
+
 def test_keep_one(docs, rows, empty, wide):
     left = ngram_join.keep_one(docs).collect()
     classes = {(a, b) for a, b, _ in brute_classes(rows)}
     assert sorted(str(r.doc_id) for r in left) == sorted({str(a) for a, b in classes if a == b})
     assert ngram_join.keep_one(empty).count() == 0
-    assert ngram_join.keep_one(wide).columns == wide.columns
+    from pyspark.sql import functions as F
+
+    clash = wide.withColumns({c: F.lit(7) for c in ("__d", "__r", "r", "least", "rep", "h1", "links")})
+    out = ngram_join.keep_one(clash)
+    assert out.columns == clash.columns and out.where("__d = 7 and __r = 7 and r = 7 and d = 1").count() == out.count() == len(left)
+    assert ngram_join.near_duplicates(clash).count() == len(rows)
 
 
 def test_components(spark):
