@@ -1,38 +1,58 @@
 """Token counts by overlap resynchronisation.
 
-A text up to ``chunk`` characters is counted as it is. A longer one is cut into
-chunks that overlap; each chunk is encoded by itself with offsets, and two
-neighbours are spliced at a boundary that both have and that is proven stable:
-before it stands a letter or a digit and after it white space followed by
-neither white space nor an end. No pre-token pattern crosses from a letter or
-digit into white space, so there a pre-token begins whatever stands to the left;
-merges do not cross pre-tokens, so all tokens to the right are the same in
-either chunk. The pre-tokens up to the end of the left chunk, its last few left
-out, are also compared. Where there is no such boundary or the comparison fails,
-the overlap is doubled until it has one, at last to the whole text.
-
-Cases: a null text is empty and has no tokens; repeated rows are counted again;
-special strings in a text count as the library's default has them; an empty
-table gives no rows; columns beyond doc_id and text are ignored.
+A text up to ``chunk`` bytes is encoded as it is. A longer one is cut into chunks
+that overlap; each chunk is encoded by itself, its tokens' lengths giving their
+offsets in the text, and two neighbours are spliced at a common boundary that is
+proven stable: in both a token ends there and the same token follows.
+
+Why that is enough: a sequence of tokens is the encoding of a pre-token just if
+any two neighbours in it can stand side by side (merges would leave them apart).
+All neighbours on the left of the splice come from the left chunk, all on the
+right from the right one, and the pair at the splice stands in the left chunk as
+well, as the same token follows there. Pre-tokens are runs of one kind of
+character, so where a boundary lies within one, it ends at the same place for
+both chunks. This holds for every script, and within words without any space.
+The tokens after the splice up to the end of the left chunk, its last few left
+out, are compared too. Where no boundary passes, the overlap is doubled, at last
+to the whole left chunk; a next chunk always begins at a boundary of the last
+one, so that even a word of millions of equal letters resynchronises. A chunk
+never ends within a special string or a character.
+
+A chunk's pre-tokens come from the library's own splitter, or from an expression
+that is known to agree with it where all characters are Latin; each distinct
+short one is encoded by the library's model once in a worker. Memory follows the
+chunk: of a long text only its bytes and a few chunks' tokens are held.
+
+The splice is proven for byte-level vocabularies with the usual splitter and
+without a normaliser; texts for other vocabularies are encoded whole.
+
+Cases: a null text is empty and has no tokens; repeated rows are counted again,
+and ties do not matter, as each row is counted by itself; special strings in a
+text count as the library's default has them; a very long text is counted chunk
+by chunk; an empty table gives no rows; columns beyond doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import bisect
+import json
 import os
-import re
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.vocab import BYTE_LEVEL, Pieces, as_chars, place, plain
 from lodestone.llm.memory import bounded, returned
+from lodestone.llm.vocab import BYTE_LEVEL, Pieces, as_chars, place, plain
 from lodestone.session import ship
 
-CHUNK = 32_768
-OVERLAP = 512
+#: Bytes of a chunk, and of the overlap that is tried first.
+CHUNK = 4_096
+OVERLAP = 256
 LIMIT = 512
-_STABLE = re.compile(r"(?<=[A-Za-z0-9À-ÖØ-öø-ɏ])[ \n\t\r](?=[^\s])")
+#: Tokens at the end of a chunk that are not trusted, as the cut may have changed them.
+_UNSURE = 4
 _COUNTERS: dict[str, "Counter"] = {}
 
 
@@ -46,66 +66,100 @@ class Counter:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        splitter = spec.get("pre_tokenizer") or {}
+        self.level = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space") and not spec.get("normalizer") and spec["model"].get("type") == "BPE"
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.level = self.level and not any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word"))
+        self.longest = max((len(s.encode()) for s in self.special), default=0)
+        vocab = spec["model"]["vocab"]
+        self.size = np.zeros(self.lib.get_vocab_size(), np.int64)
+        if self.level:
+            for s, i in vocab.items():
+                self.size[i] = len(s)  # a character of the vocabulary stands for a byte
+            for t in spec["added_tokens"]:
+                self.size[t["id"]] = len(t["content"].encode())
         model = self.lib.model
-        self.pieces = Pieces(lambda piece: len(model.tokenize(as_chars(piece))))
-
-    def whole(self, text: str) -> int:
-        return len(self.lib.encode(text, add_special_tokens=False).ids)
-
-    def offsets(self, text: str) -> tuple[list[int], list[int]]:
-        """Begins of the pre-tokens of a text, and the count of tokens before each, both with an end."""
-        words = BYTE_LEVEL.findall(text)
-        table = self.pieces
-        begins, counts, at, n = [0], [0], 0, 0
-        for w in words:
-            at += len(w)
-            n += table[w]
-            begins.append(at)
-            counts.append(n)
-        return begins, counts
-
-    def spliced(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-        """The count of a plain text by encoding overlapping chunks."""
-        total, start, left = 0, 0, self.offsets(text[:chunk])
-        stop = min(chunk, len(text))
-        while stop < len(text):
-            width = overlap
-            while True:
-                begin = max(start, stop - width)
-                end = min(len(text), begin + max(chunk, width + chunk // 2))
-                right = self.offsets(text[begin:end])
-                at = self._boundary(text, left, start, stop, right, begin)
-                if at is not None:
-                    break
-                if begin == start:
-                    # nothing in the whole left chunk is stable: take it and the next one as one chunk
-                    left, stop = self.offsets(text[start:end]), end
-                    if stop >= len(text):
-                        return total + left[1][-1]
-                    width = overlap
-                    continue
-                width *= 2
-            total += left[1][bisect.bisect_left(left[0], at - start)]
-            cut = bisect.bisect_left(right[0], at - begin)
-            left = ([x - (at - begin) for x in right[0][cut:]], [x - right[1][cut] for x in right[1][cut:]])
-            start, stop = at, end
-        return total + left[1][-1]
+        self.pieces = Pieces(lambda piece: tuple(t.id for t in model.tokenize(as_chars(piece))))
+        self.splices = 0
+
+    def ids(self, text: str) -> list[int]:
+        """The ids of a text that is encoded as one."""
+        if not self.level or any(s in text for s in self.special):
+            return self.lib.encode(text, add_special_tokens=False).ids
+        if plain(text):
+            words = BYTE_LEVEL.findall(text)
+        else:
+            words = [text[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text)]
+        return list(chain.from_iterable(map(self.pieces.__getitem__, words)))
+
+    def _end(self, raw: bytes, end: int) -> int:
+        """A place at or before this one that is not within a character or a special string."""
+        if end >= len(raw):
+            return len(raw)
+        while raw[end] & 0xC0 == 0x80:
+            end -= 1
+        for s in self.special:
+            b = s.encode()
+            at = raw.find(b, max(0, end - len(b) + 1), end + len(b) - 1)
+            if 0 <= at < end < at + len(b):
+                end = at
+        return end
+
+    def _tokens(self, raw: bytes, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """A chunk's ids and the places where they begin in the text, with the end."""
+        ids = np.array(self.ids(raw[begin:end].decode("utf-8", "surrogatepass")), np.int64)
+        return ids, begin + np.concatenate([[0], np.cumsum(self.size[ids])])
+
+    def spliced(self, raw: bytes, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+        """The count of a text, as UTF-8, by encoding overlapping chunks."""
+        total = start = 0
+        stop = self._end(raw, chunk) or min(len(raw), chunk + self.longest)
+        ids, at = self._tokens(raw, start, stop)
+        while stop < len(raw):
+            width, found = overlap, None
+            while found is None:
+                # a boundary of the left chunk that is not within a character
+                i = int(np.searchsorted(at, max(start, stop - width), "right")) - 1
+                while i > 0 and raw[at[i]] & 0xC0 == 0x80:
+                    i -= 1
+                begin = int(at[i])
+                end = self._end(raw, stop + chunk - min(chunk // 2, stop - begin))
+                if end <= stop:
+                    end = self._end(raw, stop + chunk + self.longest)
+                ids2, at2 = self._tokens(raw, begin, end)
+                found = self._boundary(raw, ids, at, ids2, at2)
+                if found is None:
+                    if begin == start:  # nothing in the whole left chunk is stable: take it and the next one as one
+                        ids, at, stop = ids2, at2, end
+                        break
+                    width *= 2
+            if found is None:
+                continue
+            i, j = found
+            self.splices += 1
+            total += i
+            ids, at = ids2[j:], at2[j:]
+            start, stop = int(at[0]), end
+        return total + len(ids)
 
     @staticmethod
-    def _boundary(text: str, left: tuple, start: int, stop: int, right: tuple, begin: int) -> int | None:
-        """The first stable boundary that both chunks have and after which they agree."""
-        safe = max(0, len(left[0]) - 4)  # the cut may have changed the last pre-tokens
-        for m in _STABLE.finditer(text, begin + 1, stop):
-            at = m.start()
-            i, j = bisect.bisect_left(left[0], at - start), bisect.bisect_left(right[0], at - begin)
-            if i >= safe:
-                return None
-            if left[0][i] != at - start or right[0][j] != at - begin:
-                continue
-            n = safe - i
-            if [x - left[0][i] for x in left[0][i : i + n]] == [x - right[0][j] for x in right[0][j : j + n]] and [x - left[1][i] for x in left[1][i : i + n]] == [x - right[1][j] for x in right[1][j : j + n]]:
-                return at
+    def _boundary(raw: bytes, ids: np.ndarray, at: np.ndarray, ids2: np.ndarray, at2: np.ndarray) -> tuple[int, int] | None:
+        """The first common boundary (its token in either chunk) from which the chunks agree to where the left one is sure."""
+        sure = len(ids) - _UNSURE
+        if sure <= 0:
             return None
+        low = int(np.searchsorted(at, at2[0]))
+        _, i, j = np.intersect1d(at[low:sure], at2[:-1], assume_unique=True, return_indices=True)
+        i = i + low
+        same = ids[i] == ids2[j]
+        for k in np.flatnonzero(same & (at[i] > at2[0])).tolist():
+            if raw[at[i[k]]] & 0xC0 == 0x80:  # within a character
+                continue
+            n = min(sure - i[k], len(ids2) - j[k])
+            if (ids[i[k] : i[k] + n] == ids2[j[k] : j[k] + n]).all():
+                return int(i[k]), int(j[k])
         return None
 
     def counts(self, texts: list[str | None], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
@@ -113,12 +167,11 @@ class Counter:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if not plain(t):
-                out[i] = self.whole(t)
-            elif len(t) > chunk:
-                out[i] = self.spliced(t, chunk, overlap)
+            if not self.level or len(t) * 4 <= chunk:
+                out[i] = len(self.ids(t))
             else:
-                out[i] = sum(map(self.pieces.__getitem__, BYTE_LEVEL.findall(t)))
+                raw = t.encode("utf-8", "surrogatepass")
+                out[i] = self.spliced(raw, chunk, overlap) if len(raw) > chunk else len(self.ids(t))
             self.pieces.trim()
         return out
 

@@ -45,6 +45,10 @@ def as_chars(piece: str) -> str:
     return piece.encode().decode("latin-1").translate(_CHARS)
 
 
+#: Pre-tokens beyond so many characters are not kept, so that a table's size is bounded.
+LONGEST = 64
+
+
 class Pieces(dict):
     """What a function gives for each distinct pre-token, kept for the worker's life within a bound.
 
@@ -57,6 +61,8 @@ class Pieces(dict):
         self.make, self.bound, self.old = make, bound, {}
 
     def __missing__(self, piece: str):
+        if len(piece) > LONGEST:
+            return self.make(piece)
         got = self.old.pop(piece, None)
         self[piece] = got = self.make(piece) if got is None else got
         return got

@@ -1,6 +1,7 @@
 """Operators 4, 5 and 7 against the tokenizers library itself."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -38,11 +39,46 @@ def test_counts_match_library(docs, rows, byte_lib):
     assert got == sorted(want)
 
 
-@pytest.mark.parametrize("chunk,overlap", [(64, 4), (200, 16), (1000, 8)])
+def scripts(rng, n):
+    """Words of many scripts, with emoji, curly quotes, combining marks and special strings."""
+    kinds = ["東京都は日本の首都です。", "Привет, мир — «текст»", "مرحبا بالعالم", "नमस्ते दुनिया", "e\u0301te\u0301", "👩‍👩‍👧‍👦🏽 🎉", "“it’s” don't we'll", "İstanbul ½ x²", "<|endoftext|>", "\n\n\n  \t", "x" * 40, "1234567890", "'s's't", "...!!!???", "ไทยภาษา"]
+    return "".join(rng.choice(kinds) + rng.choice(["", " ", "  ", "\n"]) for _ in range(n))
+
+
+@pytest.mark.parametrize("chunk,overlap", [(64, 4), (200, 16), (1000, 8), (4096, 256)])
 def test_spliced_chunks_match_library(chunk, overlap, byte_lib):
     c = token_count.counter(place("byte_bpe_50k.json"))
+    rng = random.Random(5)
     texts = odd_texts(30, 3000) + ["word " * 2000, "x" * 4000, " " * 3000, "ab1 " * 900 + "z" * 900 + " end" * 50]
+    texts += [scripts(rng, 300) for _ in range(20)] + ["東京" * 3000, "🎉" * 2000, "<|endoftext|>" * 400, "'s" * 3000, "\n" * 5000 + "a", "ab" * 5000, "é" * 5000]
+    before = c.splices
     assert c.counts(texts, chunk, overlap) == [len(byte_lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert c.splices > before + 20
+
+
+def test_a_word_of_ten_million_letters(byte_lib, monkeypatch):
+    c = token_count.counter(place("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    once = "".join(rng.choice("abcdefghij") for _ in range(10_000))
+    sizes, encode = [], token_count.Counter.ids
+    monkeypatch.setattr(token_count.Counter, "ids", lambda self, t: sizes.append(len(t)) or encode(self, t))
+    for word in ("a" * 10_000_000, "東" * 1_000_000):
+        c.counts([word])
+        assert max(sizes) <= 8 * token_count.CHUNK
+    monkeypatch.undo()
+    short = once * 5
+    assert c.counts([short, "a" * 300_000]) == [len(byte_lib.encode(t, add_special_tokens=False).ids) for t in (short, "a" * 300_000)]
+
+
+def test_a_tenth_of_documents_is_spliced():
+    import duckdb
+
+    folder = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no tables here")
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{folder}'").fetchall()]
+    spliced = sum(len((t or "").encode()) > token_count.CHUNK for t in texts)
+    assert spliced >= len(texts) / 10
 
 
 def test_trie_matches_library(byte_lib):
