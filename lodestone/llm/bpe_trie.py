@@ -17,8 +17,12 @@ pair is taken apart in the reverse order of merging, and no merge across the
 border may come before those that made the two.
 
 Cases: a null text is empty (no tokens, the hash of nothing); repeated rows are
-encoded again; special strings in a text become the vocabulary's special id and
-decode to themselves; an empty table gives no rows; further columns are ignored.
+encoded again, and ties do not matter, as each row is encoded by itself; a very
+long text takes memory in proportion to its length, a very long word as well, and
+no time beyond its length; special strings in a text become the vocabulary's
+special id and decode to themselves; an empty table gives no rows; further
+columns are kept by ``encode`` and ``decode``, whose own column takes the place of
+one of the same name (``ids``, ``decoded``), and ignored by ``encode_digest``.
 """
 
 from __future__ import annotations
@@ -26,13 +30,14 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.vocab import _PLAIN, BYTE_LEVEL, byte_chars, place, slices
+from lodestone.llm.vocab import _PLAIN, BYTE_LEVEL, LONGEST, byte_chars, place, slices
 from lodestone.llm.memory import bounded, returned
 from lodestone.session import ship
 
@@ -67,6 +72,7 @@ class TrieCodec:
                 self.ids.append(vocab[a + b])
             self.merge.setdefault(x << 20 | y, rank[whole])
         self.size = [len(t) for t in text]
+        self.longest = max(self.size)
         self.pair: dict[int, bool] = {}
         # tokens by their last bytes, longest match found last
         self.ends: dict = {}
@@ -80,9 +86,10 @@ class TrieCodec:
         self.grow = {rank[t[:-1]] << 8 | t[-1]: n for n, t in enumerate(text) if len(t) > 1 and t[:-1] in rank and self._reached(n)}
         self.seen: dict[bytes, tuple[int, ...]] = {}
         self.bound = bound
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-        self.name = {i: str(i) for i in self.bytes_of}
+        self.long: list[str] = []
+        # of each known pre-token: its ids, these as text, and what they decode to
+        self.known: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.old: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
         self._lib = None
         self.path = path
 
@@ -126,7 +133,7 @@ class TrieCodec:
     def traverse(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of sorted distinct words, sharing the states of common prefixes."""
         size, ids, pair, fits, grow, seen = self.size, self.ids, self.pair, self._fits, self.grow, self.seen
-        out, before, last = [], b"", [-1]
+        longest, out, before, last = self.longest, [], b"", [-1]
         for word in words:
             depth, most = 0, min(len(before), len(word))
             if before[:most] == word[:most]:
@@ -158,7 +165,7 @@ class TrieCodec:
                 if found is None:
                     seen[tail] = found = self._ending(tail)
                 if found[0] < 0:  # longer tokens may end here too
-                    found = self._ending(word[: i + 1])
+                    found = self._ending(word[max(0, i + 1 - longest) : i + 1])
                 for n in found:
                     if n < 0:
                         continue
@@ -185,8 +192,15 @@ class TrieCodec:
             seen.clear()
         return out
 
-    def table(self, pieces: list[list[str]]) -> dict[str, tuple[int, ...]]:
-        """The ids of every pre-token of a slice; unknown ones go through one trie."""
+    def table(self, pieces: list[list[str]]) -> dict[str, tuple[tuple[int, ...], str, bytes]]:
+        """What is known of every pre-token of a slice; unknown ones go through one trie.
+
+        Pre-tokens beyond ``LONGEST`` characters are forgotten with the next
+        slice, so that the table's size is bounded.
+        """
+        for w in self.long:
+            self.known.pop(w, None)
+        self.long.clear()
         if len(self.known) > self.bound:
             self.old, self.known = self.known, {}
         want: set[str] = set()
@@ -196,12 +210,15 @@ class TrieCodec:
         for w in want.difference(self.known):
             got = self.old.get(w)
             if got is None:
-                missing.append((w.encode(), w))
+                missing.append((w.encode("utf-8", "surrogatepass"), w))
             else:
                 self.known[w] = got
         missing.sort()
+        raw = self.bytes_of.__getitem__
         for (_, w), got in zip(missing, self.traverse([b for b, _ in missing])):
-            self.known[w] = got
+            self.known[w] = (got, ",".join(map(str, got)), b"".join(map(raw, got)))
+            if len(w) > LONGEST:
+                self.long.append(w)
         return self.known
 
     def split(self, text: str) -> list[str]:
@@ -230,21 +247,19 @@ class TrieCodec:
                 out = cut
         return out
 
-    def encode_many(self, texts: list[str | None]) -> list[list[int]]:
-        out: list[list[int]] = []
+    def known_of(self, texts: list[str | None]):
+        """For each text what is known of its pre-tokens, in order; special ids come as entries of their own."""
         for a, b in slices(texts, 500_000):
             rows = [[self.split(x) if isinstance(x, str) else x for x in self.sections(t)] if t else [] for t in texts[a:b]]
-            table = self.table([x for r in rows for x in r if isinstance(x, list)])
+            get = self.table([x for r in rows for x in r if isinstance(x, list)]).__getitem__
             for r in rows:
-                ids: list[int] = []
-                for x in r:
-                    if isinstance(x, int):
-                        ids.append(x)
-                    else:
-                        for got in map(table.__getitem__, x):
-                            ids += got
-                out.append(ids)
-        return out
+                if len(r) == 1 and isinstance(r[0], list):
+                    yield list(map(get, r[0]))
+                else:
+                    yield [e for x in r for e in ([((x,), str(x), self.bytes_of[x])] if isinstance(x, int) else map(get, x))]
+
+    def encode_many(self, texts: list[str | None]) -> list[list[int]]:
+        return [list(chain.from_iterable(e[0] for e in row)) for row in self.known_of(texts)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -300,12 +315,12 @@ def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
         c = codec(path)
         for b in batches:
             texts = b.column(1).to_pylist()
-            for begin, end in slices(texts, 1_000_000):
-                yield part(c, b.column(0).slice(begin, end - begin), c.encode_many(texts[begin:end]))
-
-    def part(c, keys, ids):
-        named = [hashlib.sha256(",".join(map(c.name.__getitem__, x)).encode()).hexdigest() for x in ids]
-        back = [hashlib.sha256(c.decode(x).encode()).hexdigest() for x in ids]
-        return pa.RecordBatch.from_arrays([keys, pa.array([len(x) for x in ids], pa.int64()), pa.array(named), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            counts, named, back = [], [], []
+            for row in c.known_of(texts):
+                ids, names, raw = zip(*row) if row else ((), (), ())
+                counts.append(sum(map(len, ids)))
+                named.append(hashlib.sha256(",".join(names).encode()).hexdigest())
+                back.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(named, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: returned(run(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
