@@ -2,30 +2,39 @@
 
 The patterns find e-mail and IP addresses, card and phone numbers. The field
 tags words by their shape (runs of capitals, small letters and digits), their
-length and their neighbours; it is trained on the small labelled table in
-``pii_examples`` by gradient ascent on the likelihood, with exact sums by the
-forward-backward recursion. Words without a digit or an at sign cannot be part
-of what it tags, so they are certain, and they cut the chain: only the runs of
-other words are decoded, by Viterbi in numpy over all runs of a length at once.
-Tagged spans are added where no pattern's span is; pattern spans stay as found.
+length and their neighbours. It is trained on a small labelled table of marked
+lines (a parameter; ``pii_examples`` makes the default one) by gradient ascent
+on the likelihood, with exact sums by the forward-backward recursion. Its words
+are those with a digit or an at sign and the three words after a cue such as
+"password", so secrets of letters alone are reached; other words are never
+personal data here, and they cut the chain. Runs are decoded by Viterbi in
+numpy, all runs of a length at once.
+
+A tagged span has to be what its kind says (a card number passes Luhn, an
+address has four parts up to 255, a phone number 7 to 15 digits), else it goes;
+two numbers in a row are taken apart. Words of a tagged span that a pattern has
+found are left to the pattern; pattern spans stay as found.
 
 Cases: a null text is empty and has no spans; repeated rows give repeated rows;
-texts are scanned in time proportional to their length; an empty table gives no
-rows; columns beyond doc_id and text are ignored.
+spans with equal begins are in the order of kinds, then by end; texts are scanned
+whole, in time proportional to their length; an empty table gives no rows;
+columns beyond doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from functools import lru_cache
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.pii_examples import EXAMPLES
+from lodestone.llm import pii_examples
 from lodestone.llm.memory import bounded, returned
 from lodestone.session import ship
 
@@ -88,76 +97,120 @@ def patterns(text: str) -> list[tuple[int, int, str]]:
 
 _HOT = re.compile("[0-9@]+")
 _PIECE = re.compile(r"""[^\s"'=,;:|!?%#&*$<>{}\[\]/]+|\S""")
-_EDGES = set(" \t\n\r\x0b\x0c\"'=,;:|!?%#&*$<>{}[]/\x85\xa0  　")
-_CUE = re.compile(r"(?:pass(?:word|wd)?|pwd|token|secret|key|api)[a-z_-]*", re.I)
+_EDGES = set(" \t\n\r\x0b\x0c\"'=,;:|!?%#&*$<>{}[]/\x85\xa0\u2003\u3000")
+_CUE = re.compile(r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|tokens?|credentials?|(?:api|access|private|auth)[_-]key|key|bearer)(?![A-Za-z])[A-Za-z_-]*", re.I)
+#: The words after a cue that the field looks at, on the same line.
+AFTER_CUE = 3
+_CUE_WORD = re.compile(r"(?:[A-Za-z_]*(?:pass(?:word|wd|phrase|code)|pwd|secret|tokens?|credentials?|key|bearer)[A-Za-z_-]*)", re.I)
 _PHONE_CUE = re.compile(r"(?:phone|tel|fax|mobile|call|ring|cell)\.?", re.I)
-_SHAPES = ((re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[a-zß-öø-ÿ]+"), "a"), (re.compile("[0-9]+"), "9"))
+_NEXT = re.compile(r"""[ \t"'=:]{1,6}([^\s"'=,;:|!?%#&*$<>{}\[\]/]+)""")
+_GAP = re.compile(r"""[ "'=:]{1,4}\Z""")
+_SHAPES = ((re.compile("[A-ZÀ-ÖØ-Þ]+"), "\x01"), (re.compile("[a-zß-öø-ÿ]+"), "a"), (re.compile("[0-9]+"), "9"))
 _HEX = re.compile("(?:[0-9a-f]+|[0-9A-F]+)\\Z")
 
 
 def shape(word: str) -> str:
-    """Runs of capitals, small letters and digits as A, a and 9; at most eight characters of it."""
+    """Runs of capitals, small letters and digits as A, a and 9; at most sixteen characters of it."""
     for p, s in _SHAPES:
-        word = p.sub(s if s != "A" else "\x01", word)
-    return word.replace("\x01", "A")[:8]
+        word = p.sub(s, word)
+    return word.replace("\x01", "A")[:16]
 
 
 def _bucket(n: int) -> int:
     return 0 if n == 0 else n.bit_length() if n < 16 else 5 if n < 20 else 6 if n < 32 else 7
 
 
+def _trimmed(text: str, begin: int, end: int, least: int) -> int:
+    """The end of a word without full stops and a closing bracket of its sentence."""
+    opened = "(" in text[begin:end]
+    while end > least and (text[end - 1] == "." or text[end - 1] == ")" and not opened):
+        end -= 1
+    return end
+
+
 def runs(text: str) -> list[list[tuple[int, int]]]:
-    """The runs of neighbouring words that hold a digit or an at sign, as spans of their words."""
-    out: list[list[tuple[int, int]]] = []
+    """The runs of neighbouring words that the field tags, as spans of their words."""
+    words: list[tuple[int, int]] = []
     done = 0
     for m in _HOT.finditer(text):
         if m.start() < done:
             continue
         begin = m.start()
-        while begin > done and text[begin - 1] not in _EDGES:
+        while begin > done and text[begin - 1] not in _EDGES and not text[begin - 1].isspace():
             begin -= 1
-        p = _PIECE.match(text, begin)
-        end = p.end()
-        while end > m.end() and text[end - 1] in ".)" and (text[end - 1] == "." or "(" not in text[begin:end]):
-            end -= 1
-        if out and text[out[-1][-1][1] : begin].strip(" ") == "":
-            out[-1].append((begin, end))
-        else:
-            out.append([(begin, end)])
+        end = _trimmed(text, begin, _PIECE.match(text, begin).end(), m.end())
+        words.append((begin, end))
         done = max(end, m.end())
+    cued = []
+    for m in _CUE.finditer(text):
+        at = m.end()
+        for _ in range(AFTER_CUE):
+            n = _NEXT.match(text, at)
+            if not n:
+                break
+            cued.append((n.start(1), _trimmed(text, n.start(1), n.end(1), n.start(1) + 1)))
+            at = n.end(1)
+    if cued:
+        hot = set(words)
+        starts = {a for a, _ in words}
+        words = sorted(hot | {(a, b) for a, b in cued if a not in starts})
+    out: list[list[tuple[int, int]]] = []
+    for a, b in words:
+        if out and a < out[-1][-1][1]:
+            continue
+        if out and _GAP.match(text[out[-1][-1][1] : a]):
+            out[-1].append((a, b))
+        else:
+            out.append([(a, b)])
     return out
 
 
 def features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
     """The features of each word of a run."""
-    before = text[max(0, run[0][0] - 24) : run[0][0]]
-    cues = []
-    words_before = re.findall(r"[^\W\d_][\w-]*", before)[-2:]
-    if any(_CUE.fullmatch(w) for w in words_before) or re.search(r"(?:key|token|secret)\W*\Z", before, re.I):
-        cues.append("cue:secret")
-    if any(_PHONE_CUE.fullmatch(w) for w in words_before):
-        cues.append("cue:phone")
-    if re.search(r"[=:]\s*[\"']?\Z", before):
-        cues.append("cue:set")
     words = [text[a:b] for a, b in run]
     shapes = [shape(w) for w in words]
-    whole = sum(sum(c.isdigit() for c in w) for w in words)
+    digits = [sum(c.isdigit() for c in w) for w in words]
+    # the digits and the number of numbers side by side, at each word of theirs
+    sides: list[tuple[int, int]] = []
+    for number, group in groupby(range(len(words)), lambda i: digits[i] > 0 and digits[i] + 3 >= len(words[i])):
+        group = list(group)
+        sides += [(sum(digits[i] for i in group), len(group) - 1)] * len(group) if number else [(digits[i], 0) for i in group]
     out = []
     for i, w in enumerate(words):
-        digits = sum(c.isdigit() for c in w)
+        before = text[max(0, run[i][0] - 32) : run[i][0]]
+        gap = before[len(before.rstrip(" \"'=:")) :]
+        near = re.findall(r"[^\W\d][\w.-]*", before)[-3:]
         letters = sum(c.isalpha() for c in w)
-        f = ["bias", f"shape:{shapes[i]}", f"size:{_bucket(len(w))}", f"digits:{_bucket(digits)}", f"run:{_bucket(whole)}", f"last:{shapes[i - 1] if i else '-'}", f"next:{shapes[i + 1] if i + 1 < len(words) else '-'}"]
-        if len(w) >= 12 and digits and letters and _HEX.match(w):
+        f = ["bias", f"shape:{shapes[i]}", f"size:{_bucket(len(w))}", f"digits:{_bucket(digits[i])}", f"run:{_bucket(sides[i][0])}", f"last:{shapes[i - 1] if i else '-'}", f"next:{shapes[i + 1] if i + 1 < len(words) else '-'}", f"words:{min(sides[i][1], 6)}"]
+        if letters and not digits[i] and "@" not in w:
+            f.append("letters")
+            f.append("long letters" if len(w) >= 10 else "short letters")
+        if len(w) >= 12 and digits[i] and letters and _HEX.match(w):
             f.append("hex")
-        if len(w) >= 16 and digits and letters and w.isupper() and w.isalnum():
+        if len(w) >= 16 and digits[i] and letters and w.isupper() and w.isalnum():
             f.append("capital key")
-        if digits and digits == len(w):
-            f.append(f"number:{min(digits, 20)}")
+        if len(w) >= 12 and digits[i] and letters and w.isalnum():
+            f.append("mixed")
+        if digits[i] and digits[i] == len(w):
+            f.append(f"number:{min(digits[i], 20)}")
+            if 13 <= len(w) <= 19:
+                f.append("luhn" if luhn(w) else "no luhn")
         if 0 < w.find("@") < len(w) - 3:
             f.append("address" if "." in w[w.find("@") :] else "at")
         if w.count(".") == 3 and not letters:
             f.append("dots")
-        f += [c + (":hex" if "hex" in f else ":long" if len(w) >= 8 else ":short") for c in cues]
+        size = "long" if len(w) >= 8 else "short"
+        for back, x in enumerate(reversed(near), 1):
+            if _CUE_WORD.fullmatch(x):
+                f.append(f"cue:{back}:{size}")
+                if "=" in gap or ":" in gap or '"' in gap:
+                    f.append(f"set:{back}:{size}")
+            if _PHONE_CUE.fullmatch(x):
+                f.append(f"phone:{back}")
+            if back == 1 and x in ("is", "was"):
+                f.append(f"is:{size}")
+        if "=" in gap or '"' in gap:
+            f.append(f"given:{size}")
         out.append(f)
     return out
 
@@ -211,74 +264,119 @@ def parse(line: str) -> tuple[str, list[tuple[int, int, str]]]:
     return text, spans
 
 
-def train(lines: list[str] = EXAMPLES, rounds: int = 200, rate: float = 0.2, decay: float = 0.02) -> Field:
-    """Fit the field to the labelled table by gradient ascent with moments (Adam), from zero weights."""
-    data = []
+def train(lines: list[str] | None = None, rounds: int = 120, rate: float = 0.2, decay: float = 0.02) -> Field:
+    """Fit the field to a labelled table by gradient ascent with moments (Adam), from zero weights."""
     names: dict[str, int] = {}
-    for line in lines:
+    by: dict[int, list[tuple[list[list[int]], list[int]]]] = {}
+    for line in pii_examples.lines() if lines is None else lines:
         text, spans = parse(line)
         for run in runs(text):
-            f = features(text, run)
-            y = [next((LABELS.index(k) for a, b, k in spans if a < e and s < b), 0) for s, e in run]
-            data.append(([[names.setdefault(x, len(names)) for x in row] for row in f], y))
-    k = len(LABELS)
-    w = [np.zeros((len(names), k)), np.zeros((k, k))]
+            f = [[names.setdefault(x, len(names)) for x in row] for row in features(text, run)]
+            by.setdefault(len(run), []).append((f, [next((LABELS.index(k) for a, b, k in spans if a < e and s < b), 0) for s, e in run]))
+    k, n = len(LABELS), len(names)
+    groups = []
+    for length, chains in by.items():
+        most = max(len(row) for f, _ in chains for row in f)
+        at = np.full((len(chains), length, most), n)  # the last row of weights stays zero
+        for i, (f, _) in enumerate(chains):
+            for t, row in enumerate(f):
+                at[i, t, : len(row)] = row
+        groups.append((at, np.array([y for _, y in chains])))
+    w = [np.zeros((n + 1, k)), np.zeros((k, k))]
     m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     for r in range(1, rounds + 1):
         g = [-decay * x for x in w]
-        for rows, y in data:
-            e = np.stack([w[0][row].sum(axis=0) for row in rows])
-            n = len(rows)
-            alpha, beta = [e[0]], [np.zeros(k)]
-            for t in range(1, n):
-                alpha.append(_logsum(alpha[-1][:, None] + w[1], 0) + e[t])
-            for t in range(n - 1, 0, -1):
-                beta.append(_logsum(w[1] + e[t] + beta[-1], 1))
+        for at, y in groups:
+            e = w[0][at].sum(axis=2)
+            length = e.shape[1]
+            alpha, beta = [e[:, 0]], [np.zeros_like(e[:, 0])]
+            for t in range(1, length):
+                alpha.append(_logsum(alpha[-1][:, :, None] + w[1], 1) + e[:, t])
+            for t in range(length - 1, 0, -1):
+                beta.append(_logsum(w[1] + (e[:, t] + beta[-1])[:, None, :], 2))
             beta.reverse()
-            z = _logsum(alpha[-1], 0)
-            for t, row in enumerate(rows):
+            z = _logsum(alpha[-1], 1)[:, None]
+            rows = np.arange(len(y))
+            for t in range(length):
                 p = -np.exp(alpha[t] + beta[t] - z)
-                p[y[t]] += 1
-                for i in row:
-                    g[0][i] += p
+                p[rows, y[:, t]] += 1
+                np.add.at(g[0], at[:, t].reshape(-1), np.repeat(p, at.shape[2], axis=0))
                 if t:
-                    g[1] -= np.exp(alpha[t - 1][:, None] + w[1] + e[t] + beta[t] - z)
-                    g[1][y[t - 1], y[t]] += 1
+                    g[1] -= np.exp(alpha[t - 1][:, :, None] + w[1] + (e[:, t] + beta[t])[:, None, :] - z[:, :, None]).sum(axis=0)
+                    np.add.at(g[1], (y[:, t - 1], y[:, t]), 1)
+        g[0][n] = 0
         for i in range(2):
             m[i] = 0.9 * m[i] + 0.1 * g[i]
             v[i] = 0.99 * v[i] + 0.01 * g[i] ** 2
             w[i] = w[i] + rate * (m[i] / (1 - 0.9**r)) / (np.sqrt(v[i] / (1 - 0.99**r)) + 1e-8)
-    return Field(names, w[0], w[1])
+    return Field(names, w[0][:n], w[1])
+
+
+def fit(labelled: DataFrame, column: str = "line", most: int = 5_000) -> Field:
+    """A field fitted to a table of marked lines; of more than ``most`` lines those with the least hashes are taken."""
+    rows = labelled.where(F.col(column).isNotNull()).select(F.col(column).alias("line"))
+    return train([r.line for r in rows.orderBy(F.xxhash64("line"), "line").limit(most).collect()])
 
 
 @lru_cache(maxsize=1)
 def trained() -> Field:
-    """The field fitted to the labelled table, once in a process."""
+    """The field fitted to the default table, once in a process."""
     return train()
 
 
+def _sound(kind: str, text: str) -> bool:
+    """Whether a span is what its kind says."""
+    digits = _DIGITS.sub("", text)
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "ip":
+        return bool(_IP.fullmatch(text)) and all(int(x) <= 255 for x in text.split(".") if len(x) <= 4) and all(len(x) <= 4 for x in text.split("."))
+    if kind == "phone":
+        return 7 <= len(digits) <= 15
+    if kind == "email":
+        return 0 < text.find("@") < len(text) - 1
+    return len(text) >= 4
+
+
+def _pieces(text: str, kind: str, words: list[tuple[int, int]]):
+    """The sound spans of neighbouring words of one label: the whole, or else parts from the left, the longest first."""
+    at = 0
+    while at < len(words):
+        for end in range(min(len(words), at + 8), at, -1):
+            a, b = words[at][0], words[end - 1][1]
+            if _sound(kind, text[a:b]):
+                yield a, b, kind
+                break
+        else:
+            end = at + 1
+        at = end
+
+
 def find(texts: list[str | None], field: Field) -> list[tuple[list, list]]:
     """For each text its pattern spans, and all spans with those that the field adds."""
     base, where, chains = [], [], []
     for i, text in enumerate(texts):
-        found = patterns(text) if text else []
-        base.append(found)
-        if not text or not _HIT.search(text):
-            continue
-        for run in runs(text):
+        base.append(patterns(text) if text else [])
+        for run in runs(text) if text else []:
             where.append((i, run))
             chains.append(field.scores(features(text, run)))
     every = [list(b) for b in base]
+    bounds: dict[int, tuple[list[int], list[int]]] = {}  # where pattern spans begin, and how far those so far reach
     for (i, run), labels in zip(where, field.decode(chains)):
+        if not labels.any():
+            continue
+        begins, ends = bounds.setdefault(i, ([a for a, _, _ in base[i]], list(accumulate((b for _, b, _ in base[i]), max))))
+        free = []
+        for a, b in run:
+            before = bisect.bisect_left(begins, b)
+            free.append(not before or ends[before - 1] <= a)
         at = 0
         while at < len(run):
             end = at + 1
-            while end < len(run) and labels[end] == labels[at]:
+            while end < len(run) and labels[end] == labels[at] and free[end] == free[at]:
                 end += 1
-            if labels[at]:
-                a, b = run[at][0], run[end - 1][1]
-                if not any(a < y and x < b for x, y, _ in base[i]):
-                    every[i].append((a, b, LABELS[labels[at]]))
+            if labels[at] and free[at]:
+                every[i] += _pieces(texts[i], LABELS[labels[at]], run[at:end])
             at = end
     for s in every:
         s.sort(key=lambda s: (s[0], _ORDER[s[2]], s[1]))
@@ -290,10 +388,10 @@ def _written(spans: list[tuple[int, int, str]]) -> str:
 
 
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """One row a document: counts of the pattern kinds, the hash of their spans, and all spans."""
+    """One row a document: counts of the pattern kinds, the hash of their spans, all spans and their number."""
     bounded(ship(docs.sparkSession))
     field = field or trained()
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
 
     def run(batches):
         for b in batches:
@@ -302,6 +400,6 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 got = find(texts[at : at + 500], field)
                 counts = [pa.array([sum(s[2] == k for s in base) for base, _ in got], pa.int64()) for k in KINDS[:4]]
                 sha = pa.array([hashlib.sha256(_written(base).encode()).hexdigest() for base, _ in got])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(got)), *counts, sha, pa.array([_written(e) for _, e in got], pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(got)), *counts, sha, pa.array([_written(e) for _, e in got], pa.string()), pa.array([len(e) for _, e in got], pa.int64())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: returned(run(batches)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: returned(run(batches)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
