@@ -27,9 +27,12 @@ from ``equal_chars`` characters on, if that is given; blank ones are left alone.
    each key, and where that is not near with all of the key, which takes time
    with the square of the lines that share a part and are not near.
 
-Cases: a null text has no lines; repeated rows (doc_id and text equal) stay side
-by side, as neither is earlier; a null doc_id is the earliest; an empty table gives no rows; very long lines are handled in memory in
-proportion to their length; other columns are kept by ``dedup``.
+Cases: a null text has no lines; of repeated rows (doc_id and text equal) one
+counts as the earlier, and the others lose all lines that count; a null doc_id
+is the earliest; ties of doc_id go by the text's hash; an empty table gives no
+rows; very long lines are handled in memory in proportion to their length; other
+columns are kept by ``dedup``, whatever their names, and ignored by
+``dedup_digest``.
 """
 
 from __future__ import annotations
@@ -232,22 +235,29 @@ def kept_places(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int |
 
 
 def _applied(docs: DataFrame, min_chars: int, equal_chars: int | None, per: int | None) -> DataFrame:
-    """The rows of docs with ``lines`` (all of them) and ``left`` (those that stay)."""
+    """``row`` (a row of docs as a struct), ``lines`` (all of its lines) and ``left`` (those that stay)."""
     floor = min(min_chars, equal_chars or min_chars)
     kept = kept_places(docs, min_chars, equal_chars, per).groupBy("d", "r").agg(F.collect_list("l").alias("stay"))
-    place = _place()
-    d = docs.withColumn("__d", place[0]).withColumn("__r", place[1])
-    own = kept.withColumnsRenamed({"d": "__d", "r": "__r", "stay": "__stay"})
-    joined = d.join(own, ["__d", "__r"], "left")
-    joined = joined.withColumn("__lines", F.coalesce(F.split(F.col("text").cast("string"), "\n"), F.array().cast("array<string>")))
-    stay = F.coalesce("__stay", F.array().cast("array<int>"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(*_place(), F.lit(True).alias("earlier"), row)
+    again = stored(rows.groupBy("d", "r").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "r"), "repeated")
+    if not again.isEmpty():
+        again = _small(again)
+        # repeated rows are numbered where they are, and written, so that their numbers stay
+        numbered = stored(rows.join(again, ["d", "r"], "left_semi").withColumn("at", F.monotonically_increasing_id()), "repeated-rows")
+        least = numbered.groupBy("d", "r").agg(F.min("at").alias("least"))
+        told = numbered.join(_small(least), ["d", "r"]).select("d", "r", (F.col("at") == F.col("least")).alias("earlier"), "row")
+        rows = rows.join(again, ["d", "r"], "left_anti").unionByName(told)
+    joined = rows.join(kept, ["d", "r"], "left")
+    joined = joined.withColumn("lines", F.coalesce(F.split(F.col("row.text").cast("string"), "\n"), F.array().cast("array<string>")))
+    stay = F.when(F.col("earlier"), F.coalesce("stay", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
     # a flag for each line number
-    dropped = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), stay)
+    dropped = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), stay)
     marks = F.array_sort(F.concat(F.transform(stay, lambda i: F.struct(i.alias("i"), F.lit(True).alias("s"))), F.transform(dropped, lambda i: F.struct(i.alias("i"), F.lit(False).alias("s")))))
-    flags = F.when(F.size("__lines") > 0, F.transform(marks, lambda m: m["s"]))
+    flags = F.when(F.size("lines") > 0, F.transform(marks, lambda m: m["s"]))
     # the flags are bound as a variable, so that they are made once for a row and not once for a line
-    pick = lambda marked: F.filter("__lines", lambda x, i: (F.length(F.btrim(x, F.lit(_BLANKS))) < floor) | F.coalesce(F.get(marked, i), F.lit(False)))
-    return joined.withColumn("__left", F.get(F.transform(F.array(flags), pick), F.lit(0)))
+    pick = lambda marked: F.filter("lines", lambda x, i: (F.length(F.btrim(x, F.lit(_BLANKS))) < floor) | F.coalesce(F.get(marked, i), F.lit(False)))
+    return joined.select("row", "lines", F.get(F.transform(F.array(flags), pick), F.lit(0)).alias("left"))
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None, per: int | None = None) -> DataFrame:
@@ -255,18 +265,18 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None =
 
     A document of which no word is left goes; one that had none stays as it is.
     """
-    text = F.array_join("__left", "\n")
-    changed = F.size("__left") < F.size("__lines")
-    out = _applied(docs, min_chars, equal_chars, per).withColumn("text", F.when(changed, text).otherwise(F.col("text"))).where(~changed | (F.length(F.btrim("text", F.lit(_BLANKS))) > 0))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    done = _applied(docs, min_chars, equal_chars, per)
+    changed = F.size("left") < F.size("lines")
+    text = F.array_join("left", "\n")
+    done = done.where(~changed | (F.length(F.btrim(text, F.lit(_BLANKS))) > 0))
+    put = {"text": F.when(changed, text).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
+    return done.select(*[put[c].alias(c) if c in put else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def dedup_digest(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None, per: int | None = None) -> DataFrame:
     """One row a document: its lines, how many of them were dropped, and the hash of what is left."""
     d = _applied(docs.select("doc_id", "text"), min_chars, equal_chars, per)
     return d.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.size("__lines").cast("long").alias("n_lines"), (F.size("__lines") - F.size("__left")).cast("long").alias("n_dropped"),
-        F.md5(F.array_join("__left", "\n").cast("binary")).alias("left_md5"),
+        F.col("row.doc_id").cast("long").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"),
+        F.md5(F.array_join("left", "\n").cast("binary")).alias("left_md5"),
     )

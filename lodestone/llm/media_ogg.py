@@ -6,9 +6,11 @@ puts packets together from the lacing values, separates the logical streams and
 takes each packet's place in time from the granule positions.
 
 Cases: a null text is empty, and so its payload is 64 zero bytes; equal texts
-give equal media; repeated rows give repeated rows; a text of any length is
-handled, a page holding at most 65,025 bytes; an empty table gives no rows;
-columns beyond doc_id and text are ignored.
+give equal media, so ties do not matter; repeated rows give repeated rows; a text
+of any length is handled, a page holding at most 2,550 bytes (65,025 if asked
+for) and a packet going on over pages; an empty table gives no rows; columns
+beyond doc_id and text are ignored by ``media_digest`` and kept by ``to_media``,
+but for one named ``media``, whose place the new column takes.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from pyspark.sql import types as T
 from lodestone.llm.memory import bounded, returned
 from lodestone.session import ship
 
-PACKET = 4096
+#: Bytes of a packet, and segments of a page (up to 255 bytes each): a packet goes on over the end of a page.
+PACKET = 3_000
+SEGMENTS = 10
 STREAMS = 2
 RATE = 8000
 MAGIC = b"\x01rawu8\x00\x00"
@@ -52,7 +56,7 @@ def _page(flags: int, granule: int, serial: int, number: int, lacing: bytes, bod
     return head[:22] + struct.pack("<I", checksum(head + body)) + head[26:] + body
 
 
-def _pages_of(serial: int, packets: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+def _pages_of(serial: int, packets: list[tuple[int, bytes]], most: int) -> list[tuple[int, bytes]]:
     """The pages of a logical stream as (granule of the last packet begun, page)."""
     segments: list[tuple[int, bytes, bool]] = []
     for granule, packet in packets:
@@ -62,17 +66,17 @@ def _pages_of(serial: int, packets: list[tuple[int, bytes]]) -> list[tuple[int,
         segments.append((granule, packet[255 * whole :], True))
         assert rest < 255
     pages, number, carried = [], 1, False
-    for at in range(0, len(segments), 255):
-        part = segments[at : at + 255]
+    for at in range(0, len(segments), most):
+        part = segments[at : at + most]
         ended = [g for g, _, last in part if last]
-        flags = (1 if carried else 0) | (4 if at + 255 >= len(segments) else 0)
+        flags = (1 if carried else 0) | (4 if at + most >= len(segments) else 0)
         page = _page(flags, ended[-1] if ended else -1, serial, number, bytes(len(s) for _, s, _ in part), b"".join(s for _, s, _ in part))
         pages.append((part[-1][0], page))
         number, carried = number + 1, not part[-1][2]
     return pages
 
 
-def encode(payload: bytes, packet: int = PACKET, streams: int = STREAMS, rate: int = RATE) -> bytes:
+def encode(payload: bytes, packet: int = PACKET, streams: int = STREAMS, rate: int = RATE, segments: int = SEGMENTS) -> bytes:
     """An Ogg bitstream of the payload: packet i goes to logical stream i mod streams.
 
     A granule position is the count of samples of the whole payload up to the end
@@ -84,7 +88,7 @@ def encode(payload: bytes, packet: int = PACKET, streams: int = STREAMS, rate: i
         parts[i % streams].append((at + len(piece), piece))
     used = [(k + 1, p) for k, p in enumerate(parts) if p]
     out = [_page(2, 0, serial, 0, bytes([len(MAGIC) + 12]), MAGIC + struct.pack("<III", rate, streams, packet)) for serial, _ in used]
-    pages = [(granule, serial, n, page) for serial, p in used for n, (granule, page) in enumerate(_pages_of(serial, p))]
+    pages = [(granule, serial, n, page) for serial, p in used for n, (granule, page) in enumerate(_pages_of(serial, p, segments))]
     pages.sort(key=lambda x: x[:3])
     return b"".join(out + [x[3] for x in pages])
 
@@ -183,14 +187,14 @@ def digest(text: str | None) -> tuple:
 def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs with a binary column ``media`` in place of the text."""
     bounded(ship(docs.sparkSession))
-    rest = [c for c in docs.columns if c != text]
-    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField("media", T.BinaryType())])
+    rest = [c for c in docs.columns if c.lower() not in (text.lower(), "media")]
+    docs = docs.select(*[docs[f"`{c}`"] for c in rest], docs[text].cast("string"))
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("media", T.BinaryType())])
 
     def run(batches):
         for b in batches:
-            media = pa.array([encode(_payload(t)) for t in b.column(b.schema.get_field_index(text)).to_pylist()], pa.binary())
-            kept = [b.column(b.schema.get_field_index(c)) for c in rest]
-            yield pa.RecordBatch.from_arrays(kept + [media], names=[*rest, "media"])
+            media = pa.array([encode(_payload(t)) for t in b.column(len(rest)).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], media], names=[*rest, "media"])
 
     return docs.mapInArrow(lambda batches: returned(run(batches)), schema)
 

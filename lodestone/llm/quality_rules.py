@@ -80,7 +80,9 @@ def _repeat_words(words: Column, n: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _bind(found, twice)).otherwise(F.lit(0).cast("long"))
 
-    windows = F.transform(F.sequence(F.lit(1), n.cast("int") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    # words are hashed once, and a window is the hash of its words' hashes
+    hashed = lambda h: F.transform(F.sequence(F.lit(1), n.cast("int") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
+    windows = _bind(F.transform(words, lambda w: F.xxhash64(w)), hashed)
     return F.when(n > WINDOW, _bind(windows, covered)).otherwise(F.lit(0).cast("long"))
 
 

@@ -7,13 +7,17 @@ found without sorting: each round counts the exact bytes between candidate keys
 over all partitions (one map-side-combined aggregation of at most a few hundred
 numbers), keeps for each border the bracket that must hold it, and puts new
 probes in it, until the bytes below a probe are within ``tolerance`` of the
-border's target or a single row is left between them. Then the rows are exchanged once, by fine key ranges that nest
+border's target or a single row (or a single key) is left between them; a
+bracket gets smaller by seven eighths or more each round, so that ends. Then the rows are exchanged once, by fine key ranges that nest
 in the shards; their order in a range and the prefix sums of the ranges' counts
 give the slots.
 
 Cases: a null text has size 1; a null doc_id is a key like any other; repeated
-rows get slots of their own; one text larger than a shard stays whole, and so
-does its shard; an empty table gives no rows; further columns are ignored.
+rows get slots of their own, however many there are; rows with equal keys are in
+the order of doc_id, size, CRC and copy; one text larger than a shard stays
+whole, and so does its shard; only sizes and CRCs of very long texts are moved;
+an empty table gives no rows; further columns are ignored by ``assign`` and kept
+by ``shard_texts``, but for one named ``shard``, whose place the new one takes.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from lodestone.session import stored
 SHARDS = 16
 TOLERANCE = 0.001
 PROBES = 16
-ROUNDS = 24
+#: Equal rows beyond this number are numbered in blocks of it, spread over tasks.
+COPIES = 4_096
 #: Rows of about this number share a key range, which is sorted in one task.
 RANGE_ROWS = 200_000
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
@@ -42,7 +47,10 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     )
     counted = narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
-    one = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    few = counted.where(F.col("copies") <= COPIES).withColumn("first", F.lit(1).cast("long")).withColumn("last", F.col("copies"))
+    blocks = counted.where(F.col("copies") > COPIES).withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(COPIES).cast("long"))))
+    many = blocks.withColumn("last", F.least("copies", F.col("first") + (COPIES - 1))).repartition("doc_id", "size", "text_crc32", "first")
+    one = few.unionByName(many).withColumn("copy", F.explode(F.sequence("first", "last")))
     return one.select("doc_id", "size", "text_crc32", "copy", F.xxhash64("doc_id", "size", "text_crc32", "copy").alias("key"))
 
 
@@ -80,9 +88,9 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
     low = [(_LOW, 0, 0)] * len(targets)
     high = [(_HIGH, total, n_rows)] * len(targets)
     found: list[int | None] = [None] * len(targets)
-    for _ in range(ROUNDS):
+    while total:
         open_ = [i for i, f in enumerate(found) if f is None]
-        if not open_ or not total:
+        if not open_:
             break
         probes: set[int] = set()
         for i in open_:
@@ -101,10 +109,10 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
                 if n >= targets[i] and key < high[i][0]:
                     high[i] = (key, n, k)
             best = min((low[i], high[i]), key=lambda e: abs(e[1] - targets[i]))
-            # one row between the two cannot be split, so the nearer end is the border
-            if abs(best[1] - targets[i]) <= slack or high[i][2] - low[i][2] <= 1:
+            # one row, or rows of one key, between the two cannot be split, so the nearer end is the border
+            if abs(best[1] - targets[i]) <= slack or high[i][2] - low[i][2] <= 1 or high[i][0] - low[i][0] <= 1:
                 found[i] = best[0]
-    return sorted(_HIGH if f is None and not total else min((low[i], high[i]), key=lambda e: abs(e[1] - targets[i]))[0] if f is None else f for i, f in enumerate(found))
+    return sorted(_HIGH if f is None else f for f in found)
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
@@ -129,12 +137,19 @@ def assign(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE)
 
 
 def shard_texts(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The documents with all their columns and a column ``shard``, exchanged once by it.
+    """The documents with all their columns and a column ``shard``, exchanged once by it: partition i holds shard i.
 
-    Equal rows keep their first copy's key here, so they stay in one shard.
+    Equal rows are dealt over the keys of their copies by a hash of their place
+    in the input, so a row repeated very often is spread as the borders count it.
     """
-    borders = splitters(stored(keyed(docs), "shard-keys"), shards, tolerance)
+    rows = stored(keyed(docs), "shard-keys")
+    borders = splitters(rows, shards, tolerance)
     text = F.col("text").cast("string")
-    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
-    key = F.xxhash64(F.col("doc_id").cast("long"), size, F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(1).cast("long"))
-    return docs.withColumn("shard", _slot(key, borders).cast("int")).repartition(shards, "shard")
+    own = [F.col("doc_id").cast("long").alias("i"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("z"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("c")]
+    names = [c for c in docs.columns if c.lower() != "shard"]
+    keyed_ = docs.select(*own, F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    twice = rows.groupBy(F.col("doc_id").alias("i2"), F.col("size").alias("z2"), F.col("text_crc32").alias("c2")).agg(F.max("copy").alias("copies")).where("copies > 1")
+    same = F.col("i").eqNullSafe(F.col("i2")) & (F.col("z") == F.col("z2")) & (F.col("c") == F.col("c2"))
+    dealt = keyed_.join(twice, same, "left").withColumn("copy", F.when(F.col("copies") > 1, F.pmod(F.xxhash64("at"), "copies") + 1).otherwise(F.lit(1)).cast("long"))
+    placed = dealt.select(_slot(F.xxhash64("i", "z", "c", "copy"), borders).cast("int").alias("shard"), "row")
+    return placed.repartitionById(shards, F.col("shard")).select("row.*", "shard")

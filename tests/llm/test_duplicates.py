@@ -220,10 +220,12 @@ def brute_lines(rows):
     for at, x in sorted(seen):
         first.setdefault(x, at)
     gone = {x for x in first for y in first if first[y] < first[x] and within_one(x, y)}
-    out = collections.Counter()
+    out, before = collections.Counter(), set()
     for i, t, *_ in rows:
         pieces = t.split("\n") if t is not None else []
-        left = [x for n, x in enumerate(pieces) if len(x.strip(BLANK)) < 20 or (x.strip(BLANK) not in gone and first[x.strip(BLANK)] == (-1 if i is None else i, n))]
+        again = (i, t) in before  # of repeated rows one is the earlier
+        before.add((i, t))
+        left = [x for n, x in enumerate(pieces) if len(x.strip(BLANK)) < 20 or (not again and x.strip(BLANK) not in gone and first[x.strip(BLANK)] == (-1 if i is None else i, n))]
         out[i, len(pieces), len(pieces) - len(left), hashlib.md5("\n".join(left).encode()).hexdigest()] += 1
     return out
 
@@ -233,7 +235,20 @@ def test_line_dedup(docs, rows, empty, wide):
     assert got == brute_lines(rows)
     assert line_dedup.dedup_digest(empty).count() == 0
     assert line_dedup.dedup(empty).count() == 0
-    assert line_dedup.dedup(wide).columns == wide.columns
+    from pyspark.sql import functions as F
+
+    clash = wide.withColumns({c: F.lit(7) for c in ("__d", "__r", "__lines", "__left", "__stay", "lines", "left", "earlier", "r")})
+    out = line_dedup.dedup(clash)
+    assert out.columns == clash.columns and out.where("__d = 7 and __lines = 7 and left = 7 and lines = 7 and d = 1").count() == out.count() == line_dedup.dedup(docs).count()
+
+
+def test_one_of_repeated_rows_keeps_its_lines(spark):
+    a, b = "a line that is long enough to count here", "another line that is long enough as well"
+    rows = [(1, f"{a}\n{b}\nx")] * 3 + [(2, b), (None, a)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_dropped) for r in line_dedup.dedup_digest(d).collect())
+    assert got == [("1", 1), ("1", 2), ("1", 2), ("2", 1), ("None", 0)]
+    assert sorted(r.text for r in line_dedup.dedup(d).collect()) == sorted([a, f"{b}\nx", "x", "x"])
 
 
 def test_rows_of_one_id_are_judged_by_their_own_texts(spark):

@@ -30,6 +30,42 @@ def test_sharding(docs, rows, empty, wide):
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
 
 
+def test_sharding_against_brute_force(spark, docs):
+    """Every row's shard and slot by sorting all keys in one place; borders by walking over all of them."""
+    d = docs.unionByName(spark.range(3000).selectExpr("id + 1000 as doc_id", "repeat('x', cast(id * id % 301 as int)) as text", "'en' as lang", "'s' as source", "1L as n_chars"))
+    keyed = sorted((r.key, r.doc_id if r.doc_id is not None else -1, r["size"], r.text_crc32, r.copy) for r in sharding.keyed(d).collect())
+    total = sum(k[2] for k in keyed)
+    borders = sharding.splitters(sharding.keyed(d))
+    assert len(borders) == 15 and borders == sorted(borders)
+    for i, border in enumerate(borders, 1):
+        below = [k for k in keyed if k[0] < border]
+        size, target = sum(k[2] for k in below), total * i // 16
+        near = [size, size + (keyed[len(below)][2] if len(below) < len(keyed) else 0), size - (below[-1][2] if below else 0)]
+        assert abs(size - target) <= max(1, total / 16 * sharding.TOLERANCE) or abs(size - target) == min(abs(x - target) for x in near)
+    want, slots = collections.Counter(), collections.Counter()
+    for key, i, size, crc, _ in keyed:
+        shard = sum(b <= key for b in borders)
+        want[i, size, crc, shard, slots[shard]] += 1
+        slots[shard] += 1
+    got = collections.Counter((r.doc_id if r.doc_id is not None else -1, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.assign(d).collect())
+    assert got == want
+
+
+def test_very_many_copies_are_numbered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 100)
+    d = spark.range(2050).selectExpr("cast(null as bigint) as doc_id", "'' as text")
+    assert sorted(r.copy for r in sharding.keyed(d).collect()) == list(range(1, 2051))
+    assert [r.n for r in sharding.shard_texts(d, 4).groupBy("shard").count().selectExpr("count as n").collect()] and sharding.shard_texts(d, 4).count() == 2050
+    assert max(r["count"] for r in sharding.shard_texts(d, 4).groupBy("shard").count().collect()) < 700
+
+
+def test_borders_close_together_are_found(spark):
+    """Two rows hold nearly all bytes, so most borders lie around single rows."""
+    d = spark.range(40).selectExpr("id as doc_id", "case when id in (3, 17) then repeat('y', 100000) else 'z' end as text")
+    got = sharding.assign(d).collect()
+    assert len(got) == 40 and all(0 <= r.shard < 16 for r in got)
+
+
 def test_shards_are_near_equal(spark):
     d = spark.range(20_000).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text")
     sizes = [r["s"] for r in sharding.assign(d).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "s").collect()]
@@ -40,7 +76,10 @@ def test_shards_are_near_equal(spark):
 
 
 def test_shard_texts(docs, rows):
+    from pyspark.sql import functions as F
+
     out = sharding.shard_texts(docs, 4)
+    assert all(r.p == r.shard for r in out.select("shard", F.spark_partition_id().alias("p")).collect()) and out.rdd.getNumPartitions() == 4
     assert out.count() == len(rows) and set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "shard"}
 
 
