@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.constants import BACKFILL, BM25_B, BM25_K1, GROUNDED_COSINE, OVERFETCH, QUERY_SYNTAX, RRF_K
 from lodestone.functions.score import cosine
 from lodestone.functions.text import tokens
+from lodestone.session import stored
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -25,14 +28,15 @@ def parse_query(q: str) -> list[tuple[str, ...]]:
 
 
 def _count(words: Column, phrase: tuple[str, ...]) -> Column:
-    """How often a phrase occurs in a token array, its tokens side by side."""
-    if len(phrase) == 1:
-        return F.size(F.filter(words, lambda w: w == phrase[0]))
-    starts = F.filter(words, lambda w: w == phrase[0])
-    joined = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
-    wanted = " " + "  ".join(phrase) + " "
-    # each token stands between two spaces, so that neighbours do not share one
-    return F.when(F.size(starts) == 0, 0).otherwise(((F.length(joined) - F.length(F.replace(joined, F.lit(wanted), F.lit("")))) / len(wanted)).cast("int"))
+    """How often a phrase occurs in a token array, its tokens side by side; occurrences may overlap."""
+
+    def here(w: Column, i: Column) -> Column:
+        found = w == phrase[0]
+        for k, x in enumerate(phrase[1:], 1):
+            found = found & (F.get(words, i + k) == x)
+        return F.coalesce(found, F.lit(False))
+
+    return F.size(F.filter(words, here))
 
 
 def bm25(docs: DataFrame, queries: dict[str, str], k: int, fields: tuple[str, ...] = ("text", "title")) -> DataFrame:
@@ -81,16 +85,70 @@ def check_dimension(vectors: DataFrame, width: int) -> None:
         raise DimensionMismatch(f"stored vectors have {bad[0].w} numbers, the query has {width}")
 
 
+#: Numbers of the query vectors that are sent to all tasks at once.
+MOST_NUMBERS = 4_000_000
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest vectors of each query (query_id, embedding), by exact cosine, ties by id.
 
-    ``queries`` is broadcast, so it must be a stated, bounded set; each partition
-    keeps its own k best of each query before rows are exchanged.
+    Queries are read in blocks whose vectors have at most ``MOST_NUMBERS``
+    numbers, so what is sent does not grow with the set. A task scores its
+    vectors against a block by one matrix product a batch and keeps the k best of
+    each query, so rows that are exchanged follow tasks and queries, not pairs.
     """
-    scored = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))).select("query_id", "doc_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+    held = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"))
+    n, width = held.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
+    blocks = max(1, -(-n * max(1, width or 1) // MOST_NUMBERS))
+    kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", vectors.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
+    out = None
+    for block in range(blocks):
+        # one block is on the driver at a time: some 32 MB
+        rows = held.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect() if blocks > 1 else held.collect()
+        near = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("v")).mapInArrow(_nearest_in([r.query_id for r in rows], [r.q for r in rows], k), kinds)
+        out = near if out is None else out.unionByName(near)
     order = [F.desc("score"), F.col("doc_id")]
-    near = scored.withColumn("p", F.spark_partition_id()).withColumn("r", F.row_number().over(Window.partitionBy("query_id", "p").orderBy(*order))).where(F.col("r") <= k)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
+def _nearest_in(ids: list, vectors: list, k: int):
+    """A task's k best of each query: scores by matrix product for vectors of one width, zero for other widths and empty norms."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        by: dict[int, tuple] = {}
+        for w in {len(v or []) for v in vectors}:
+            place = [i for i, v in enumerate(vectors) if len(v or []) == w]
+            by[w] = (np.array(place), np.array([vectors[i] or [] for i in place], float).reshape(len(place), w))
+        kept: list[list[tuple]] = [[] for _ in ids]
+        for b in batches:
+            keys, held = b.column(0), b.column(1)
+            sizes = held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            scores = np.zeros((len(sizes), len(ids)))
+            for w, (place, q) in by.items():
+                rows = np.flatnonzero(sizes == w)
+                if w and len(rows):
+                    m = held.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, w)
+                    norm = np.sqrt((m * m).sum(axis=1))[:, None] * np.sqrt((q * q).sum(axis=1))[None, :]
+                    scores[np.ix_(rows, place)] = np.divide(m @ q.T, norm, out=np.zeros_like(norm), where=norm > 0)
+            names = keys.to_pylist()
+            for j, best in enumerate(kept):
+                s = scores[:, j]
+                floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                best += [(-s[i], names[i]) for i in np.flatnonzero(s >= floor)]
+                best.sort()
+                del best[k:]
+        rows = [(ids[j], name, -s) for j, best in enumerate(kept) for s, name in best]
+        cols = list(zip(*rows)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.float64())], names=["query_id", "doc_id", "score"]) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([]))
+
+    def full(batches):
+        for b in run(batches):
+            if b.num_rows:
+                yield b
+
+    return full
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -110,29 +168,34 @@ def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     return lists.groupBy("query_id", "doc_id").agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("rrf"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame | None, query: str, embedding: list[float] | None, top_k: int) -> DataFrame:
+def hybrid(docs: DataFrame, vectors: DataFrame | None, query: str, embedding: list[float] | None, top_k: int, sparse: Callable[[dict[str, str], int], DataFrame] | None = None) -> DataFrame:
     """Fused hits: (rank, doc_id, rrf, dense, bm25).
 
     Each leg fetches four times what is asked for; the first two times as many
     fused ids get their cosine if the dense leg ran, even where it did not find
     them. A null says that a leg did not return a document, or did not run.
+    ``sparse`` searches an index (queries, k); without one the texts are scanned.
+    The legs' rows, a few times top_k, are written once and not computed again.
     """
     if top_k > 0 and vectors is not None and embedding is not None:
         check_dimension(vectors, len(embedding))
     n = max(0, top_k)
-    sparse = bm25(docs, {"q": query}, OVERFETCH * n).select("rank", "doc_id", "score")
+    found = sparse({"q": query}, OVERFETCH * n) if sparse else bm25(docs, {"q": query}, OVERFETCH * n)
+    sparse_hits = stored(found.select("rank", "doc_id", "score"), "sparse-leg")
     ran = vectors is not None and embedding is not None
-    dense = nearest(vectors, embedding, OVERFETCH * n) if ran else None
-    lists = sparse.select(F.lit("q").alias("query_id"), "rank", "doc_id")
+    lists = sparse_hits.select(F.lit("q").alias("query_id"), "rank", "doc_id")
     if ran:
-        placed = dense.withColumn("one", F.lit("q")).withColumn("rank", F.row_number().over(Window.partitionBy("one").orderBy(F.desc("score"), "doc_id")))
-        lists = lists.unionByName(placed.select(F.lit("q").alias("query_id"), "rank", "doc_id"))
+        near = nearest(vectors, embedding, OVERFETCH * n).withColumn("one", F.lit("q"))
+        dense = stored(near.withColumn("rank", F.row_number().over(Window.partitionBy("one").orderBy(F.desc("score"), "doc_id"))).select("doc_id", "score", "rank"), "dense-leg")
+        lists = lists.unionByName(dense.select(F.lit("q").alias("query_id"), "rank", "doc_id"))
     fused = rrf(lists).orderBy(F.desc("rrf"), "doc_id").select("doc_id", "rrf")
     kept = fused.limit(OVERFETCH * 2 * n)  # never more than both legs hold
     first = fused.limit(BACKFILL * n)
-    hits = kept.join(docs.select("doc_id").distinct(), "doc_id").join(sparse.select("doc_id", F.col("score").alias("bm25")), "doc_id", "left")
+    there = docs.join(F.broadcast(kept.select("doc_id")), "doc_id", "left_semi").select("doc_id").distinct()  # at most 8 * top_k ids
+    hits = kept.join(F.broadcast(there), "doc_id").join(sparse_hits.select("doc_id", F.col("score").alias("bm25")), "doc_id", "left")
     if ran:
-        hits = hits.join(scores_for(vectors, embedding, first).unionByName(dense).distinct().withColumnRenamed("score", "dense"), "doc_id", "left")
+        backfill = scores_for(vectors, embedding, first).unionByName(dense.select("doc_id", "score")).distinct()
+        hits = hits.join(backfill.withColumnRenamed("score", "dense"), "doc_id", "left")
     else:
         hits = hits.withColumn("dense", F.lit(None).cast("double"))
     top = hits.orderBy(F.desc("rrf"), "doc_id").limit(n)

@@ -6,18 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_terms, tokens
+from lodestone.operators import index
 from lodestone.operators import retrieval as R
+from lodestone.operators.evaluate import rendered
 from lodestone.plans.registry import query
-from lodestone.session import table
+from lodestone.session import scratch, table
 
 TERMS = "the thonre licensed keit"
 PHRASES = "Licensed-under The_and de,la thonre"
+OVERLAPS = "ha-ha ha_ha_ha the-the"
+_INDEXES: dict[tuple[str, str], str] = {}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(" ", "source", "lang").alias("title"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> str:
+    """The postings of a folder's documents, built once a session in the shared scratch space."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = scratch(spark, "index")
+        index.build_sparse(_docs(spark, sf_dir), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def _search(spark: SparkSession, sf_dir: str):
+    return lambda queries, k: index.search(spark, _index(spark, sf_dir), queries, k)
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
@@ -48,12 +66,24 @@ _ROUNDED = "SELECT rank, doc_id, round(score, 6) AS score FROM bm"
 
 @query(f"WITH {_bm25_sql(TERMS, 20)} {_ROUNDED}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(_docs(spark, sf_dir), {"q": TERMS}, 20).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+    return _search(spark, sf_dir)({"q": TERMS}, 20).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_bm25_sql(PHRASES, 20)} {_ROUNDED}")
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(_docs(spark, sf_dir), {"q": PHRASES}, 20).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+    return _search(spark, sf_dir)({"q": PHRASES}, 20).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_bm25_sql(OVERLAPS, 20)} {_ROUNDED}")
+def bm25_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase whose occurrences overlap, from the postings."""
+    return _search(spark, sf_dir)({"q": OVERLAPS}, 20).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_bm25_sql(OVERLAPS, 20)} {_ROUNDED}")
+def bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without an index: the texts are scanned."""
+    return R.bm25(_docs(spark, sf_dir), {"q": OVERLAPS}, 20).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
 _NEAR = "SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings"
@@ -80,7 +110,7 @@ def cosine_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_bm25_sql(TERMS, 40)}, d AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id FROM ({_NEAR}) ORDER BY score DESC, doc_id LIMIT 40)
 SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf FROM (SELECT rank, doc_id FROM bm UNION ALL SELECT rank, doc_id FROM d) GROUP BY doc_id""")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = R.bm25(_docs(spark, sf_dir), {"q": TERMS}, 40).select("query_id", "rank", "doc_id")
+    a = _search(spark, sf_dir)({"q": TERMS}, 40).select("query_id", "rank", "doc_id")
     asked = spark.createDataFrame([("q", _vector(spark, sf_dir))], "query_id string, embedding array<float>")
     b = R.knn(_vectors(spark, sf_dir), asked, 40).select("query_id", "rank", "doc_id")
     return R.rrf(a.unionByName(b)).select("doc_id", F.round("rrf", 9).alias("rrf"))
@@ -103,12 +133,12 @@ def _hits(df: DataFrame) -> DataFrame:
 
 @query(f"{_hybrid_sql(10, True)} {_HITS}")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(R.hybrid(_docs(spark, sf_dir), _vectors(spark, sf_dir), TERMS, _vector(spark, sf_dir), 10))
+    return _hits(R.hybrid(_docs(spark, sf_dir), _vectors(spark, sf_dir), TERMS, _vector(spark, sf_dir), 10, _search(spark, sf_dir)))
 
 
 @query(f"{_hybrid_sql(10, False)} {_HITS}")
 def hybrid_sparse_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(R.hybrid(_docs(spark, sf_dir), None, TERMS, None, 10))
+    return _hits(R.hybrid(_docs(spark, sf_dir), None, TERMS, None, 10, _search(spark, sf_dir)))
 
 
 @query("""SELECT l.quality::VARCHAR || l.toxic::VARCHAR AS query_id, coalesce(CASE WHEN bool_or(c IS NOT NULL) THEN bool_or(coalesce(c >= 0.62, false)) ELSE bool_or(coalesce(length(d.text) > 0, false)) END, false) AS grounded
@@ -131,12 +161,12 @@ def corpus_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, score FROM (SELECT vec_id AS doc_id, coalesce(printf('%.4f', CASE WHEN vec_id % 3 = 0 THEN NULL ELSE vec_id / 8.0 END), '-') AS score FROM embeddings)")
 def hit_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 3 == 0, None).otherwise(F.col("vec_id") / 8.0).alias("s"))
-    return v.select("doc_id", F.when(F.col("s").isNull(), "-").otherwise(F.format_string("%.4f", "s")).alias("score"))
+    return v.select("doc_id", rendered(F.col("s"), 4).alias("score"))
 
 
 @query("SELECT count(*) AS vectors, min(len(embedding))::BIGINT AS dim, count(*) = 0 AS is_empty FROM embeddings")
 def vector_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("vectors"), F.min(F.size("embedding")).cast("long").alias("dim"), (F.count(F.lit(1)) == 0).alias("is_empty"))
+    return index.size(_vectors(spark, sf_dir))
 
 
 @query("SELECT vec_id AS doc_id, CASE WHEN vec_id % 4 = 0 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 50 = 0")
