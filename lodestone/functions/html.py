@@ -122,3 +122,10 @@ def html_to_text_native(html: Column) -> Column:
     x = F.regexp_replace(x, r"<[A-Za-z/!][^>]*>", "")
     x = tidy_blank_lines(decode_entities(x))
     return F.regexp_replace(x, r"\n\z", "")
+
+
+def heading_levels(html: Column) -> Column:
+    """The levels of a page's headings, in order; those below the fourth count as the fourth."""
+    names = F.regexp_extract_all(html, F.lit(r"(?i)<(h[1-6])(?:\s[^>]*)?>"), F.lit(1))
+    levels = F.create_map(*[F.lit(x) for kv in HEADING_LEVELS.items() for x in kv])
+    return F.transform(names, lambda n: F.try_element_at(levels, F.lower(n)))

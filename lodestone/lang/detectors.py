@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import is_authority, stable_id
 from lodestone.lang.ir import Program
+from lodestone.session import stored
 
 # Class, severity, confidence, in catalogue order.
 RULES = (
@@ -120,15 +123,18 @@ def removed_guard(p: Program, use: DataFrame) -> DataFrame:
     return first.unionByName(_found(use.join(free, _KEY), "removed-guard", F.concat_ws(".", "name", "field"), F.col("shown_line"), text, F.col("name")))
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts, by column names."""
+    return reduce(DataFrame.unionByName, parts)
+
+
 DETECTORS = (missing_signer, missing_owner_check, missing_authority_binding, pda_validation_gap, unchecked_arithmetic, removed_guard)
 
 
 def run(p: Program) -> DataFrame:
     """All detectors' findings, numbered in a stable order as ``seq``."""
-    s = p.structs.select("program", F.col("name").alias("struct"), "file")
-    use = p.handlers.select("program", F.col("name").alias("handler"), F.col("context_ty").alias("struct"), F.col("file").alias("handler_file"), "args", "arith", "calls", "writes", "sinks").join(s.drop("file"), ["program", "struct"])
-    out = None
-    for detect in DETECTORS:
-        found = detect(p, use)
-        out = found if out is None else out.unionByName(found)
-    return out.withColumn("seq", F.xxhash64("program", "handler", "class", "subject", "id"))
+    s = p.structs.select("program", F.col("name").alias("struct"))
+    use = p.handlers.select("program", F.col("name").alias("handler"), F.col("context_ty").alias("struct"), F.col("file").alias("handler_file"), "args", "arith", "calls", "writes", "sinks").join(s, ["program", "struct"])
+    use = stored(use, "use")
+    out = union_all([detect(p, use) for detect in DETECTORS])
+    return stored(out.withColumn("seq", F.xxhash64("program", "handler", "class", "subject", "id")), "found")

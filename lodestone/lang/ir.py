@@ -52,6 +52,12 @@ def _first(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("own = first").drop("own", "first"), marked.where("own <> first").drop("own", "first")
 
 
+def matched(rows: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with what ``others`` hold under their key; where that is nothing, ``diagnostic`` says that the row is skipped."""
+    known = others.withColumn("diagnostic", F.lit(None).cast("string")).withColumn("known", F.lit(True))
+    return rows.join(known, key, "left").withColumn("diagnostic", F.when(F.col("known").isNull(), "skipped")).drop("known")
+
+
 def program(files: DataFrame) -> Program:
     """Parse files (program, path, text), each by itself where it lies; a broken file is a diagnostic."""
     ship(files.sparkSession)
@@ -60,19 +66,21 @@ def program(files: DataFrame) -> Program:
     def of(kind: str, schema: str) -> DataFrame:
         return raw.where(F.col("kind") == kind).select("program", "file", "pos", F.from_json("row", schema).alias("r")).select("program", "file", "pos", "r.*")
 
+    # the relations are written once: every detector joins them, and would derive them again from the parse
     structs, more_structs = _first(of("accounts", ACCOUNTS))
     states, more_states = _first(of("state", STATE))
-    handlers = of("handler", HANDLER)
+    structs, states = stored(structs, "structs"), stored(states, "states")
+    handlers = stored(of("handler", HANDLER), "handlers")
     decls = structs.select("program", F.col("name").alias("struct"), F.col("file"), F.posexplode("decls").alias("ix", "d")).select("program", "struct", "file", "ix", "d.*")
-    constraints = decls.select("program", "struct", F.col("name").alias("decl"), F.explode("constraints").alias("c")).select("program", "struct", "decl", "c.kind", "c.payload", compact(F.coalesce("c.payload", F.lit(""))).alias("text"))
+    constraints = stored(decls.select("program", "struct", F.col("name").alias("decl"), F.explode("constraints").alias("c")).select("program", "struct", "decl", "c.kind", "c.payload", compact(F.coalesce("c.payload", F.lit(""))).alias("text")), "constraints")
     has = lambda *kinds: F.exists("constraints", lambda c: c["kind"].isin(*kinds))
-    decls = decls.select(
+    decls = stored(decls.select(
         "*", ((F.col("wrapper") == "Signer") | has("SignerAttr")).alias("enforces_signer"), F.col("wrapper").isin("UncheckedAccount", "AccountInfo").alias("is_unchecked"), has("Seeds").alias("has_seeds"), has("Bump").alias("has_bump"),
         has("Init", "InitIfNeeded").alias("is_init"), has("Init").alias("is_new"), has("Address", "Owner").alias("is_pinned"), has("HasOne").alias("has_one"),
         F.when(F.col("wrapper").isin("Account", "InterfaceAccount"), F.col("inner_ty")).alias("state_ty"), F.when(F.col("attr_line") != 0, F.col("attr_line")).otherwise(F.col("line")).alias("shown_line"),
-    )
+    ), "decls")
     fields = states.select("program", F.col("name").alias("state"), F.posexplode("fields").alias("ix", "f")).select("program", "state", "ix", F.col("f.name").alias("field"), F.col("f.ty").alias("ty"))
-    unknown = handlers.join(structs.select("program", F.col("name").alias("context_ty")), ["program", "context_ty"], "left_anti")
+    unknown = matched(handlers, structs.select("program", F.col("name").alias("context_ty")), ["program", "context_ty"]).where("diagnostic = 'skipped'")
     note = lambda df, kind, text: df.select("program", "file", F.lit(kind).alias("kind"), text.alias("message"))
     diagnostics = (
         note(of("problem", "name string"), "parse", F.col("name"))

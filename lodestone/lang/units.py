@@ -23,6 +23,11 @@ def _listed(x: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(x)), ", ")
 
 
+def absent(present: Column) -> Column:
+    """The constraints that a list lacks, in their fixed order."""
+    return F.filter(F.array(*[F.lit(c) for c in CONSTRAINT_ORDER]), lambda c: ~F.array_contains(present, c))
+
+
 def _clause(before: str, text: Column) -> Column:
     return F.when(F.length(text) > 0, F.concat(F.lit(before), text, F.lit(".")))
 
@@ -52,7 +57,6 @@ def units(p: Program, files: DataFrame) -> DataFrame:
     h = h.join(structs, ["program", "struct"], "left").join(shown, ["program", "struct"], "left").join(states, ["program", "struct"], "left")
     states = F.coalesce("states", F.array().cast("array<struct<state_ty:string,source:string,fields:array<string>>>"))
     source = F.array_join(F.filter(F.concat(F.array(line_slice(F.col("text"), F.col("line"), F.col("end_line")), F.coalesce("struct_source", F.lit(""))), F.transform(states, lambda s: s["source"])), lambda s: s != ""), "\n\n")
-    absent = F.filter(F.array(*[F.lit(c) for c in CONSTRAINT_ORDER]), lambda c: ~F.array_contains(F.coalesce("on_unchecked", none), c))
     bare = F.array_sort(F.array_distinct(F.transform(F.filter("arith", lambda a: ~a["checked"]), lambda a: F.concat(F.lit("unchecked "), _named(a["op"], _OPERATION, "arithmetic")))))
     done = F.concat(
         F.when(F.exists("calls", lambda c: c["is_cpi"]), F.array(F.lit("cross-program invocation"))).otherwise(none), F.when(F.size("writes") > 0, F.array(F.lit("state mutation"))).otherwise(none), bare,
@@ -61,6 +65,6 @@ def units(p: Program, files: DataFrame) -> DataFrame:
     fields = F.array_join(F.transform(F.filter(states, lambda s: F.size(s["fields"]) > 0), lambda s: F.concat(F.lit("State struct "), s["state_ty"], F.lit(" has field "), F.array_join(s["fields"], ", "), F.lit("."))), " ")
     query = F.concat_ws(
         " ", F.concat(F.lit("Solana Anchor instruction "), "name", F.lit(" with "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" accounts.")), _clause("Account types: ", F.array_join("types", ", ")), _clause("Present constraints: ", _listed(F.col("present"))),
-        F.when(F.col("unchecked"), _clause("Absent on unchecked accounts: ", F.array_join(absent, ", "))), _clause("Operations: ", F.array_join(done, ", ")), F.nullif(fields, F.lit("")),
+        F.when(F.col("unchecked"), _clause("Absent on unchecked accounts: ", F.array_join(absent(F.coalesce("on_unchecked", none)), ", "))), _clause("Operations: ", F.array_join(done, ", ")), F.nullif(fields, F.lit("")),
     )
     return h.select("program", F.col("name").alias("handler"), "file", "line", source.alias("source"), query.alias("query"))

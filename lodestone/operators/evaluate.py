@@ -28,6 +28,16 @@ def detected(differences: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("detecting_tracks", F.coalesce("detecting_tracks", F.array().cast("array<string>"))).withColumn("detected", F.size("detecting_tracks") > 0)
 
 
+def cases_per_operator(labels: DataFrame) -> DataFrame:
+    """How many cases each defect operator made."""
+    return labels.groupBy("operator").agg(F.count(F.lit(1)).alias("cases"))
+
+
+def coverage(units: DataFrame, key: str, examined: Column) -> DataFrame:
+    """How many units there are by ``key``, and how many of them were examined."""
+    return units.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if(examined).alias("examined"))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, null where there is nothing to count."""
     return F.try_divide(part.cast("double"), whole)

@@ -1,7 +1,8 @@
-"""The model track: replies to findings, with one retry, citations checked against what was offered.
+"""The model track: units with their documents to prompts, replies to findings, citations checked against what was offered.
 
-The client is any object with ``complete(system, user) -> str``; ``Replay`` answers
-from recorded replies, so that everything here can be tested without a model.
+The client is any object with ``complete(system, user, schema) -> str``;
+``Replay`` answers from recorded replies, so that everything here can be tested
+without a model.
 """
 
 from __future__ import annotations
@@ -11,14 +12,18 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.clients.models import HttpProblem, Refused, Unavailable
+from lodestone.constants import BACKFILL, OVERFETCH, SEVERITIES
 from lodestone.functions.score import clamp_confidence, parse_severity
 from lodestone.functions.text import stable_id
+from lodestone.operators import index
 from lodestone.operators.findings import resolve_citations
-from lodestone.session import ship
+from lodestone.operators.retrieval import grounded, knn, rrf, scores_pairs
+from lodestone.session import ship, stored
 
 FINDINGS = "findings"
 _NEEDED = {"class": str, "severity": str, "confidence": (int, float), "handler": str, "evidence": str, "citations": list}
@@ -29,8 +34,20 @@ class ReplyProblem(ValueError):
     """A reply that does not fit the schema."""
 
 
-class Unavailable(RuntimeError):
-    """The model cannot be reached."""
+#: What a reply has to look like. An object around the list: a decoder bound to a bare list may close it at once.
+ITEM = {
+    "type": "object",
+    "properties": {
+        "class": {"type": "string"}, "severity": {"type": "string", "enum": list(SEVERITIES[::-1])}, "confidence": {"type": "number"}, "handler": {"type": "string"},
+        "line": {"type": ["integer", "null"]}, "evidence": {"type": "string"}, "citations": {"type": "array", "items": {"type": "string"}},
+    },
+    "required": list(_NEEDED),
+}
+SCHEMA = {"type": "object", "properties": {FINDINGS: {"type": "array", "items": ITEM}}, "required": [FINDINGS]}
+SYSTEM = (
+    "You read one instruction handler of an on-chain program and look for checks that are missing. Only report what the source shows, and cite the documents that say why it matters by their ids. "
+    'Answer with JSON alone: an object with a list "findings", empty if there is nothing to report.'
+)
 
 
 @dataclass
@@ -40,7 +57,7 @@ class Replay:
     replies: dict[str, list[str]]
     asked: list[str] = field(default_factory=list)
 
-    def complete(self, system: str, user: str) -> str:
+    def complete(self, system: str, user: str, schema: dict | None = None) -> str:
         self.asked.append(user)
         for key, left in self.replies.items():
             if key in user and left:
@@ -129,22 +146,25 @@ def parse_reply(reply: str) -> list[dict]:
 def complete(client, system: str, user: str) -> tuple[list[dict], str | None]:
     """(findings, problem): ask once, ask again with the fault, then give the unit up."""
     try:
-        return parse_reply(client.complete(system, user)), None
+        return parse_reply(client.complete(system, user, SCHEMA)), None
     except ReplyProblem as first:
         again = f"{user}\n\nThe last reply was refused: {first}. Reply with a JSON list that fits the schema and nothing else."
     try:
-        return parse_reply(client.complete(system, again)), None
+        return parse_reply(client.complete(system, again, SCHEMA)), None
     except ReplyProblem as second:
         return [], str(second)
 
 
-def prompt(handler: str, source: str, hits: list[dict]) -> str:
-    """What a unit asks: the offered documents, then the code."""
-    shown = "".join(f"[doc_id: {h['doc_id']}] {h['title']}\n{h['text']}\n\n" for h in hits)
-    return f"## Reference documents\n\n{shown}## Code under review\n\nInstruction handler: {handler}\n\n```rust\n{source}\n```\n"
+def prompts(units: DataFrame, hits: DataFrame) -> DataFrame:
+    """(seq, user) of units (seq, handler, source) and their documents (seq, rank, doc_id, title, text), each shown with its id."""
+    entry = F.concat(F.lit("<"), F.col("doc_id").cast("string"), F.lit("> "), F.col("title"), F.lit("\n"), F.col("text"), F.lit("\n\n"))
+    # as many documents a unit as were asked for
+    shown = hits.groupBy("seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))), lambda x: x["e"]), "").alias("shown"))
+    user = F.concat(F.lit("Documents, each with its id in angle brackets:\n\n"), "shown", F.lit("Review the handler `"), "handler", F.lit("` in this source:\n\n```rust\n"), "source", F.lit("\n```\n"))
+    return units.join(shown, "seq").select("seq", user.alias("user"))
 
 
-def replies(units: DataFrame, client: Callable[[], object], system: str = "") -> DataFrame:
+def replies(units: DataFrame, client: Callable[[], object], system: str = SYSTEM) -> DataFrame:
     """Ask the model about units (seq, user) on the executors: (seq, status, problem, findings).
 
     ``client`` makes a client in each task. Once it is unavailable, the rest of
@@ -165,6 +185,9 @@ def replies(units: DataFrame, client: Callable[[], object], system: str = "") ->
                         continue
                     except Unavailable as e:
                         gone = str(e)
+                    except (HttpProblem, Refused) as e:  # this unit is lost, the next may not be
+                        rows.append((seq, "dropped", str(e), "[]"))
+                        continue
                 rows.append((seq, "unavailable", gone, "[]"))
             yield pd.DataFrame(rows, columns=["seq", "status", "problem", "findings"])
 
@@ -190,3 +213,77 @@ def validated(answers: DataFrame, offers: DataFrame, handlers: DataFrame) -> tup
         "file", line.alias("line"), "handler", "evidence", "citations", F.lit(None).cast("string").alias("subject"), F.array().cast("array<string>").alias("absorbed_handlers"),
     )
     return kept, lost
+
+
+def retrieved(spark: SparkSession, path: str, queries: dict[str, str], top_k: int, vectors: DataFrame | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """Fused hits of many queries at once: (query_id, rank, doc_id, rrf, dense, bm25), from the index below ``path``.
+
+    Without vectors, or where embedding fails, the dense leg is null.
+    """
+    n = OVERFETCH * max(0, top_k)
+    sparse = stored(index.search(spark, path, queries, n).withColumn("doc_id", F.col("doc_id").cast("string")), "sparse-legs")
+    lists = sparse.select("query_id", "rank", "doc_id")
+    asked = None
+    if vectors is not None and embed is not None and queries:
+        try:
+            asked = spark.createDataFrame(list(zip(queries, embed(list(queries.values())))), "query_id string, embedding array<float>")
+        except HttpProblem:
+            asked = None
+    if asked is not None:
+        dense = stored(knn(vectors, asked, n).withColumn("doc_id", F.col("doc_id").cast("string")), "dense-legs")
+        lists = lists.unionByName(dense.select("query_id", "rank", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "doc_id"))  # a few times top_k rows a query
+    there = index.open_sparse(spark, path).select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    fused = stored(rrf(lists).withColumn("place", place), "fused")
+    hits = fused.join(there, "doc_id").join(sparse.select("query_id", "doc_id", F.col("score").alias("bm25")), ["query_id", "doc_id"], "left")
+    if asked is None:
+        hits = hits.withColumn("dense", F.lit(None).cast("double"))
+    else:
+        first = fused.where(F.col("place") <= BACKFILL * top_k).select("query_id", "doc_id")
+        cosines = scores_pairs(vectors, asked, first).unionByName(dense.select("query_id", "doc_id", "score")).groupBy("query_id", "doc_id").agg(F.max("score").alias("dense"))
+        hits = hits.join(cosines, ["query_id", "doc_id"], "left")
+    return hits.withColumn("rank", place).where(F.col("rank") <= top_k).select("query_id", "rank", "doc_id", "rrf", "dense", "bm25")
+
+
+@dataclass
+class Review:
+    """What the model track gives: findings, diagnostics and how many of its units were examined."""
+
+    findings: DataFrame
+    diagnostics: DataFrame
+    units: int
+    examined: int
+
+
+def review(units: DataFrame, handlers: DataFrame, path: str, client: Callable[[], object], top_k: int = 5, vectors: DataFrame | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None) -> Review:
+    """Retrieve for all units of a program, leave out ungrounded ones, ask, read replies, and check what they cite and name.
+
+    ``units`` has handler, file, line, source and query; ``handlers`` name, file
+    and line. An unreachable model stops the track with one diagnostic. Queries
+    are a row a handler and are known to the driver, as a search's terms are.
+    """
+    spark = units.sparkSession
+    numbered = stored(units.withColumn("seq", F.xxhash64("file", "handler", "line")), "units")
+    asked = {str(r.seq): r.query for r in numbered.select("seq", "query").orderBy("seq").collect()}
+    hits = stored(retrieved(spark, path, asked, top_k, vectors, embed).withColumn("seq", F.col("query_id").cast("long")), "hits")
+    kept = grounded(hits).where("grounded").select(F.col("query_id").cast("long").alias("seq"))
+    docs = index.described(spark, path, hits.select("doc_id")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    source_url = F.col("source_url") if "source_url" in docs.columns else F.lit("")
+    offered = hits.join(docs.select("doc_id", "title", "text", source_url.alias("source_url")), "doc_id")
+    answers = stored(replies(prompts(numbered.join(kept, "seq", "left_semi"), offered), client), "answers")
+    offers = offered.select("seq", F.col("rank").alias("offer"), "doc_id", "source_url", "title")
+    findings, lost = validated(answers, offers, handlers)
+    states = {r.status: r["count"] for r in answers.groupBy("status").count().collect()}
+    note = lambda kind, message: (F.lit(kind).alias("kind"), message.alias("message"))
+    dropped = answers.where("status = 'dropped'").join(numbered.select("seq", "file", "handler"), "seq")
+    notes = lost.select(F.lit(None).cast("string").alias("file"), F.lit("skipped").alias("kind"), "message")
+    notes = notes.unionByName(dropped.select("file", *note("skipped", F.concat(F.lit("handler `"), "handler", F.lit("` was not reviewed: "), F.coalesce("problem", F.lit(""))))))
+    if states.get("unavailable"):
+        why = answers.where("status = 'unavailable'").agg(F.min("problem")).first()[0]
+        notes = notes.unionByName(spark.createDataFrame([(None, "track skipped", f"the model track stopped after {states.get('examined', 0)} unit(s): {why}")], "file string, kind string, message string"))
+    return Review(findings, notes, len(asked), states.get("examined", 0))
+
+
+def unit_coverage(answers: DataFrame, units: int) -> DataFrame:
+    """(total, examined): how many units there were and how many the model answered about."""
+    return answers.agg(F.lit(units).cast("long").alias("total"), F.count_if(F.col("status") == "examined").alias("examined"))

@@ -163,6 +163,12 @@ def scores_for(vectors: DataFrame, query: list[float], ids: DataFrame) -> DataFr
     return vectors.join(ids.select("doc_id").distinct(), "doc_id").select("doc_id", cosine(F.col("embedding"), q).alias("score"))
 
 
+def scores_pairs(vectors: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Cosines of some (query_id, doc_id); unknown ids are left out."""
+    held = vectors.withColumn("doc_id", F.col("doc_id").cast("string")).join(pairs.select("query_id", "doc_id").distinct(), "doc_id")
+    return held.join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").select("query_id", "doc_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+
+
 def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of rows (query_id, list_id, rank, doc_id); an id twice in a list counts twice."""
     return lists.groupBy("query_id", "doc_id").agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("rrf"))

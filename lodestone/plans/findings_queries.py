@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.lang.detectors import union_all
+from lodestone.lang.ir import matched
+from lodestone.operators.holdout import unreachable
 from lodestone.functions import score as S
 from lodestone.operators import evaluate as E
 from lodestone.operators import findings as O
@@ -169,7 +172,7 @@ def holdout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LABELS} SELECT class AS operator, count(*) AS cases FROM lb GROUP BY class")
 def cases_per_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _labels(spark, sf_dir).groupBy(F.col("class").alias("operator")).agg(F.count(F.lit(1)).alias("cases"))
+    return E.cases_per_operator(_labels(spark, sf_dir).withColumnRenamed("class", "operator"))
 
 
 @query(f"WITH {_LABELS} SELECT c AS \"case\", class || '-' || left(sha256(c::VARCHAR), 16) AS name FROM lb")
@@ -181,7 +184,7 @@ def case_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_F} SELECT class, count(*) AS total, count(*) FILTER (WHERE subject IS NOT NULL) AS examined FROM f GROUP BY class")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(spark, sf_dir).groupBy("class").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("subject").isNotNull()).alias("examined"))
+    return E.coverage(findings(spark, sf_dir), "class", F.col("subject").isNotNull())
 
 
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS r FROM documents) WHERE r = 1")
@@ -193,7 +196,7 @@ def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_F} SELECT track, class, count(*) AS n FROM (SELECT track, class FROM f WHERE track = 'static' UNION ALL SELECT track, class FROM f WHERE track = 'llm') GROUP BY ALL")
 def union_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = findings(spark, sf_dir)
-    return f.where("track = 'static'").unionByName(f.where("track = 'llm'")).groupBy("track", "class").agg(F.count(F.lit(1)).alias("n"))
+    return union_all([f.where("track = 'static'"), f.where("track = 'llm'")]).groupBy("track", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_id, array_to_string(list_sort(list_distinct(['h' || (event_id % 7), 'h' || (event_id % 3), 'h' || (user_id % 5)])), ',') AS handlers FROM events")
@@ -204,19 +207,18 @@ def handler_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, array_to_string(list_filter(['owner', 'address', 'seeds', 'signer'], lambda c: NOT list_contains(p, c)), ',') AS absent FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN ['seeds'] WHEN 1 THEN ['owner', 'signer'] WHEN 2 THEN ['address', 'other'] ELSE ['signer', 'seeds', 'address', 'owner'] END AS p FROM events)")
 def array_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestone.constants import CONSTRAINT_ORDER
+    from lodestone.lang.units import absent
 
     lits = lambda *x: F.array(*[F.lit(v) for v in x])
     k = F.col("event_id") % 4
     present = F.when(k == 0, lits("seeds")).when(k == 1, lits("owner", "signer")).when(k == 2, lits("address", "other")).otherwise(lits("signer", "seeds", "address", "owner"))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.filter(lits(*CONSTRAINT_ORDER), lambda c: ~F.array_contains(present, c)), ",").alias("absent"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(absent(present), ",").alias("absent"))
 
 
 @query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'skipped' END AS diagnostic, quality FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)")
 def left_join_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    d = table(spark, sf_dir, "documents").select("doc_id").join(q, "doc_id", "left")
-    return d.select("doc_id", F.when(F.col("quality").isNull(), "skipped").alias("diagnostic"), "quality")
+    return matched(table(spark, sf_dir, "documents").select("doc_id"), q, ["doc_id"]).select("doc_id", "diagnostic", "quality")
 
 
 @query("SELECT c_custkey FROM customer a WHERE NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_nationkey = a.c_nationkey AND b.c_custkey <> a.c_custkey AND contains(b.c_name, right(a.c_name, 3)))")
@@ -259,7 +261,7 @@ def rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LABELS} SELECT class, count(*) AS cases FROM lb WHERE class NOT IN (SELECT event_type FROM events WHERE event_type <> 'view') GROUP BY class")
 def unreachable_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "events").where("event_type <> 'view'").select(F.col("event_type").alias("class")).distinct()
-    return _labels(spark, sf_dir).join(known, "class", "left_anti").groupBy("class").agg(F.count(F.lit(1)).alias("cases"))
+    return unreachable(_labels(spark, sf_dir), known)
 
 
 @query("SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 9 = 0 THEN 'rewritten' ELSE source END AS text FROM documents")

@@ -79,8 +79,9 @@ def html_to_text_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, len(regexp_extract_all(html, '(?i)<h1(\\s[^>]*)?>'))::BIGINT AS h1, len(regexp_extract_all(html, '(?i)<h[2-6](\\s[^>]*)?>'))::BIGINT AS deeper FROM pages")
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", count(r"(?i)<h1(\s[^>]*)?>").alias("h1"), count(r"(?i)<h[2-6](\s[^>]*)?>").alias("deeper"))
+    levels = table(spark, sf_dir, "pages").select("page_id", H.heading_levels(F.col("html")).alias("v"))
+    count = lambda keep: F.size(F.filter("v", keep)).cast("long")
+    return levels.select("page_id", count(lambda v: v == 1).alias("h1"), count(lambda v: v > 1).alias("deeper"))
 
 
 @query("SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(html, '¶', ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS decoded_md5 FROM pages")

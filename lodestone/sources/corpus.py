@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import io
+import os
 import tarfile
 import tomllib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import is_included, is_unsafe_path
-from lodestone.session import ship
+from lodestone.clients.transport import Transport, get_bytes, outcome, urlopen
+from lodestone.functions.html import html_to_text
+from lodestone.session import ship, stored
+from lodestone.sources.manifest import write_atomically
 
 MANIFEST = "id string, url string, title string, license string, retrieved string, sha256 string, class_tags array<string>, kind string, include_paths array<string>"
 KINDS = ("page", "archive", "local")
@@ -62,10 +67,16 @@ def archive_files(spark: SparkSession, path: str, keep: tuple[str, ...] = ("rs",
             yield pd.DataFrame(rows, columns=["archive", "path", "text"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, path string, text string")
+    # the files of an archive are written once: the check below and the caller both read them
+    files = stored(files, "archive")
     wanted = F.array(*[F.lit(p) for p in includes]) if includes else F.array().cast("array<string>")
-    return files.where(~is_unsafe_path(F.col("path")) & is_included(F.col("path"), wanted)).orderBy("archive", "path")
+    kept = files.where(~is_unsafe_path(F.col("path")) & is_included(F.col("path"), wanted))
+    if includes and kept.isEmpty():
+        raise ValueError(f"{path}: no file matches {', '.join(includes)}; the archive's layout or the paths are not what they were")
+    return kept.orderBy("archive", "path")
 
 
+# The wording of a change in size, which is part of the result.
 def size_change(old: Column, new: Column) -> Column:
     """What happened to a source's size, in words."""
     return (
@@ -81,8 +92,65 @@ def classify_changes(fetched: DataFrame, recorded: DataFrame, key: str) -> DataF
     now = fetched.select(key, F.sha2(F.col("text").cast("binary"), 256).alias("new_sha256"), F.octet_length("text").alias("new_bytes"))
     before = recorded.select(key, F.nullif(F.col("sha256"), F.lit("")).alias("old_sha256"), F.coalesce("bytes", F.lit(0)).alias("old_bytes"))
     both = now.join(before, key, "left").withColumn("old_bytes", F.coalesce("old_bytes", F.lit(0)))
-    outcome = F.when(F.col("old_sha256").isNull(), "fetched").when(F.col("old_sha256") == F.col("new_sha256"), "unchanged").otherwise("changed")
-    return both.withColumn("outcome", outcome).withColumn("size_change", size_change(F.col("old_bytes"), F.col("new_bytes")))
+    what = F.when(F.col("old_sha256").isNull(), "fetched").when(F.col("old_sha256") == F.col("new_sha256"), "unchanged").otherwise("changed")
+    return both.withColumn("outcome", what).withColumn("size_change", size_change(F.col("old_bytes"), F.col("new_bytes")))
+
+
+def fetched_text(kind: str, url: str, includes: list[str], get: Callable[[str], bytes]) -> str:
+    """A source's normalised text: a page without its markup, an archive's or a folder's files each below its path."""
+    if kind == "page":
+        return html_to_text(get(url).decode("utf-8", "replace")) or ""
+    if kind == "archive":
+        parts = []
+        with tarfile.open(fileobj=io.BytesIO(get(url)), mode="r:gz") as tar:
+            for member in tar:
+                below = member.name.partition("/")[2]
+                unsafe = member.name.startswith("/") or ".." in member.name.split("/")
+                if not member.isfile() or unsafe or member.name.rpartition(".")[2] not in ("rs", "md") or (includes and not any(below.startswith(p) for p in includes)):
+                    continue
+                try:
+                    parts.append((member.name, tar.extractfile(member).read().decode("utf-8")))
+                except UnicodeDecodeError:
+                    continue
+        if includes and not parts:
+            raise ValueError(f"{url}: no file matches {', '.join(includes)}")
+        return "\n\n".join(f"# {name}\n\n{text}" for name, text in sorted(parts))
+    files = sorted(p for p in Path(url).rglob("*.md") if not any(x == "target" or x.startswith(".") for x in p.relative_to(url).parts))
+    if not files:
+        raise ValueError(f"{url}: no Markdown files")
+    return "\n\n".join(f"# {p.relative_to(url)}\n\n{p.read_text(encoding='utf-8', errors='replace')}" for p in files)
+
+
+def fetch(manifest: DataFrame, cache: str, transport: Transport = urlopen) -> DataFrame:
+    """Fetch every source of a manifest, write its normalised text to the cache, and say what changed.
+
+    (source_id, outcome, status, old_bytes, new_bytes, old_sha256, new_sha256,
+    size_change): fetched, unchanged or changed, or failed with the kind of
+    problem. The cache is written whatever the outcome. A manifest lists tens of
+    sources, so fetching is the driver's work; all that follows is not.
+    """
+    spark = manifest.sparkSession
+    os.makedirs(cache, exist_ok=True)
+    rows, before = [], []
+    for s in manifest.collect():
+        path = os.path.join(cache, f"{s.id}.txt")
+        old = os.path.getsize(path) if os.path.exists(path) else 0
+        text, status = outcome(lambda: fetched_text(s.kind, s.url, s.include_paths, lambda url: get_bytes(url, transport=transport)))  # noqa: B023
+        before.append((s.id, s.sha256, old))
+        rows.append((s.id, text, status))
+        if text is not None:
+            write_atomically(path, text)
+    now = spark.createDataFrame(rows, "source_id string, text string, status string")
+    changes = classify_changes(now.where("text is not null"), spark.createDataFrame(before, "source_id string, sha256 string, bytes long"), "source_id")
+    out = now.select("source_id", "status").join(changes, "source_id", "left")
+    return out.withColumn("outcome", F.coalesce("outcome", F.lit("failed"))).select("source_id", "outcome", "status", "old_bytes", "new_bytes", "old_sha256", "new_sha256", "size_change")
+
+
+def cached(manifest: DataFrame, cache: str) -> DataFrame:
+    """(source_id, url, title, class_tags, text) of the sources whose text is in the cache; others are left out."""
+    spark = manifest.sparkSession
+    held = spark.read.text(f"{cache}/*.txt", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("source_id"), F.col("value").alias("text"))
+    return manifest.select(F.col("id").alias("source_id"), "url", "title", "class_tags").join(held, "source_id")
 
 
 def require_nonempty(corpus: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def test_command_line(spark, tmp_path, capsys):
     root = f"file:{tmp_path}"
     assert main(["analyze", f"{root}/sieve", "--format", "sarif"]) == 0
     assert len(json.loads(capsys.readouterr().out)["runs"][0]["results"]) == 7
-    assert main(["analyze", f"{root}/locker"]) == 0 and "Static only (0)" in capsys.readouterr().out
+    assert main(["analyze", f"{root}/locker"]) == 0 and "Static track (0)" in capsys.readouterr().out
     assert main(["ir", f"{root}/locker"]) == 0 and len(json.loads(capsys.readouterr().out)["handlers"]) == 3
     (tmp_path / "cache").mkdir()
     (tmp_path / "cache/s.txt").write_text("# Vaults\n" + "a vault holds coins " * 30)
