@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,18 +30,31 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster without a folder that driver and executors share."""
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where unset."""
+    """The shared folder for intermediate tables, as a URI.
+
+    The one in spark.checkpoint.dir, else the one set by setCheckpointDir; a path
+    without a scheme lies on the default file system, as it does for Spark. One
+    of our own is made only where neither is set and driver and executors are one
+    process; on a cluster that is an error, as executors would not see it.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    own = getattr(sc, "_lodestone_checkpoints", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        sc.setCheckpointDir(own)
-        sc._lodestone_checkpoints = own
-    return own
+    if not root:
+        held = sc._jsc.sc().getCheckpointDir()
+        root = held.get() if held.isDefined() else None
+    if not root:
+        if not sc.master.startswith("local"):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        sc.setCheckpointDir(root)
+        root = sc._jsc.sc().getCheckpointDir().get()
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -59,4 +73,36 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
+    _written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _written(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_lodestone_written"):
+        sc._lodestone_written = []
+    return sc._lodestone_written
+
+
+def mark(spark: SparkSession) -> int:
+    """A point in the list of tables written so far, for ``release``."""
+    return len(_written(spark))
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame | None = None) -> int:
+    """Delete the tables written since a mark, but for those that ``keep`` reads; how many they were.
+
+    For whoever runs stages one after another and knows that no frame still reads
+    the tables of those that are done.
+    """
+    held = _written(spark)
+    plain = lambda uri: re.sub("^file:/+", "file:/", uri)
+    read = [] if keep is None else [plain(f) for f in keep.inputFiles()]
+    kept = {p for p in held[since:] if any(f.startswith(plain(p) + "/") for f in read)}
+    gone = [p for p in held[since:] if p not in kept]
+    sc = spark.sparkContext
+    for p in gone:
+        path = sc._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    held[since:] = [p for p in held[since:] if p in kept]
+    return len(gone)
