@@ -20,9 +20,11 @@ stay below 2^63, which holds up to 9e14 tokens.
 
 Cases: a null text has no tokens and is never taken in part; null languages and
 sources are leaves of their own; a weight of 0 takes nothing; rows with equal
-doc_id count each by itself; an empty table gives no rows; a budget beyond all
-capacity takes all of it; further columns are ignored by ``mixture`` and kept by
-``select``.
+doc_id count each by itself; rows with one order key (equal doc_id and text) are
+put in order by their tokens and are alike otherwise; of a very long text only
+its words are counted, and it is never cut; an empty table gives no rows; a
+budget beyond all capacity takes all of it; further columns are ignored by
+``mixture`` and kept by ``select``, whatever their names.
 """
 
 from __future__ import annotations

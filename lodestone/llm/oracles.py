@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.llm import quality_rules as q
+from lodestone.llm.mixing import Recipe
 
 _SEP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -46,8 +47,6 @@ FROM judged LEFT JOIN levels USING (stratum)"""
 
 
 def _weights(level: str) -> str:
-    from lodestone.llm.mixing import Recipe
-
     whens = " ".join(f"WHEN '{k}' THEN {v}" for k, v in Recipe().weights[level].items())
     return f"CASE {level} {whens} ELSE 1 END"
 
@@ -69,15 +68,14 @@ v_{name} AS (SELECT *, budget - sum(least_) OVER (PARTITION BY {fam}) AS more, r
 g_{name} AS (SELECT {keys}, least_ + CASE WHEN NOT is_full AND place <= more THEN 1 ELSE 0 END AS budget FROM v_{name})"""
 
 
-def mixing(docs: str = "documents") -> str:
-    from lodestone.llm.mixing import Recipe
-
-    r = Recipe()
+def mixing(docs: str = "documents", r: Recipe = Recipe()) -> str:
+    """Ends in ``mixed``; a recipe with the default weights."""
+    want = "sum(tokens)" if r.share == 1 else f"floor(sum(tokens) * {r.share})::HUGEINT"
     return f"""m AS (SELECT doc_id, CASE WHEN source IS NULL OR num IS NULL THEN 'other' WHEN num < 10 THEN 'web' WHEN num < 15 THEN 'books' ELSE 'forums' END AS domain,
   coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens, md5(coalesce(text, '')) AS digest
   FROM (SELECT *, try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS num FROM {docs})),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, sum(n_tokens)::HUGEINT * {r.max_epochs} AS cap FROM m GROUP BY ALL),
-root AS (SELECT least(sum(tokens), sum(cap)) AS budget FROM leaves),
+root AS (SELECT least({want}, sum(cap)) AS budget FROM leaves),
 {_share(("domain",), (), "leaves", "root")},
 {_share(("domain", "lang"), ("domain",), "leaves", "g_domain")},
 {_share(("domain", "lang", "source"), ("domain", "lang"), "leaves", "g_domain_lang")},

@@ -16,9 +16,15 @@ checkpointed, as narrow rows.
 
 Cases: a null text has no words (and so fails the base rule); a null language is
 a stratum of its own; a document labelled twice counts as good if one label says
-so; rows with equal doc_id are judged each by its own text; an empty table gives
-no rows, and empty labels no cutoffs; columns beyond doc_id, text and lang are
-ignored by ``judge`` and kept by ``keep``.
+so; rows with equal doc_id, repeated ones too, are judged each by its own text,
+and a ratio just at a cutoff reaches it; a text's words, their hashes and the
+hashes of its windows are held together, some 100 bytes a word, so a very long
+text takes memory in proportion; an empty table gives no rows, and empty labels
+no cutoffs; columns beyond doc_id, text and lang are ignored by ``judge`` and
+kept by ``keep``, whatever their names.
+
+A stratum needs ``least_labels`` good documents, all below every cutoff, before
+anything can be proven of it: 99 alone, 144 among four strata.
 """
 
 from __future__ import annotations
@@ -132,6 +138,11 @@ def log_binomial_cdf(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(steps, start, step, lambda s: s["sum"])
 
 
+def least_labels(strata: int, limit: float = LIMIT, delta: float = DELTA) -> int:
+    """The fewest good documents with which a stratum can get a cutoff: none rejected has to be unlikely enough."""
+    return math.ceil(math.log(delta / strata) / math.log1p(-limit))
+
+
 def cutoffs(judged: DataFrame, labels: DataFrame, limit: float = LIMIT, delta: float = DELTA) -> DataFrame:
     """A row a stratum: the strictest level that the holdout allows (0: none)."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")

@@ -12,9 +12,14 @@ maps the files into memory and cuts the ids at the offsets.
 A file is written under the attempt's own name, and only files named in the
 manifest count, so tasks may be run again or twice.
 
-Cases: a null text is empty and has only the end id; rows with equal doc_id stand
-in the order of their text's hash and length; a null doc_id comes first; an
-empty table gives an empty manifest and no rows; further columns are ignored.
+Cases: a null text is empty and has only the end id; rows with equal doc_id,
+repeated ones too, stand in the order of their text's hash and length, spread
+over partitions by the hash; a null doc_id comes first; a very long text's ids
+are held once, as the file has them; an empty table gives an empty manifest and
+no rows; further columns are ignored, whatever their names.
+
+On a store that is no local or mounted folder a file cannot be mapped; there
+ranges of it are read, a few documents at a time.
 """
 
 from __future__ import annotations
@@ -79,16 +84,32 @@ def _width(path: str) -> str:
 
 def _open(uri: str):
     """A file system and the path in it; a plain path is local."""
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    if uri.startswith("file:/"):
+        return pafs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
+    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
 
 
-def _map(uri: str, dtype: str) -> np.ndarray:
-    """The numbers of a file: mapped into memory where it is local, else read."""
-    fs, path = _open(uri)
+class _Ranges:
+    """The numbers of a file that cannot be mapped; a slice reads its range."""
+
+    def __init__(self, file, dtype: str):
+        self.file, self.dtype = file, np.dtype(dtype)
+
+    def __len__(self) -> int:
+        return self.file.size() // self.dtype.itemsize
+
+    def __getitem__(self, s: slice) -> np.ndarray:
+        begin, end, _ = s.indices(len(self))
+        return np.frombuffer(self.file.read_at(max(0, end - begin) * self.dtype.itemsize, begin * self.dtype.itemsize), self.dtype)
+
+
+def _map(uri: str, dtype: str, fs=None):
+    """The numbers of a file: mapped into memory where it is local, else read by ranges."""
+    known, path = _open(uri)
+    fs = fs or known
     if isinstance(fs, pafs.LocalFileSystem):
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+    return _Ranges(fs.open_input_file(path), dtype)
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int | None = END_ID, partitions: int | None = None) -> dict:
@@ -124,7 +145,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["part", "name", "n_docs", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.length("text"))
+    place = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.length("text")]
+    ordered = rows.repartitionByRange(partitions, *place).sortWithinPartitions(*place)
     parts = sorted((r for r in ordered.mapInArrow(lambda batches: returned(run(batches)), "part long, name string, n_docs long, n_ids long").collect() if r.n_docs), key=lambda r: r.part)
     bases = np.concatenate([[0], np.cumsum([r.n_ids for r in parts], dtype=np.int64)])
     manifest = {"dtype": dtype, "end_id": end_id, "n_ids": int(bases[-1]), "parts": [{"name": r.name, "n_docs": r.n_docs, "n_ids": r.n_ids, "base": int(b)} for r, b in zip(parts, bases)]}
@@ -133,7 +155,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 fs, local = _open(folder)
-                sizes = _map(f"{folder}/{name}.docs", "<i8").reshape(-1, 2)[:, 1]
+                sizes = _map(f"{folder}/{name}.docs", "<i8")[:].reshape(-1, 2)[:, 1]
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8") + np.uint64(base)
                 tried = f"{local}/{name}.off-{uuid.uuid4().hex[:12]}"
                 with fs.open_output_stream(tried) as f:
@@ -166,13 +188,13 @@ def read_token_files(spark: SparkSession, folder: str, manifest: dict | None = N
     def run(batches):
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids, off = _map(f"{folder}/{name}.ids", dtype), _map(f"{folder}/{name}.off", "<u8").astype(np.int64)
-                keys = np.array(_map(f"{folder}/{name}.docs", "<i8").reshape(-1, 2)[:, 0])
-                for at in range(0, len(keys), 20_000):
-                    cuts = off[at : at + 20_001] - base
+                ids, off, heads = _map(f"{folder}/{name}.ids", dtype), _map(f"{folder}/{name}.off", "<u8"), _map(f"{folder}/{name}.docs", "<i8")
+                for at in range(0, len(heads) // 2, 20_000):
+                    head = np.array(heads[2 * at : 2 * at + 40_000]).reshape(-1, 2)[:, 0]
+                    starts = off[at : at + len(head) + 1].astype(np.int64)
+                    cuts = starts - base
                     crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(cuts[:-1], cuts[1:])]
-                    head = keys[at : at + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(head, pa.int64(), mask=head == _NULL), pa.array(off[at : at + len(head)]), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(head, pa.int64(), mask=head == _NULL), pa.array(starts[:-1]), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return _spread(spark, manifest).mapInArrow(lambda batches: returned(run(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -129,3 +129,31 @@ def test_empty_tables(empty):
     assert bpe_trie.encode_digest(empty).count() == 0
     assert token_files.token_files(empty).count() == 0
     assert bpe_trie.encode(empty).count() == 0
+
+
+def test_ranges_read_what_maps_do(docs, tmp_path):
+    """A file of a store that is not local, by ranges."""
+    import pyarrow.fs as pafs
+
+    folder = f"file://{tmp_path}/t"
+    manifest = token_files.write_token_files(docs, folder, partitions=2)
+    other = pafs.SubTreeFileSystem("/", pafs.LocalFileSystem())
+    for part in manifest["parts"]:
+        mapped, read = (token_files._map(f"{folder}/{part['name']}.ids", manifest["dtype"], fs) for fs in (None, other))
+        assert isinstance(read, token_files._Ranges) and len(mapped) == len(read) == part["n_ids"]
+        assert (mapped[:] == read[:]).all() and (mapped[3:9] == read[3:9]).all()
+
+
+def test_one_id_is_spread_over_partitions(spark, tmp_path):
+    d = spark.range(400).selectExpr("cast(null as bigint) as doc_id", "concat('word ', id) as text")
+    manifest = token_files.write_token_files(d, f"file://{tmp_path}/t", partitions=4)
+    assert len(manifest["parts"]) > 1 and max(p["n_docs"] for p in manifest["parts"]) < 250
+    assert token_files.read_token_files(spark, f"file://{tmp_path}/t").count() == 400
+
+
+def test_columns_with_clashing_names(wide):
+    from pyspark.sql import functions as F
+
+    clash = wide.withColumns({c: F.lit(5) for c in ("n_tokens", "decoded", "spans", "start", "n_bytes")})
+    for f in (token_count.token_counts, bpe_trie.encode_digest, token_files.token_files):
+        assert f(clash).count() == wide.count()
