@@ -1,8 +1,17 @@
 """A training corpus from raw documents: five stages, each one of the operators in lodestone.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
-``run`` writes each stage's rows as Parquet in the shared scratch space and reads
-them for the next. All stages but the last return the columns of documents.
+``run`` writes each stage's rows as Parquet in the shared scratch space, reads
+them for the next, and deletes what the stages before have written. All stages
+but the last return the columns of documents, and further ones whatever their
+names; the last returns doc_id, lang, source, n_tokens, ids and decoded.
+
+Cases: an empty table stays empty through all stages; null and blank texts have
+no words and are rejected by the quality rules; null languages and sources are
+strata and leaves of their own; a null doc_id is the earliest. Of repeated rows
+one keeps its lines (line dedup), of equal and near-equal texts one row stays
+(n-gram join, the least doc_id, ties by the text's hash), so none are left for
+mixing and encoding. Very long texts are handled whole by every stage.
 """
 
 from __future__ import annotations
@@ -13,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe_trie, line_dedup, mixing, ngram_join, quality_rules
-from lodestone.session import stored, table
+from lodestone.session import mark, release, stored, table
 
 #: Nothing is repeated here, and a tenth of the tokens is left out so that the weights can act.
 RECIPE = mixing.Recipe(share=0.9, max_epochs=1)
@@ -60,6 +69,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents."""
     docs = table(spark, sf_dir, "documents")
+    begun = mark(spark)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, begun, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
