@@ -1,4 +1,8 @@
-"""Static analysis over the sample programs; the driver's tables hold no source."""
+"""Static analysis over the sample programs, and over one program a supplier; the driver's tables hold no source.
+
+The oracles are tables of what a reader finds in the sample programs by the
+rules' definitions: the lines, accounts and handlers are read off their texts.
+"""
 
 from __future__ import annotations
 
@@ -11,55 +15,139 @@ from lodestone.lang.ir import program
 from lodestone.lang.mutations import mutants
 from lodestone.operators.findings import merge
 from lodestone.plans.registry import query
-from lodestone.plans.sample_programs import FILES
+from lodestone.plans.sample_programs import FILES, LOCKER, SIEVE
+from lodestone.session import table
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    """A table of expected rows as SQL."""
+
+    def lit(x: object) -> str:
+        return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({columns})"
+
+
+# What is wrong with SIEVE: drain takes an unsigned admin and an account that nothing pins; fill adds without a check, moves
+# value to a token account that only its name ties to the pot, and takes a pot that is derived elsewhere; drain's target is
+# checked by hand for its owner's sake, but the pot does not say so; rename's pot has seeds and no bump.
+_FOUND = [
+    ("missing-signer", "critical", 0.9, "drain", 47, "admin", ""),
+    ("missing-owner-check", "high", 0.75, "drain", 47, "admin", "rename"),
+    ("missing-owner-check", "high", 0.75, "drain", 46, "other", ""),
+    ("pda-validation-gap", "high", 0.65, "fill", 32, "pot", "rename"),
+    ("removed-guard", "high", 0.6, "drain", 42, "pot.target", ""),
+    ("removed-guard", "high", 0.6, "fill", 34, "pot_token", ""),
+    ("unchecked-arithmetic", "medium", 0.35, "fill", 8, None, ""),
+]
+_FOUND_SQL = f"SELECT 'sieve' AS program, class, severity, confidence::DOUBLE AS confidence, handler, line::INT AS line, subject, absorbed FROM ({_values('class, severity, confidence, handler, line, subject, absorbed', _FOUND)})"
+# of one handler's two findings of a class the stronger one stays, ties by the evidence; the admin of drain is said before the other
+_MERGED_SQL = f"SELECT class, severity, confidence::DOUBLE AS confidence, 'static' AS track, handler, line::INT AS line, subject FROM ({_values('class, severity, confidence, handler, line, subject', [r[:6] for r in _FOUND if r[5] != 'other'])})"
+_SUPPRESSED = [
+    ("missing-authority-binding", "rename", "pot.admin", "the handler carries access control, which may validate the authority"),
+    ("missing-signer", "rename", "admin", "the handler carries access control, which may validate the authority"),
+    ("missing-owner-check", "drain", "target", "a ManualIf check on line 13 refers to `target`"),
+]
+_DIAGNOSTICS = [
+    ("sieve/src/broken.rs", "parse", "line 1: unmatched {"),
+    ("sieve/src/lib.rs", "ambiguity", "state struct `Pot` is defined again"),
+    ("sieve/src/lib.rs", "skipped", "handler `lost` takes the unknown context `Missing`"),
+]
+_HANDLERS = [
+    ("locker", "open", 9, 15, "Open", 0, 2, 0, ""), ("locker", "put", 17, 31, "Put", 1, 8, 0, "locker_token,owner,owner_token,token_program"), ("locker", "take", 33, 38, "Take", 1, 3, 1, ""),
+    ("sieve", "fill", 6, 10, "Fill", 1, 5, 0, "giver,pot_token,token_program"), ("sieve", "drain", 12, 18, "Drain", 0, 4, 2, ""), ("sieve", "rename", 20, 23, "Rename", 0, 1, 1, ""), ("sieve", "lost", 25, 27, "Missing", 0, 1, 0, ""),
+]
+# Every place where one guard can be taken out, with the place's name (an account, with the begin of its attribute where that is cut).
+_MUTANTS = [
+    ("locker", "strip_seeds_bump", "open", "locker@1404", 45), ("locker", "signer_to_account_info", "open", "owner", 48), ("locker", "strip_seeds_bump", "put", "locker@1658", 54), ("locker", "signer_to_account_info", "put", "owner", 56),
+    ("locker", "strip_constraint", "put", "owner_token@1835", 57), ("locker", "strip_has_one", "take", "locker@2236", 69), ("locker", "strip_seeds_bump", "take", "locker@2170", 68), ("locker", "signer_to_account_info", "take", "owner", 73),
+    ("locker", "account_to_unchecked", "take", "fee_token", 75), ("locker", "checked_to_bare", "put", "19#0", 19), ("locker", "checked_to_bare", "take", "36#0", 36),
+    ("sieve", "account_to_unchecked", "fill", "pot", 33), ("sieve", "account_to_unchecked", "fill", "pot_token", 35), ("sieve", "account_to_unchecked", "drain", "pot", 43), ("sieve", "strip_seeds_bump", "drain", "pot@1187", 42),
+    ("sieve", "account_to_unchecked", "rename", "pot", 53), ("sieve", "strip_seeds_bump", "rename", "pot@1457", 52), ("sieve", "signer_to_account_info", "rename", "signer", 55),
+]
+_DEFECTS = [
+    ("signer_to_account_info", "missing-signer", "critical"), ("account_to_unchecked", "missing-owner-check", "high"), ("strip_has_one", "missing-authority-binding", "high"), ("strip_seeds_bump", "pda-validation-gap", "high"),
+    ("strip_constraint", "removed-guard", "high"), ("checked_to_bare", "unchecked-arithmetic", "medium"),
+]
+_MUTANTS_SQL = f"""SELECT program, left(sha256(concat_ws('|', operator, program || '/src/lib.rs', handler, line::VARCHAR, site)), 16) AS id, class, severity, program || '/src/lib.rs' AS file, line::INT AS line, handler, operator
+FROM ({_values('program, operator, handler, site, line', _MUTANTS)}) JOIN ({_values('operator, class, severity', _DEFECTS)}) USING (operator)"""
+# The clean program: every defect is found where it was made but the token account's constraint, whose absence no rule sees.
+_SUMMARY_SQL = f"""SELECT class, view, CASE WHEN view = 'llm' OR class = 'removed-guard' THEN 0 ELSE n END AS true_positives, n AS total_cases, 0::BIGINT AS false_positives,
+CASE WHEN view = 'llm' OR class = 'removed-guard' THEN 0.0 ELSE 1.0 END::DOUBLE AS recall, CASE WHEN view = 'llm' OR class = 'removed-guard' THEN NULL ELSE 1.0 END::DOUBLE AS precision
+FROM (SELECT class, count(*) AS n FROM ({_MUTANTS_SQL}) WHERE program = 'locker' GROUP BY class), (VALUES ('static'), ('llm'), ('merged')) w(view)"""
+_POT = "State struct Pot has field admin, target, level."
+_LOCKER = "State struct Locker has field owner, token, label, limit, coins."
+_UNITS = [
+    ("locker", "take", 33, 748, f"Solana Anchor instruction take with 3 accounts. Account types: Account of Locker, Account of TokenAccount, Signer. Present constraints: bump, has_one, mut, seeds. Operations: state mutation, imperative checks present. {_LOCKER}"),
+    ("locker", "put", 17, 1253, f"Solana Anchor instruction put with 5 accounts. Account types: Account of Locker, Account of TokenAccount, Program of Token, Signer. Present constraints: address, bump, constraint, has_one, mut, seeds. Operations: cross-program invocation, state mutation. {_LOCKER}"),
+    ("locker", "open", 9, 668, f"Solana Anchor instruction open with 3 accounts. Account types: Account of Locker, Program of System, Signer. Present constraints: bump, constraint, init, mut, seeds. Operations: state mutation. {_LOCKER}"),
+    ("sieve", "lost", 25, 75, "Solana Anchor instruction lost with 0 accounts."),
+    ("sieve", "fill", 6, 679, f"Solana Anchor instruction fill with 4 accounts. Account types: Account of Pot, Account of TokenAccount, Program of Token, Signer. Present constraints: mut. Operations: cross-program invocation, state mutation, unchecked addition. {_POT}"),
+    ("sieve", "rename", 20, 402, f"Solana Anchor instruction rename with 3 accounts. Account types: Account of Pot, AccountInfo, Signer. Present constraints: mut, seeds. Absent on unchecked accounts: owner, address, seeds, signer. Operations: imperative checks present. {_POT}"),
+    ("sieve", "drain", 12, 660, f"Solana Anchor instruction drain with 4 accounts. Account types: Account of Pot, AccountInfo, UncheckedAccount. Present constraints: bump, mut, seeds. Absent on unchecked accounts: owner, address, seeds, signer. Operations: imperative checks present. {_POT}"),
+]
 
 
 def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FILES, "program string, path string, text string")
 
 
-@query()
+@query(_FOUND_SQL)
 def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = analyze(files(spark)).findings
     return found.select("program", "class", "severity", "confidence", "handler", "line", "subject", F.array_join("absorbed_handlers", ",").alias("absorbed"))
 
 
-@query()
+@query(f"SELECT 'sieve' AS program, * FROM ({_values('class, handler, subject, reason', _SUPPRESSED)})")
 def source_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze(files(spark)).suppressed.select("program", "class", "handler", "subject", "reason")
 
 
-@query()
+@query(f"SELECT 'sieve' AS program, * FROM ({_values('file, kind, message', _DIAGNOSTICS)})")
 def source_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return program(files(spark)).diagnostics
 
 
-@query()
+@query(_values('program, name, line, end_line, context_ty, n_arith, n_calls, n_checks, sinks', _HANDLERS))
 def source_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = program(files(spark)).handlers
     return h.select("program", "name", "line", "end_line", "context_ty", F.size("arith").alias("n_arith"), F.size("calls").alias("n_calls"), F.size("checks").alias("n_checks"), F.array_join("sinks", ",").alias("sinks"))
 
 
-@query()
+@query(_MERGED_SQL)
 def source_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = analyze(files(spark)).findings.where("program = 'sieve'").withColumn("citations", F.array().cast("array<string>"))
     return merge(found).select("class", "severity", "confidence", "track", "handler", "line", "subject")
 
 
-@query()
+@query(_MUTANTS_SQL)
 def mutation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark)
     return mutants(program(f), f).drop("text")
 
 
-@query()
+@query(_SUMMARY_SQL)
 def mutation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(files(spark).where("program = 'locker'")).summary
 
 
-@query()
+@query(_values('program, handler, line, source_chars, query', _UNITS))
 def review_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.lang.units import units
 
     f = files(spark)
     return units(program(f), f).select("program", "handler", "line", F.length("source").alias("source_chars"), "query")
+
+
+def _supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program for each supplier: a clean one, and one with defects for every third."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    text = F.when(F.col("s_suppkey") % 3 == 0, F.lit(SIEVE)).otherwise(F.lit(LOCKER))
+    return s.select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("program"), F.lit("src/lib.rs").alias("path"), text.alias("text"))
+
+
+@query(f"""SELECT class, handler, count(*) AS programs FROM supplier, ({_FOUND_SQL}) f WHERE s_suppkey % 3 = 0 GROUP BY class, handler""")
+def source_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All suppliers' programs analyzed in one job; how many have each finding."""
+    found = analyze(_supplied(spark, sf_dir)).findings
+    return found.groupBy("class", "handler").agg(F.count(F.lit(1)).alias("programs"))
