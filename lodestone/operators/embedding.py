@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -53,6 +55,9 @@ def embed_documents(docs: DataFrame, embedder: Callable[[], object], batch: int
     return out
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
 class HashEmbedder:
     """Vectors by counting hashed words: the same everywhere, for tests without a model."""
 
@@ -60,12 +65,10 @@ class HashEmbedder:
         self.width = width
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        import zlib
-
         out = []
         for t in texts:
             v = [0.0] * self.width
-            for w in t.lower().split():
-                v[zlib.crc32(w.encode()) % self.width] += 1.0
+            for w in _WORD.findall(t.lower()):
+                v[int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % self.width] += 1.0
             out.append(v)
         return out

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_terms, tokens
 from lodestone.operators import index
 from lodestone.operators import retrieval as R
+from lodestone.operators.embedding import HashEmbedder, embed_documents
 from lodestone.operators.evaluate import rendered
 from lodestone.plans.registry import query
 from lodestone.session import scratch, table
@@ -189,6 +190,21 @@ def query_terms_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(query_terms(F.col("text")), lambda p: F.array_join(p, "_")), " ").alias("terms"))
 
 
-@query()
+_EMBEDDED = """SELECT doc_id, array_to_string(list_transform(range(0, 8), lambda b: len(list_filter(t, lambda w: ('0x' || left(md5(w), 4))::INT % 8 = b))), ',') AS embedding
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM documents)"""
+
+
+def _written(embedding: str) -> Column:
+    return F.array_join(F.transform(embedding, lambda x: x.cast("int").cast("string")), ",")
+
+
+@query(_EMBEDDED)
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", R.hash_embed(tokens(F.col("text"))).alias("embedding"))
+    return table(spark, sf_dir, "documents").select("doc_id", R.hash_embed(tokens(F.col("text"))).alias("embedding")).withColumn("embedding", _written("embedding"))
+
+
+@query(_EMBEDDED)
+def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through an embedder that is asked in batches."""
+    got = embed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), lambda: HashEmbedder(8))
+    return got.select("doc_id", _written("embedding").alias("embedding"))
