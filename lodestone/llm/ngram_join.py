@@ -12,9 +12,10 @@ Two texts are linked if the Jaccard similarity of their sets is at least 0.8.
    eight digits in some trie are verified; that finds even a pair at the
    threshold with a probability of 0.97, and others more surely. The least
    similar link at hand tells how alike links are here: as long as the prefix
-   in use would find one like it with less than ``recall``, the longest prefix
-   that is sure enough comes next, and only pairs without a longer match are
-   verified. So data whose links are all close get by with long prefixes and
+   in use would find one like it with less than ``SURE`` (0.999999), the longest
+   prefix that is sure enough comes next, and only pairs without a longer match
+   are verified; the shortest is the one that finds a pair at the threshold with
+   ``recall`` (0.9999 unless given). So data whose links are all close get by with long prefixes and
    small nodes, and one link just at the threshold brings the shortest prefix.
 4. Nodes with the same members in several tries are kept once; a pair in
    different nodes belongs to its first trie, so each pair is verified once.
@@ -55,6 +56,8 @@ TREES = 20
 #: Digits of a label, four to a 64-bit number.
 DEPTH = 8
 RECALL = 0.9999
+#: How surely a prefix has to find links like the least similar one at hand, so that it need not be shortened.
+SURE = 0.999999
 #: A block's most classes, and bytes of their sets.
 BLOCK_ROWS, BLOCK_BYTES = 8_192, 32 << 20
 #: Rows of a block pair whose links are taken at once, and numbers in a matrix.
@@ -451,7 +454,7 @@ def search(docs: DataFrame, classes: DataFrame, trees: int = TREES, threshold: t
             return found, depths
         low = found.agg(F.min("low")).first()[0]
         # without any link there is nothing to go by but the threshold
-        wanted = max((d for d in range(floor, depth + 1) if low is not None and chance(low, d, trees) >= recall), default=floor)
+        wanted = max((d for d in range(floor, depth + 1) if low is not None and chance(low, d, trees) >= SURE), default=floor)
         if wanted == depth:
             return found, depths
         depth, before = wanted, depth
