@@ -82,6 +82,16 @@ def holdout(targets: DataFrame, findings: DataFrame) -> DataFrame:
     return out.select("case", "class", "handler", "outcome", F.when(F.col("outcome") == "absorbed", F.col("best.on")).alias("reported_on"))
 
 
+def is_hit(outcome: Column) -> Column:
+    """Whether a target was reported, by itself or absorbed."""
+    return outcome.isin("direct", "absorbed")
+
+
+def was_scored(outcome: Column) -> Column:
+    """Whether a target's program could be analyzed at all."""
+    return outcome != "unavailable"
+
+
 def summarize_holdout(outcomes: DataFrame, by_class: bool = False) -> DataFrame:
     """Counts and recall of scored targets; recall is null where none was scored."""
     is_ = lambda *o: F.count_if(F.col("outcome").isin(*o))

@@ -268,3 +268,32 @@ def unreachable_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlay_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("source").alias("text"), "doc_id")
     return E.overlay(d.select("path", "text"), d.where("doc_id % 9 = 0").select("path", F.lit("rewritten").alias("text")))
+
+
+@query("SELECT * FROM (VALUES ('static', 'static'), ('static', 'corroborated'), ('llm', 'llm'), ('llm', 'corroborated'), ('merged', 'static'), ('merged', 'llm'), ('merged', 'corroborated')) v(view, track)")
+def view_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.views(spark)
+
+
+@query(f"{_HOLDOUT} SELECT outcome, count(*) AS targets, bool_and(outcome IN ('direct', 'absorbed')) AS hit, bool_and(outcome <> 'unavailable') AS scored FROM ho GROUP BY outcome")
+def outcome_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _holdout(spark, sf_dir).select("outcome", E.is_hit(F.col("outcome")).alias("hit"), E.was_scored(F.col("outcome")).alias("scored"))
+    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("targets"), F.bool_and("hit").alias("hit"), F.bool_and("scored").alias("scored"))
+
+
+@query("SELECT event_id, '{\"event_id\":' || event_id || ',\"class\":\"' || event_type || '\",\"user_id\":' || user_id || '}' AS json FROM events")
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.operators.report import to_json
+
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("class"), "user_id")
+    return to_json(e).select(F.get_json_object("json", "$.event_id").cast("long").alias("event_id"), "json")
+
+
+@query("""SELECT doc_id, '| high | ' || printf('%.2f', (doc_id % 100) / 100.0) || ' | ' || lang || ' | ' || replace(replace(coalesce(source, ''), '|', '\\|'), chr(10), ' ') || ':' || doc_id || ' | h | ' || replace(replace(left(text, 80), '|', '\\|'), chr(10), ' ') || ' |' AS row FROM documents WHERE source IS NOT NULL""")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as rows of a Markdown table: bars escaped, line feeds as spaces."""
+    from lodestone.operators.report import markdown_rows
+
+    d = table(spark, sf_dir, "documents").where("source is not null")
+    rows = d.select(F.col("doc_id").cast("string").alias("track"), F.lit("high").alias("severity"), ((F.col("doc_id") % 100) / 100.0).alias("confidence"), F.col("lang").alias("class"), F.col("source").alias("file"), F.col("doc_id").alias("line"), F.lit("h").alias("handler"), F.substring("text", 1, 80).alias("evidence"))
+    return markdown_rows(rows).select(F.col("track").cast("long").alias("doc_id"), "row")

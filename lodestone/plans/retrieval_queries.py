@@ -208,3 +208,23 @@ def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through an embedder that is asked in batches."""
     got = embed_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), lambda: HashEmbedder(8))
     return got.select("doc_id", _written("embedding").alias("embedding"))
+
+
+@query("SELECT vec_id AS doc_id, CASE WHEN vec_id % 4 = 0 THEN 0 ELSE round(embedding[1]::DOUBLE, 6) END AS first FROM embeddings")
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors put into a store on disk, some of them twice: the last one holds."""
+    path = scratch(spark, "vectors")
+    v = _vectors(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
+    index.init_vectors(spark, path, "m", 64)
+    index.put_vectors(v.withColumn("seq", F.lit(0)), path)
+    index.put_vectors(v.where("cast(doc_id as bigint) % 4 = 0").withColumn("embedding", F.array_repeat(F.lit(0.0).cast("float"), 64)).withColumn("seq", F.lit(1)), path)
+    return index.open_vectors(spark, path, "m", 64).select(F.col("doc_id").cast("long").alias("doc_id"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query("""WITH t AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM documents)
+SELECT 'text' AS field, count(*) AS n_docs, round(avg(len(t)), 6) AS avg_len, sum(len(t))::BIGINT AS postings FROM t""")
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sparse index holds of the texts: documents, mean length and postings."""
+    path = _index(spark, sf_dir)
+    held = spark.read.parquet(f"{path}/postings").where("field = 'text' and pos is not null").groupBy("field").agg(F.count(F.lit(1)).alias("postings"))
+    return spark.read.parquet(f"{path}/statistics").join(held, "field").select("field", "n_docs", F.round("avg_len", 6).alias("avg_len"), "postings")

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.lang import detectors, suppression
 from lodestone.lang.analyze import analyze
 from lodestone.lang.evaluation import run
 from lodestone.lang.ir import program
 from lodestone.lang.mutations import mutants
+from lodestone.lang.rules import CATALOGUE
 from lodestone.operators.findings import merge
 from lodestone.plans.registry import query
 from lodestone.plans.sample_programs import FILES, LOCKER, SIEVE
@@ -88,6 +90,35 @@ _UNITS = [
 ]
 
 
+# Declarations as they stand: struct, name, wrapper, inner type, boxed, line, line of the attribute (0: none), kinds of constraints.
+_DECLS = [
+    ("locker", "Open", "locker", "Account", "Locker", False, 46, 45, "Init,Raw,Raw,Seeds,Bump"), ("locker", "Open", "owner", "Signer", None, False, 48, 47, "Mut"), ("locker", "Open", "system_program", "Program", "System", False, 49, 0, ""),
+    ("locker", "Put", "locker", "Account", "Locker", False, 55, 54, "Mut,Seeds,Bump,HasOne"), ("locker", "Put", "owner", "Signer", None, False, 56, 0, ""), ("locker", "Put", "owner_token", "Account", "TokenAccount", False, 58, 57, "Mut,Raw"),
+    ("locker", "Put", "locker_token", "Account", "TokenAccount", True, 60, 59, "Mut,Address"), ("locker", "Put", "token_program", "Program", "Token", False, 61, 0, ""), ("locker", "Take", "locker", "Account", "Locker", False, 72, 66, "Mut,Seeds,Bump,HasOne"),
+    ("locker", "Take", "owner", "Signer", None, False, 73, 0, ""), ("locker", "Take", "fee_token", "Account", "TokenAccount", False, 75, 74, "Mut"), ("sieve", "Fill", "pot", "Account", "Pot", False, 33, 32, "Mut"),
+    ("sieve", "Fill", "pot_token", "Account", "TokenAccount", False, 35, 34, "Mut"), ("sieve", "Fill", "giver", "Signer", None, False, 36, 0, ""), ("sieve", "Fill", "token_program", "Program", "Token", False, 37, 0, ""),
+    ("sieve", "Drain", "pot", "Account", "Pot", False, 43, 42, "Mut,Seeds,Bump"), ("sieve", "Drain", "target", "UncheckedAccount", None, False, 45, 0, ""), ("sieve", "Drain", "other", "AccountInfo", None, False, 46, 0, ""),
+    ("sieve", "Drain", "admin", "AccountInfo", None, False, 47, 0, ""), ("sieve", "Rename", "pot", "Account", "Pot", False, 53, 52, "Mut,Seeds"), ("sieve", "Rename", "admin", "AccountInfo", None, False, 54, 0, ""), ("sieve", "Rename", "signer", "Signer", None, False, 55, 0, ""),
+]
+# What follows from a declaration: whether it enforces a signature, is unchecked, has seeds or a bump, is created, and which state it holds.
+_FOLLOWS_SQL = f"""SELECT program, struct, name, wrapper = 'Signer' AS enforces_signer, wrapper IN ('UncheckedAccount', 'AccountInfo') AS is_unchecked, contains(kinds, 'Seeds') AS has_seeds, contains(kinds, 'Bump') AS has_bump, contains(kinds, 'Init') AS is_init,
+contains(kinds, 'Address') AS is_pinned, CASE WHEN wrapper = 'Account' THEN inner_ty END AS state_ty, CASE WHEN attr_line = 0 THEN line ELSE attr_line END AS shown_line FROM ({_values('program, struct, name, wrapper, inner_ty, boxed, line, attr_line, kinds', _DECLS)})"""
+_CONSTRAINTS = [
+    ("locker", "Open", "locker", "Raw", "payer=owner"), ("locker", "Open", "locker", "Raw", "space=8+80"), ("locker", "Open", "locker", "Seeds", '[b"locker",owner.key().as_ref()]'), ("locker", "Put", "locker", "Seeds", '[b"locker",owner.key().as_ref()]'),
+    ("locker", "Put", "locker", "HasOne", "owner"), ("locker", "Put", "owner_token", "Raw", "constraint=owner_token.mint==locker_token.mint"), ("locker", "Put", "locker_token", "Address", "locker.token"), ("locker", "Take", "locker", "Seeds", '[b"locker",locker.label.as_ref()]'),
+    ("locker", "Take", "locker", "HasOne", "owner"), ("sieve", "Drain", "pot", "Seeds", '[b"pot"]'), ("sieve", "Rename", "pot", "Seeds", '[b"pot"]'),
+]
+# The second definition of Pot does not count.
+_FIELDS = [("locker", "Locker", 0, "owner", "Pubkey"), ("locker", "Locker", 1, "token", "Pubkey"), ("locker", "Locker", 2, "label", "[u8;32]"), ("locker", "Locker", 3, "limit", "u64"), ("locker", "Locker", 4, "coins", "u64"), ("sieve", "Pot", 0, "admin", "Pubkey"), ("sieve", "Pot", 1, "target", "Pubkey"), ("sieve", "Pot", 2, "level", "u64")]
+_CHECKS = [
+    ("locker", "take", "Require", 34, "Limit,LockerError,accounts,coins,ctx,limit,locker"), ("sieve", "drain", "ManualIf", 13, "accounts,ctx,key,pot,target"), ("sieve", "drain", "Require", 16, "SieveError,Target,accounts,ctx,key,pot,target"), ("sieve", "rename", "AccessControl", 20, "ctx,only_admin"),
+]
+_BODIES = [
+    ("locker", "open", "locker@11,locker@12,locker@13", "", ""), ("locker", "put", "locker@19", "checked_add@19", "token::transfer@20,CpiContext::new@21"), ("locker", "take", "locker@36", "checked_sub@36", ""),
+    ("sieve", "fill", "pot@8", "+@8", "token::transfer@9,CpiContext::new@9"), ("sieve", "drain", "", "", ""), ("sieve", "rename", "", "", ""), ("sieve", "lost", "", "", ""),
+]
+
+
 def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FILES, "program string, path string, text string")
 
@@ -151,3 +182,59 @@ def source_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All suppliers' programs analyzed in one job; how many have each finding."""
     found = analyze(_supplied(spark, sf_dir)).findings
     return found.groupBy("class", "handler").agg(F.count(F.lit(1)).alias("programs"))
+
+
+def _program(spark: SparkSession):
+    return program(files(spark))
+
+
+@query(_values("program, struct, name, wrapper, inner_ty, boxed, line, attr_line, kinds", _DECLS))
+def source_decls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _program(spark).decls.select("program", "struct", "name", "wrapper", "inner_ty", "boxed", "line", "attr_line", F.array_join(F.transform("constraints", lambda c: c["kind"]), ",").alias("kinds"))
+
+
+@query(_FOLLOWS_SQL)
+def source_decl_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _program(spark).decls.select("program", "struct", "name", "enforces_signer", "is_unchecked", "has_seeds", "has_bump", "is_init", "is_pinned", "state_ty", "shown_line")
+
+
+@query(_values("program, struct, decl, kind, text", _CONSTRAINTS))
+def source_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _program(spark).constraints.where("payload is not null").select("program", "struct", "decl", "kind", "text")
+
+
+@query(_values("program, state, ix, field, ty", _FIELDS))
+def source_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _program(spark).fields.select("program", "state", "ix", "field", "ty")
+
+
+@query(_values("program, handler, kind, line, idents", _CHECKS))
+def source_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _program(spark).handlers.select("program", F.col("name").alias("handler"), F.explode("checks").alias("c"))
+    return h.select("program", "handler", "c.kind", "c.line", F.array_join("c.idents", ",").alias("idents"))
+
+
+@query(_values("program, handler, writes, arith, cpi", _BODIES))
+def source_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What handlers' bodies do: state writes, arithmetic and calls into other programs, with their lines."""
+    at = lambda x, what: F.array_join(F.transform(x, lambda c: F.concat(c[what], F.lit("@"), c["line"].cast("string"))), ",")
+    return _program(spark).handlers.select("program", F.col("name").alias("handler"), at("writes", "account").alias("writes"), at("arith", "op").alias("arith"), at(F.filter("calls", lambda c: c["is_cpi"]), "name").alias("cpi"))
+
+
+@query("SELECT * FROM (VALUES ('locker', 'Put', 'owner')) v(program, struct, name)")
+def sibling_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations that another one of their struct, not being created, names by key: the owner in the seeds of put's locker."""
+    return detectors._sibling_pins(_program(spark))
+
+
+@query(f"SELECT row_number() OVER () - 1 AS ord, class, severity, confidence::DOUBLE AS confidence FROM ({_values('class, severity, confidence', [('missing-signer', 'critical', 0.9), ('missing-owner-check', 'high', 0.75), ('missing-authority-binding', 'high', 0.7), ('pda-validation-gap', 'high', 0.65), ('unchecked-arithmetic', 'medium', 0.35), ('removed-guard', 'high', 0.6)])})")
+def rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(i, r["id"], r["severity"], r["confidence"]) for i, r in enumerate(CATALOGUE)], "ord long, class string, severity string, confidence double")
+
+
+@query("""SELECT event_id, (event_id % 3 = 0 AND user_id % 2 = 0) OR event_id % 3 = 1 AS equal FROM events""")
+def equals_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a text compares a chain that begins with `vault` with a key, on either side and at an identifier's border."""
+    left = F.when(F.col("user_id") % 2 == 0, F.lit("vault")).otherwise(F.lit("my_vault"))
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(left, F.lit(".owner.id==accounts.boss.key()"))).when(F.col("event_id") % 3 == 1, F.lit("boss.key()==accounts.vault.owner")).otherwise(F.lit("vault.owner!=boss.key()"))
+    return table(spark, sf_dir, "events").select("event_id", suppression._equals_key(text, F.lit("vault")).alias("equal"))

@@ -189,3 +189,8 @@ def line_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, regexp_matches(text, '(^|[^A-Za-z0-9_])th') AS anchored, regexp_matches(text, '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)') AS bounded FROM documents")
 def anchored_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.mentions(F.col("text"), "th").alias("anchored"), X.mentions(F.col("text"), "the", True).alias("bounded"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) AS compact_md5 FROM documents")
+def compact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.compact(F.col("text")).cast("binary")).alias("compact_md5"))
