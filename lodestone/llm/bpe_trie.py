@@ -276,34 +276,38 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The rows of docs with an array column ``ids``."""
     bounded(ship(docs.sparkSession))
     path = path or place("byte_bpe_50k.json")
-    names = [c for c in docs.columns if c != "ids"]
-    docs = docs.select(*names)
-    at = names.index("text")
+    docs = _packed(docs, "text", "string", "ids")
+    schema = T.StructType([docs.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         c = codec(path)
         for b in batches:
-            ids = c.encode_many(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
+            ids = c.encode_many(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
 
-    return docs.mapInArrow(lambda batches: returned(run(batches)), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(lambda batches: returned(run(batches)), schema).select("row.*", "ids")
+
+
+def _packed(rows: DataFrame, column: str, kind: str, own: str) -> DataFrame:
+    """The columns but ``own`` as one struct, so that their names cannot matter, and the one that is read."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c.lower() != own])
+    return rows.select(rest.alias("row"), F.col(f"`{column}`").cast(kind).alias("read"))
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     """The rows with a string column ``decoded`` made from their ``ids``."""
     bounded(ship(rows.sparkSession))
     path = path or place("byte_bpe_50k.json")
-    names = [c for c in rows.columns if c != "decoded"]
-    rows = rows.select(*names)
-    at = names.index("ids")
+    rows = _packed(rows, "ids", "array<int>", "decoded")
+    schema = T.StructType([rows.schema["row"], T.StructField("decoded", T.StringType())])
 
     def run(batches):
         c = codec(path)
         for b in batches:
-            text = [None if x is None else c.decode(x) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], names=[*names, "decoded"])
+            text = [None if x is None else c.decode(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["row", "decoded"])
 
-    return rows.mapInArrow(lambda batches: returned(run(batches)), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+    return rows.mapInArrow(lambda batches: returned(run(batches)), schema).select("row.*", "decoded")
 
 
 def encode_digest(docs: DataFrame, path: str | None = None) -> DataFrame:

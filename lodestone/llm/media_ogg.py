@@ -22,6 +22,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.memory import bounded, returned
@@ -187,16 +188,17 @@ def digest(text: str | None) -> tuple:
 def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs with a binary column ``media`` in place of the text."""
     bounded(ship(docs.sparkSession))
-    rest = [c for c in docs.columns if c.lower() not in (text.lower(), "media")]
-    docs = docs.select(*[docs[f"`{c}`"] for c in rest], docs[text].cast("string"))
-    schema = T.StructType([*docs.schema.fields[:-1], T.StructField("media", T.BinaryType())])
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (text.lower(), "media")]
+    # the row goes along as one struct, whatever its columns are named
+    docs = docs.select(F.struct(*rest).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType([docs.schema["row"], T.StructField("media", T.BinaryType())])
 
     def run(batches):
         for b in batches:
-            media = pa.array([encode(_payload(t)) for t in b.column(len(rest)).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], media], names=[*rest, "media"])
+            media = pa.array([encode(_payload(t)) for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), media], names=["row", "media"])
 
-    return docs.mapInArrow(lambda batches: returned(run(batches)), schema)
+    return docs.mapInArrow(lambda batches: returned(run(batches)), schema).select("row.*", "media")
 
 
 def media_digest(docs: DataFrame) -> DataFrame:

@@ -145,8 +145,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["part", "name", "n_docs", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    place = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.length("text")]
-    ordered = rows.repartitionByRange(partitions, *place).sortWithinPartitions(*place)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.length("text")]
+    ordered = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     parts = sorted((r for r in ordered.mapInArrow(lambda batches: returned(run(batches)), "part long, name string, n_docs long, n_ids long").collect() if r.n_docs), key=lambda r: r.part)
     bases = np.concatenate([[0], np.cumsum([r.n_ids for r in parts], dtype=np.int64)])
     manifest = {"dtype": dtype, "end_id": end_id, "n_ids": int(bases[-1]), "parts": [{"name": r.name, "n_docs": r.n_docs, "n_ids": r.n_ids, "base": int(b)} for r, b in zip(parts, bases)]}
