@@ -136,7 +136,7 @@ def test_reports(spark):
     assert first["locations"][0]["physicalLocation"] == {"artifactLocation": {"uri": "a.rs"}, "region": {"startLine": 3}} and first["level"] == "error"
     assert "region" not in second["locations"][0]["physicalLocation"] and "partialFingerprints" not in second
     text = R.markdown(found, {"handlers": 2}, [])
-    assert "a\\|b c" in text and "## Static track (1)" in text and "## Corroborated (0)" in text
+    assert "a\\|b c" in text and "## Static track (1)" in text and "## All, in order (2)" in text
     assert R.sarif(found, rules, []) == R.sarif(found, rules, [])
 
 
