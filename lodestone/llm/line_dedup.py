@@ -22,10 +22,12 @@ from ``equal_chars`` characters on, if that is given; blank ones are left alone.
    deletion key has one shorter line, which is matched with the longer ones.
 5. The distance of each pair that comes out is verified on the texts.
 6. For the grown bound, lines that share the first or last part that edits in one
-   place leave (surely found), or one of the least hashes of their runs of six
-   words (likely found), are verified at their bound: with the earliest line of
-   each key, and where that is not near with all of the key, which takes time
-   with the square of the lines that share a part and are not near.
+   place leave, or one of the least hashes of their runs of six
+   words, are verified at their bound: with the earliest line of each key, and
+   where that is not near with the earliest line of each key and length in the
+   bound. So rows follow lines and keys, never pairs of a key's lines; a line is
+   likely found, and missed where other lines of its length that share its parts
+   stand before all that are near to it.
 
 Cases: a null text has no lines; of repeated rows (doc_id and text equal) one
 counts as the earlier, and the others lose all lines that count; a null doc_id
@@ -214,14 +216,17 @@ def _far(docs: DataFrame, distinct: DataFrame, min_chars: int, per: int) -> Data
         both = close.join(text, place).join(text.select(*[F.col(c).alias(f"{c}2") for c in (*place, "t")]), ["d2", "r2", "l2"])
         return stored(both.where(F.expr("levenshtein(t, t2, bound) >= 0")).select(*place).distinct(), "far-near")
 
-    # one earlier line is enough: each key's earliest settles most lines, and only the rest are held to all of a key
+    # one earlier line is enough, and each key's earliest settles most lines
     whole = F.struct(*place, "n")
     firsts = used.groupBy("key").agg(F.min(whole).alias("first"), F.min(F.when(F.col("own"), whole)).alias("first_own"))
     by = used.join(firsts, "key").withColumn("by", F.when(F.col("own"), F.col("first")).otherwise(F.col("first_own")))
     settled = near(by.select(*place, "n", *[F.col(f"by.{c}").alias(f"{c}2") for c in (*place, "n")]))
-    other = used.select("key", F.col("own").alias("own2"), *[F.col(c).alias(f"{c}2") for c in (*place, "n")])
-    rest = used.join(_small(settled), place, "left_anti").join(other, "key").where("own or own2")
-    return settled.union(near(rest))
+    # the rest are held to the earliest line of each length in their bound that has the key: rows in proportion, never pairs of a key
+    by_length = used.groupBy("key", F.col("n").alias("n2")).agg(F.min(F.struct(*place)).alias("first"), F.min(F.when(F.col("own"), F.struct(*place))).alias("first_own"))
+    spread = F.floor(F.col("n") / (per - 1)).cast("int")  # no longer line in the bound is longer than this allows
+    rest = used.join(_small(settled), place, "left_anti").withColumn("n2", F.explode(F.sequence(F.col("n") - spread, F.col("n") + spread)))
+    held = rest.join(by_length, ["key", "n2"]).withColumn("by", F.when(F.col("own"), F.col("first")).otherwise(F.col("first_own")))
+    return settled.union(near(held.select(*place, "n", "n2", *[F.col(f"by.{c}").alias(f"{c}2") for c in place])))
 
 
 def kept_places(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None, per: int | None = None) -> DataFrame:
