@@ -96,13 +96,28 @@ def release(spark: SparkSession, since: int, keep: DataFrame | None = None) -> i
     the tables of those that are done.
     """
     held = _written(spark)
-    plain = lambda uri: re.sub("^file:/+", "file:/", uri)
-    read = [] if keep is None else [plain(f) for f in keep.inputFiles()]
-    kept = {p for p in held[since:] if any(f.startswith(plain(p) + "/") for f in read)}
+    kept = set() if keep is None else _tables(keep)
     gone = [p for p in held[since:] if p not in kept]
-    sc = spark.sparkContext
-    for p in gone:
+    _delete(spark, gone)
+    return len(gone)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the tables that these frames read from the scratch space; what was made of them has been written."""
+    for df in frames:
+        _delete(df.sparkSession, list(_tables(df)))
+
+
+def _tables(df: DataFrame) -> set[str]:
+    """The tables written here that a frame reads."""
+    plain = lambda uri: re.sub("^file:/+", "file:/", uri)
+    read = {plain(f).rpartition("/")[0] for f in df.inputFiles()}
+    return {p for p in _written(df.sparkSession) if plain(p) in read}
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    sc, held = spark.sparkContext, _written(spark)
+    for p in paths:
         path = sc._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    held[since:] = [p for p in held[since:] if p in kept]
-    return len(gone)
+        held.remove(p)

@@ -19,7 +19,10 @@ def test_stored_tables_can_be_released(spark):
     assert len(paths) == 2 and all(map(_there, paths))
     assert session.release(spark, first, keep=b) == 1
     assert b.count() == 6 and [_there(p) for p in paths] == [False, True]
-    assert session.release(spark, first) == 1 and not _there(paths[1])
+    c = session.stored(b.where("x > 5"), "c")
+    session.forget(b)
+    assert not _there(paths[1]) and c.count() == 4
+    assert session.release(spark, first) == 1
 
 
 def test_root_is_a_qualified_uri_and_honours_the_set_folder(spark):
