@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.memory import bounded, returned
-from lodestone.session import ship, stored
+from lodestone.session import forget, ship, stored
 
 MIN_CHARS = 20
 #: Words in a run, and runs a line, whose hashes are keys for lines with edits in several places.
@@ -206,6 +206,7 @@ def _far(docs: DataFrame, distinct: DataFrame, min_chars: int, per: int) -> Data
     keys = stored(texts.select(*place, n.alias("n"), F.explode(_far_keys(n, F.col("t"), per)).alias("k")).select(*place, "n", "k.*"), "far-keys")
     groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("own"), 1)).alias("owns")).where("all > 1 and owns > 0").select("key")
     used = stored(keys.join(_small(stored(groups, "far-groups")), "key"), "far-used")
+    forget(keys)
 
     def near(pairs: DataFrame) -> DataFrame:
         bound = F.floor(F.greatest("n", "n2") / per).cast("int")
@@ -214,7 +215,9 @@ def _far(docs: DataFrame, distinct: DataFrame, min_chars: int, per: int) -> Data
         ends = stored(close.select(*place).union(close.select("d2", "r2", "l2")).distinct(), "far-ends")
         text = stored(_lines(docs, least).join(_small(ends), place).dropDuplicates(place), "far-lines")
         both = close.join(text, place).join(text.select(*[F.col(c).alias(f"{c}2") for c in (*place, "t")]), ["d2", "r2", "l2"])
-        return stored(both.where(F.expr("levenshtein(t, t2, bound) >= 0")).select(*place).distinct(), "far-near")
+        found = stored(both.where(F.expr("levenshtein(t, t2, bound) >= 0")).select(*place).distinct(), "far-near")
+        forget(close, ends, text)
+        return found
 
     # one earlier line is enough, and each key's earliest settles most lines
     whole = F.struct(*place, "n")
@@ -226,7 +229,9 @@ def _far(docs: DataFrame, distinct: DataFrame, min_chars: int, per: int) -> Data
     spread = F.floor(F.col("n") / (per - 1)).cast("int")  # no longer line in the bound is longer than this allows
     rest = used.join(_small(settled), place, "left_anti").withColumn("n2", F.explode(F.sequence(F.col("n") - spread, F.col("n") + spread)))
     held = rest.join(by_length, ["key", "n2"]).withColumn("by", F.when(F.col("own"), F.col("first")).otherwise(F.col("first_own")))
-    return settled.union(near(held.select(*place, "n", "n2", *[F.col(f"by.{c}").alias(f"{c}2") for c in place])))
+    found = settled.union(near(held.select(*place, "n", "n2", *[F.col(f"by.{c}").alias(f"{c}2") for c in place])))
+    forget(used)
+    return found
 
 
 def kept_places(docs: DataFrame, min_chars: int = MIN_CHARS, equal_chars: int | None = None, per: int | None = None) -> DataFrame:

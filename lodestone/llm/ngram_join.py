@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
 from lodestone.llm.memory import bounded, returned
-from lodestone.session import ship, stored
+from lodestone.session import forget, ship, stored
 
 WIDTH = 5
 THRESHOLD = (4, 5)
@@ -437,7 +437,9 @@ def links(docs: DataFrame, classes: DataFrame, tries: DataFrame, depth: int, bef
     ordered = rows.repartition(parts, *task).sortWithinPartitions(*task)
     compare = _compare(trees, depth, before, threshold)
     found = ordered.mapInArrow(lambda batches: returned(compare(batches)), "rep long, h1 long, h2 long, links long, rep2 long, h1b long, h2b long, low double")
-    return stored(found, "links"), full
+    found = stored(found, "links")
+    forget(nodes, members)
+    return found, full
 
 
 def search(docs: DataFrame, classes: DataFrame, trees: int = TREES, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> tuple[DataFrame, list[int]]:
@@ -451,13 +453,15 @@ def search(docs: DataFrame, classes: DataFrame, trees: int = TREES, threshold: t
         found = more if found is None else found.unionByName(more)
         depths.append(depth)
         if depth <= floor:
-            return found, depths
+            break
         low = found.agg(F.min("low")).first()[0]
         # without any link there is nothing to go by but the threshold
         wanted = max((d for d in range(floor, depth + 1) if low is not None and chance(low, d, trees) >= SURE), default=floor)
         if wanted == depth:
-            return found, depths
+            break
         depth, before = wanted, depth
+    forget(tries, sets)
+    return found, depths
 
 
 def _judged(docs: DataFrame, trees: int = TREES, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
