@@ -1,93 +1,23 @@
-"""Indexes on disk: postings for the sparse leg, vectors with a guard of model and width for the dense leg.
+"""Indexes on disk: blocks of postings for the sparse leg, vectors with a guard of model and width for the dense leg.
 
 A folder of Parquet tables; a build is idempotent, as it replaces what is there.
-Postings lie in folders by a hash of their token, sorted by token in each, so a
-search reads the row groups of its own tokens and no texts; a posting carries
-its field's length, and a field's statistics are counted when the index is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from zlib import crc32
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.constants import BM25_B, BM25_K1
-from lodestone.functions.text import tokens
-from lodestone.operators.retrieval import DimensionMismatch, parse_query, upsert
+from lodestone.operators.postings import best, build_sparse, existing, lookup, open_sparse, postings, search  # noqa: F401
+from lodestone.operators.retrieval import DimensionMismatch, upsert
 from lodestone.session import stored
 
-#: Folders of postings. A hash bucket of tokens is a fixed share of the index, so it grows with the corpus; row groups prune within.
-BUCKETS = 64
-TERMS = "query_id string, term int, at int, width int, tok string"
-
-
-def build_sparse(docs: DataFrame, path: str, fields: tuple[str, ...] = ("text", "title")) -> None:
-    """Write documents, postings (doc_id, field, len, pos, tok) and the fields' statistics below ``path``."""
-    docs.write.mode("overwrite").parquet(f"{path}/documents")
-    read = docs.sparkSession.read.parquet(f"{path}/documents")
-    every = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields]))
-    held = read.select("doc_id", every.alias("x")).select("doc_id", "x.field", F.size("x.t").alias("len"), "x.t")
-    placed = held.select("doc_id", "field", "len", F.posexplode_outer("t").alias("pos", "tok"))
-    bucket = F.coalesce(F.pmod(F.crc32(F.col("tok").cast("binary")), F.lit(BUCKETS)).cast("int"), F.lit(-1))
-    # a frequent token is dealt over tasks by its document; a document without tokens is kept in a folder of its own, for the statistics
-    dealt = placed.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
-    dealt.sortWithinPartitions("bucket", "tok").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    first = docs.sparkSession.read.parquet(f"{path}/postings").where("pos is null or pos = 0")
-    first.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")).write.mode("overwrite").parquet(f"{path}/statistics")
-
-
-def open_sparse(spark: SparkSession, path: str) -> DataFrame:
-    """The documents of an index, for searching."""
-    return spark.read.parquet(f"{path}/documents")
-
-
-def postings(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
-    """The postings of some tokens; only their buckets are read."""
-    wanted = sorted({crc32(w.encode()) % BUCKETS for w in words})
-    return spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(wanted) & F.col("tok").isin(words))
-
-
-def search(spark: SparkSession, path: str, queries: dict[str, str], k: int) -> DataFrame:
-    """The k best documents of each query by BM25: (query_id, rank, doc_id, score), from the postings alone.
-
-    A phrase occurs where its tokens stand side by side, overlaps included: each
-    posting of its i-th token votes for the place i before it, and places with
-    all votes count. Every match is scored before the cut; ties go by doc_id.
-    """
-    rows = [(q, t, i, len(p), w) for q, text in queries.items() for t, p in enumerate(parse_query(text)) for i, w in enumerate(p)]
-    kind = spark.read.parquet(f"{path}/documents").schema["doc_id"].dataType
-    if not rows or k <= 0:
-        return spark.createDataFrame([], "query_id string, rank int, doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast(kind))
-    terms = F.broadcast(spark.createDataFrame(rows, TERMS))  # the stated queries' own tokens
-    held = postings(spark, path, sorted({r[4] for r in rows})).select("doc_id", "field", "len", "pos", "tok")
-    stats = F.broadcast(spark.read.parquet(f"{path}/statistics"))  # a row a field
-    df = held.groupBy("field", "tok").agg(F.countDistinct("doc_id").alias("df"))
-    idf = terms.join(stats.crossJoin(terms.select("tok").distinct()).join(df, ["field", "tok"], "left").fillna(0, ["df"]), "tok")
-    weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = idf.groupBy("query_id", "term", "field").agg(F.sum(weight).alias("weight"), F.max("avg_len").alias("avg_len"))
-    votes = held.join(terms, "tok").groupBy("query_id", "term", "width", "field", "doc_id", "len", (F.col("pos") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-    tf = votes.where("n = width").groupBy("query_id", "term", "field", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    part = F.col("weight") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len")))
-    scored = tf.join(F.broadcast(weights), ["query_id", "term", "field"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-    return best(scored, k)
-
-
-def best(scored: DataFrame, k: int) -> DataFrame:
-    """The k best of each query, ties by doc_id; a query's candidates are thinned in parts before they meet."""
-    order = [F.desc("score"), F.col("doc_id")]
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(64))
-    near = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", part).orderBy(*order))).where(F.col("r") <= k)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
-
-
 def described(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     """The documents of some ids, one row each; of a repeated id the row with the greatest content."""
-    docs = open_sparse(spark, path)
-    found = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
+    found = lookup(spark, path, ids)
+    rest = [c for c in found.columns if c != "doc_id"]
     return found.groupBy("doc_id").agg(F.max(F.struct(*rest)).alias("x")).select("doc_id", "x.*")
 
 

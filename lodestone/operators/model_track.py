@@ -233,8 +233,9 @@ def retrieved(spark: SparkSession, path: str, queries: dict[str, str], top_k: in
         dense = stored(knn(vectors, asked, n).withColumn("doc_id", F.col("doc_id").cast("string")), "dense-legs")
         lists = lists.unionByName(dense.select("query_id", "rank", "doc_id"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "doc_id"))  # a few times top_k rows a query
-    there = index.open_sparse(spark, path).select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
     fused = stored(rrf(lists).withColumn("place", place), "fused")
+    kind = index.open_sparse(spark, path).schema["doc_id"].dataType
+    there = index.existing(spark, path, fused.select(F.col("doc_id").cast(kind).alias("doc_id"))).select(F.col("doc_id").cast("string").alias("doc_id"))
     hits = fused.join(there, "doc_id").join(sparse.select("query_id", "doc_id", F.col("score").alias("bm25")), ["query_id", "doc_id"], "left")
     if asked is None:
         hits = hits.withColumn("dense", F.lit(None).cast("double"))

@@ -174,13 +174,14 @@ def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     return lists.groupBy("query_id", "doc_id").agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("rrf"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame | None, query: str, embedding: list[float] | None, top_k: int, sparse: Callable[[dict[str, str], int], DataFrame] | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, vectors: DataFrame | None, query: str, embedding: list[float] | None, top_k: int, sparse: Callable[[dict[str, str], int], DataFrame] | None = None, exists: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Fused hits: (rank, doc_id, rrf, dense, bm25).
 
     Each leg fetches four times what is asked for; the first two times as many
     fused ids get their cosine if the dense leg ran, even where it did not find
     them. A null says that a leg did not return a document, or did not run.
-    ``sparse`` searches an index (queries, k); without one the texts are scanned.
+    ``sparse`` searches an index (queries, k), and ``exists`` says which of some ids
+    it has; without one the texts, and all ids, are scanned.
     The legs' rows, a few times top_k, are written once and not computed again.
     """
     if top_k > 0 and vectors is not None and embedding is not None:
@@ -197,7 +198,8 @@ def hybrid(docs: DataFrame, vectors: DataFrame | None, query: str, embedding: li
     fused = rrf(lists).orderBy(F.desc("rrf"), "doc_id").select("doc_id", "rrf")
     kept = fused.limit(OVERFETCH * 2 * n)  # never more than both legs hold
     first = fused.limit(BACKFILL * n)
-    there = docs.join(F.broadcast(kept.select("doc_id")), "doc_id", "left_semi").select("doc_id").distinct()  # at most 8 * top_k ids
+    asked = kept.select("doc_id")  # at most 8 * top_k ids
+    there = exists(asked) if exists else docs.join(F.broadcast(asked), "doc_id", "left_semi").select("doc_id").distinct()
     hits = kept.join(F.broadcast(there), "doc_id").join(sparse_hits.select("doc_id", F.col("score").alias("bm25")), "doc_id", "left")
     if ran:
         backfill = scores_for(vectors, embedding, first).unionByName(dense.select("doc_id", "score")).distinct()

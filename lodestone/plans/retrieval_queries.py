@@ -37,6 +37,10 @@ def _search(spark: SparkSession, sf_dir: str):
     return lambda queries, k: index.search(spark, _index(spark, sf_dir), queries, k)
 
 
+def _exists(spark: SparkSession, sf_dir: str):
+    return lambda ids: index.existing(spark, _index(spark, sf_dir), ids)
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
@@ -81,6 +85,31 @@ def bm25_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir)({"q": OVERLAPS}, 20).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH d AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS tok FROM documents)
+SELECT tok, count(*)::BIGINT AS df FROM d GROUP BY tok""")
+def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of the texts with its document frequency, as the index holds it."""
+    return spark.read.parquet(f"{_index(spark, sf_dir)}/dictionary").where("field = 'text'").select("tok", "df")
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws(' ', source, lang) AS title FROM documents)
+SELECT l.doc_id, d.title, length(d.text)::BIGINT AS n_chars FROM (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l JOIN d USING (doc_id)""")
+def keyed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of some ids, from the parts of the index that can hold them."""
+    ids = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return index.lookup(spark, _index(spark, sf_dir), ids).select("doc_id", "title", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+
+
+_BATCH = {"a": TERMS, "b": PHRASES, "c": OVERLAPS}
+
+
+@query("WITH " + ", ".join(_bm25_sql(q, 5, f"bm_{c}") for c, q in _BATCH.items()) + " " + " UNION ALL ".join(f"SELECT '{c}' AS query_id, rank, doc_id, round(score, 6) AS score FROM bm_{c}" for c in _BATCH))
+def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several queries as rows of a table, in one search."""
+    rows = spark.createDataFrame(list(_BATCH.items()), "query_id string, text string")
+    return index.search(spark, _index(spark, sf_dir), rows, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_bm25_sql(OVERLAPS, 20)} {_ROUNDED}")
 def bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without an index: the texts are scanned."""
@@ -134,12 +163,12 @@ def _hits(df: DataFrame) -> DataFrame:
 
 @query(f"{_hybrid_sql(10, True)} {_HITS}")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(R.hybrid(_docs(spark, sf_dir), _vectors(spark, sf_dir), TERMS, _vector(spark, sf_dir), 10, _search(spark, sf_dir)))
+    return _hits(R.hybrid(_docs(spark, sf_dir), _vectors(spark, sf_dir), TERMS, _vector(spark, sf_dir), 10, _search(spark, sf_dir), _exists(spark, sf_dir)))
 
 
 @query(f"{_hybrid_sql(10, False)} {_HITS}")
 def hybrid_sparse_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(R.hybrid(_docs(spark, sf_dir), None, TERMS, None, 10, _search(spark, sf_dir)))
+    return _hits(R.hybrid(_docs(spark, sf_dir), None, TERMS, None, 10, _search(spark, sf_dir), _exists(spark, sf_dir)))
 
 
 @query("""SELECT l.quality::VARCHAR || l.toxic::VARCHAR AS query_id, coalesce(CASE WHEN bool_or(c IS NOT NULL) THEN bool_or(coalesce(c >= 0.62, false)) ELSE bool_or(coalesce(length(d.text) > 0, false)) END, false) AS grounded
@@ -226,5 +255,6 @@ SELECT 'text' AS field, count(*) AS n_docs, round(avg(len(t)), 6) AS avg_len, su
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the sparse index holds of the texts: documents, mean length and postings."""
     path = _index(spark, sf_dir)
-    held = spark.read.parquet(f"{path}/postings").where("field = 'text' and pos is not null").groupBy("field").agg(F.count(F.lit(1)).alias("postings"))
+    total = F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)
+    held = spark.read.parquet(f"{path}/blocks").where("field = 'text'").groupBy("field").agg(F.sum(total).alias("postings"))
     return spark.read.parquet(f"{path}/statistics").join(held, "field").select("field", "n_docs", F.round("avg_len", 6).alias("avg_len"), "postings")
