@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.postings import best, build_sparse, existing, lookup, open_sparse, postings, search  # noqa: F401
-from lodestone.operators.retrieval import DimensionMismatch, upsert
+from lodestone.operators.vectors import init_vectors, meta, open_vectors, put_vectors, size  # noqa: F401
 from lodestone.session import stored
 
 def described(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
@@ -21,53 +21,6 @@ def described(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.max(F.struct(*rest)).alias("x")).select("doc_id", "x.*")
 
 
-def size(vectors: DataFrame) -> DataFrame:
-    """What a vector store holds: the number of vectors, their width and whether there are none."""
-    return vectors.agg(F.count(F.lit(1)).alias("vectors"), F.min(F.size("embedding")).cast("long").alias("dim"), (F.count(F.lit(1)) == 0).alias("is_empty"))
-
-
-def meta(spark: SparkSession, path: str) -> tuple[str, int] | None:
-    """(model, width) of the stored vectors, or None if there are none."""
-    try:
-        row = spark.read.parquet(f"{path}/meta").first()
-    except Exception as e:  # the path may not exist; anything else is an error
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return (row.model, row.dim) if row else None
-
-
-def init_vectors(spark: SparkSession, path: str, model: str, dim: int) -> None:
-    """Keep stored vectors of the same model and width; drop those of others."""
-    if meta(spark, path) == (model, dim):
-        return
-    spark.createDataFrame([], "doc_id string, embedding array<float>").write.mode("overwrite").parquet(f"{path}/vectors")
-    spark.createDataFrame([(model, dim)], "model string, dim int").write.mode("overwrite").parquet(f"{path}/meta")
-
-
-def put_vectors(new: DataFrame, path: str) -> None:
-    """Upsert rows (doc_id, embedding, seq): the union is written elsewhere first, then over the old table."""
-    spark = new.sparkSession
-    held = meta(spark, path)
-    if held is None:
-        raise ValueError("the store has no model yet")
-    bad = new.where(F.size("embedding") != held[1]).limit(1).count()
-    if bad:
-        raise DimensionMismatch(f"a vector does not have {held[1]} numbers")
-    whole = stored(upsert(spark.read.parquet(f"{path}/vectors"), new), "vectors")
-    whole.write.mode("overwrite").parquet(f"{path}/vectors")
-
-
-def open_vectors(spark: SparkSession, path: str, model: str, dim: int) -> DataFrame | None:
-    """The stored vectors; None if there are none, an error if they are of another model or width."""
-    held = meta(spark, path)
-    if held is None:
-        return None
-    if held != (model, dim):
-        raise DimensionMismatch(f"stored vectors are of {held[0]} with {held[1]} numbers, asked for {model} with {dim}")
-    return spark.read.parquet(f"{path}/vectors")
-
-
 def build(docs: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame] | None, model: str = "", dim: int = 0) -> bool:
     """Build the sparse index always and the dense one if embedding works; whether it did."""
     build_sparse(docs, path)
