@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from lodestone.constants import BACKFILL, BM25_B, BM25_K1, GROUNDED_COSINE, OVERFETCH, QUERY_SYNTAX, RRF_K
 from lodestone.functions.score import cosine
 from lodestone.functions.text import tokens
-from lodestone.session import stored
+from lodestone.session import scratch, stored
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -85,28 +85,29 @@ def check_dimension(vectors: DataFrame, width: int) -> None:
         raise DimensionMismatch(f"stored vectors have {bad[0].w} numbers, the query has {width}")
 
 
-#: Numbers of the query vectors that are sent to all tasks at once.
+#: Numbers of the query vectors that are sent to all tasks at once, some 32 MB; more queries stay a table.
 MOST_NUMBERS = 4_000_000
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest vectors of each query (query_id, embedding), by exact cosine, ties by id.
 
-    Queries are read in blocks whose vectors have at most ``MOST_NUMBERS``
-    numbers, so what is sent does not grow with the set. A task scores its
-    vectors against a block by one matrix product a batch and keeps the k best of
-    each query, so rows that are exchanged follow tasks and queries, not pairs.
+    Queries of at most ``MOST_NUMBERS`` numbers are sent to all tasks, and a task
+    scores its vectors by one matrix product a batch and keeps the k best of each
+    query, so rows that are exchanged follow tasks and queries, not pairs. More
+    queries stay a table and meet the vectors in blocks about pivots.
     """
     held = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q"))
-    n, width = held.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
-    blocks = max(1, -(-n * max(1, width or 1) // MOST_NUMBERS))
+    numbers = held.agg(F.sum(F.coalesce(F.size("q"), F.lit(0))).alias("n")).first().n or 0
+    if numbers > MOST_NUMBERS:
+        from lodestone.operators import pivots
+
+        path = scratch(vectors.sparkSession, "pivots")
+        pivots.build(vectors, path)
+        return pivots.search(vectors.sparkSession, path, queries, k)
     kinds = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", vectors.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
-    out = None
-    for block in range(blocks):
-        # one block is on the driver at a time: some 32 MB
-        rows = held.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect() if blocks > 1 else held.collect()
-        near = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("v")).mapInArrow(_nearest_in([r.query_id for r in rows], [r.q for r in rows], k), kinds)
-        out = near if out is None else out.unionByName(near)
+    rows = held.collect()
+    out = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("v")).mapInArrow(_nearest_in([r.query_id for r in rows], [r.q for r in rows], k), kinds)
     order = [F.desc("score"), F.col("doc_id")]
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

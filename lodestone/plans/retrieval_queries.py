@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import query_terms, tokens
-from lodestone.operators import index
+from lodestone.operators import index, pivots
 from lodestone.operators import retrieval as R
 from lodestone.operators.embedding import HashEmbedder, embed_documents
 from lodestone.operators.evaluate import rendered
@@ -17,6 +17,7 @@ TERMS = "the thonre licensed keit"
 PHRASES = "Licensed-under The_and de,la thonre"
 OVERLAPS = "ha-ha ha_ha_ha the-the"
 _INDEXES: dict[tuple[str, str], str] = {}
+_PIVOTS: dict[tuple[str, str], str] = {}
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +130,24 @@ FROM (SELECT q.vec_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q
 def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     asked = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding")  # the stated query set
-    return R.knn(v, asked, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+    return pivots.search(spark, _pivots(spark, sf_dir), asked, 5).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
+
+
+def _pivots(spark: SparkSession, sf_dir: str) -> str:
+    """Blocks of a folder's vectors about pivots, built once a session in the shared scratch space."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PIVOTS:
+        path = scratch(spark, "pivots")
+        pivots.build(_vectors(spark, sf_dir), path)
+        _PIVOTS[key] = path
+    return _PIVOTS[key]
+
+
+@query("SELECT count(*)::BIGINT AS vectors, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 THEN 1 ELSE 0 END)::BIGINT AS directed FROM embeddings")
+def pivot_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the blocks about pivots hold: all vectors, and those that have a direction."""
+    held = spark.read.parquet(f"{_pivots(spark, sf_dir)}/blocks")
+    return held.agg(F.sum("n").alias("vectors"), F.coalesce(F.sum(F.when(F.col("pivot") >= 0, F.col("n"))), F.lit(0)).alias("directed"))
 
 
 @query(f"SELECT doc_id, round(score, 6) AS score FROM ({_NEAR}) WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -250,6 +268,19 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.open_vectors(spark, path, "m", 64).select(F.col("doc_id").cast("long").alias("doc_id"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
 
 
+@query("SELECT vec_id AS doc_id, CASE WHEN vec_id % 7 = 0 THEN 7 WHEN vec_id % 4 = 0 THEN 4 ELSE round(embedding[1]::DOUBLE, 6) END AS first FROM embeddings JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = vec_id")
+def vector_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deltas over a base, merged where some ids are looked up."""
+    path = scratch(spark, "vectors")
+    v = _vectors(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
+    index.init_vectors(spark, path, "m", 64)
+    index.put_vectors(v.withColumn("seq", F.lit(0)), path)
+    for k in (4, 7):
+        index.put_vectors(v.where(F.col("doc_id").cast("long") % k == 0).withColumn("embedding", F.array_repeat(F.lit(k).cast("float"), 64)).withColumn("seq", F.lit(0)), path)
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("doc_id"))
+    return index.open_vectors(spark, path, "m", 64, ids).select(F.col("doc_id").cast("long").alias("doc_id"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
 @query("""WITH t AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM documents)
 SELECT 'text' AS field, count(*) AS n_docs, round(avg(len(t)), 6) AS avg_len, sum(len(t))::BIGINT AS postings FROM t""")
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
