@@ -51,6 +51,8 @@ MIN_CHARS = 20
 #: Words in a run, and runs a line, whose hashes are keys for lines with edits in several places.
 RUN, RUNS = 6, 8
 _BLANKS = " \t\n\x0b\x0c\r"
+#: Characters up to which the bounded table of distances is made, and up to which lengths are told apart one by one.
+SHORT, EXACT_LENGTHS = 4_096, 800
 #: Key tables up to this number of rows are broadcast, at some 30 bytes each.
 MOST_BROADCAST = 500_000
 _PRIME = 0x9E3779B97F4A7C15
@@ -173,6 +175,75 @@ def _near(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     return both.where(F.levenshtein("t", "t2", 1) >= 0).select("d", "r", "l").distinct()
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _run(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many characters are equal from each (i, j) on; blocks grow while they are equal."""
+    got, open_, width = np.zeros(len(i), np.int64), np.arange(len(i)), 16
+    while len(open_):
+        x, y = i[open_] + got[open_], j[open_] + got[open_]
+        room = np.minimum(np.minimum(len(a) - x, len(b) - y), width)
+        step = np.arange(width)
+        inside = step < room[:, None]
+        same = (a[np.minimum(x[:, None] + step, len(a) - 1)] == b[np.minimum(y[:, None] + step, len(b) - 1)]) & inside
+        n = np.where(same.all(1), width, same.argmin(1))
+        got[open_] += n
+        open_ = open_[(n == width)]
+        width = min(width * 4, max(16, 4_000_000 // max(1, len(open_))))
+    return got
+
+
+def within(s: str, t: str, bound: int) -> bool:
+    """Whether two texts are within so many edits of single characters."""
+    a, b = _codes(s), _codes(t)
+    n = min(len(a), len(b))
+    unequal = np.flatnonzero(a[:n] != b[:n])
+    head = int(unequal[0]) if len(unequal) else n
+    unequal = np.flatnonzero(a[::-1][: n - head] != b[::-1][: n - head])
+    tail = int(unequal[0]) if len(unequal) else n - head
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    m, n = len(a), len(b)
+    if abs(m - n) > bound or not m or not n:
+        return max(m, n) <= bound
+    # each character that one has more often than the other costs an edit
+    codes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    more = np.bincount(at[:m], minlength=len(codes)) - np.bincount(at[m:], minlength=len(codes))
+    if max(more[more > 0].sum(), -more[more < 0].sum()) > bound:
+        return False
+    # reach[d + bound + 1]: the furthest row that k edits reach on diagonal d = column - row
+    reach = np.full(2 * bound + 3, -2, np.int64)
+    for k in range(bound + 1):
+        # diagonals that k edits reach and from which the end is still in reach
+        low, high = max(-k, n - m - (bound - k)), min(k, n - m + (bound - k))
+        d = np.arange(low, high + 1)
+        at = d + bound + 1
+        row = np.zeros(1, np.int64) if k == 0 else np.maximum(np.maximum(reach[at] + 1, reach[at - 1]), reach[at + 1] + 1)
+        row = np.minimum(row, np.minimum(m, n - d))
+        good = (row >= 0) & (row + d >= 0)
+        row = np.where(good, row, -2)
+        i = row[good]
+        row[good] = i + _run(a, b, i, i + d[good])
+        reach[at] = row
+        if low <= n - m <= high and reach[n - m + bound + 1] >= m:
+            return True
+    return False
+
+
+def _close(batches):
+    """The places of the lines whose texts are within their bound."""
+    for b in batches:
+        near = [within(*row) for row in zip(*(b.column(c).to_pylist() for c in range(3, 6)))]
+        yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(near, pa.bool_())) for c in range(3)], names=["d", "r", "l"])
+
+
+def _class(m: Column) -> tuple[Column, Column]:
+    """The step of lengths about m, a power of two in proportion to it, and m in such steps."""
+    step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor(F.log2(m / EXACT_LENGTHS)) + 1)).cast("int")
+    return step, F.floor(m / step).cast("int")
+
+
 def _far_keys(n: Column, t: Column, per: int) -> Column:
     """A line's keys for the grown bound, each with whether it is the line's own step or one of shorter lines' steps.
 
@@ -215,7 +286,10 @@ def _far(docs: DataFrame, distinct: DataFrame, min_chars: int, per: int) -> Data
         ends = stored(close.select(*place).union(close.select("d2", "r2", "l2")).distinct(), "far-ends")
         text = stored(_lines(docs, least).join(_small(ends), place).dropDuplicates(place), "far-lines")
         both = close.join(text, place).join(text.select(*[F.col(c).alias(f"{c}2") for c in (*place, "t")]), ["d2", "r2", "l2"])
-        found = stored(both.where(F.expr("levenshtein(t, t2, bound) >= 0")).select(*place).distinct(), "far-near")
+        brief = F.greatest(F.length("t"), F.length("t2")) <= SHORT
+        short = both.where(brief).where(F.expr("levenshtein(t, t2, bound) >= 0")).select(*place)
+        long = both.where(~brief).select(*place, "t", "t2", "bound").mapInArrow(lambda batches: returned(_close(batches)), "d long, r long, l int")
+        found = stored(short.union(long).distinct(), "far-near")
         forget(close, ends, text)
         return found
 
@@ -224,12 +298,16 @@ def _far(docs: DataFrame, distinct: DataFrame, min_chars: int, per: int) -> Data
     firsts = used.groupBy("key").agg(F.min(whole).alias("first"), F.min(F.when(F.col("own"), whole)).alias("first_own"))
     by = used.join(firsts, "key").withColumn("by", F.when(F.col("own"), F.col("first")).otherwise(F.col("first_own")))
     settled = near(by.select(*place, "n", *[F.col(f"by.{c}").alias(f"{c}2") for c in (*place, "n")]))
-    # the rest are held to the earliest line of each length in their bound that has the key: rows in proportion, never pairs of a key
-    by_length = used.groupBy("key", F.col("n").alias("n2")).agg(F.min(F.struct(*place)).alias("first"), F.min(F.when(F.col("own"), F.struct(*place))).alias("first_own"))
+    # the rest are held to the earliest line of each class of lengths in their bound that has the key: rows in proportion, never pairs of a key
+    step, of = _class(F.col("n"))
+    by_class = used.groupBy("key", step.alias("step"), of.alias("of")).agg(F.min(whole).alias("first"), F.min(F.when(F.col("own"), whole)).alias("first_own"))
     spread = F.floor(F.col("n") / (per - 1)).cast("int")  # no longer line in the bound is longer than this allows
-    rest = used.join(_small(settled), place, "left_anti").withColumn("n2", F.explode(F.sequence(F.col("n") - spread, F.col("n") + spread)))
-    held = rest.join(by_length, ["key", "n2"]).withColumn("by", F.when(F.col("own"), F.col("first")).otherwise(F.col("first_own")))
-    found = settled.union(near(held.select(*place, "n", "n2", *[F.col(f"by.{c}").alias(f"{c}2") for c in place])))
+    low, high = F.col("n") - spread, F.col("n") + spread
+    classes = lambda w: F.transform(F.sequence(F.floor(low / w).cast("int"), F.floor(high / w).cast("int")), lambda x: F.struct(w.alias("step"), x.alias("of")))
+    steps = F.array_distinct(F.concat(classes(_class(low)[0]), classes(_class(high)[0])))
+    rest = used.join(_small(settled), place, "left_anti").withColumn("c", F.explode(steps)).select(*place, "n", "key", "own", "c.step", "c.of")
+    held = rest.join(by_class, ["key", "step", "of"]).withColumn("by", F.when(F.col("own"), F.col("first")).otherwise(F.col("first_own")))
+    found = settled.union(near(held.select(*place, "n", *[F.col(f"by.{c}").alias(f"{c}2") for c in (*place, "n")])))
     forget(used)
     return found
 

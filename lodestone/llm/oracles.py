@@ -90,17 +90,17 @@ SELECT *, full_epochs * n_tokens + part_tokens AS taken_tokens FROM mixed"""
 
 
 def line_dedup(docs: str = "documents") -> str:
-    """Ends in ``deduped`` (doc_id, all, left), from the definition; candidates share half a line."""
+    """Ends in ``deduped`` (doc_id, all, left), from the definition: equal lines of any length, near ones from 20 characters on; candidates share half a line."""
     return f"""
 ld AS (SELECT row_number() OVER () AS r, coalesce(doc_id, -9223372036854775808) AS d, doc_id, string_split(text, chr(10)) AS pieces FROM {docs}),
 lo AS (SELECT d, unnest(range(0, len(pieces))) AS l, unnest(pieces) AS piece FROM ld),
-lt AS (SELECT d, l, trim(piece, {_SEP}) AS t FROM lo WHERE length(trim(piece, {_SEP})) >= 20),
+lt AS (SELECT d, l, trim(piece, {_SEP}) AS t FROM lo WHERE length(trim(piece, {_SEP})) >= 1),
 lf AS (SELECT t, length(t) AS n, min((d, l)) AS fst FROM lt GROUP BY t),
-lk AS (SELECT t, n, fst, m, s, CASE WHEN s = 'P' THEN left(t, m // 2) ELSE right(t, m // 2) END AS h FROM (SELECT *, unnest([n, n - 1]) AS m FROM lf), (VALUES ('P'), ('S')) v(s)),
+lk AS (SELECT t, n, fst, m, s, CASE WHEN s = 'P' THEN left(t, m // 2) ELSE right(t, m // 2) END AS h FROM (SELECT *, unnest([n, n - 1]) AS m FROM lf WHERE n >= 20), (VALUES ('P'), ('S')) v(s)),
 lp AS (SELECT DISTINCT x.t, x.n, x.fst, y.t AS t2, y.n AS n2, y.fst AS fst2 FROM lk x JOIN lk y USING (m, s, h) WHERE x.fst > y.fst),
 ln_ AS (SELECT DISTINCT t FROM lp WHERE greatest(n, n2) - 1 <= len(list_filter(range(1, least(n, n2) + 1), lambda i: left(t, i) = left(t2, i))) + len(list_filter(range(1, least(n, n2) + 1), lambda i: right(t, i) = right(t2, i)))),
 lkeep AS (SELECT fst FROM lf WHERE t NOT IN (SELECT t FROM ln_)),
-deduped AS (SELECT r, doc_id, pieces AS every, list_filter(pieces, lambda x, i: length(trim(x, {_SEP})) < 20 OR list_contains(k, i - 1)) AS remain
+deduped AS (SELECT r, doc_id, pieces AS every, list_filter(pieces, lambda x, i: trim(x, {_SEP}) = '' OR list_contains(k, i - 1)) AS remain
   FROM ld LEFT JOIN (SELECT fst[1] AS d, list(fst[2]) AS k FROM lkeep GROUP BY 1) USING (d))"""
 
 

@@ -43,7 +43,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_digest(table(spark, sf_dir, "documents"), equal_chars=1)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -341,3 +341,56 @@ def test_the_edit_bound_grows_with_the_line(spark):
     dropped = lambda out: {r.doc_id for r in out.where("n_dropped > 0").collect()}
     assert dropped(line_dedup.dedup_digest(d, per=20)) == want and len(want) > 20
     assert len(dropped(line_dedup.dedup_digest(d))) < len(want)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, was = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(was[j] + 1, row[-1] + 1, was[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_distances_by_diagonals():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(1500):
+        a = "".join(rng.choice("abé") for _ in range(rng.randint(0, 25)))
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            p = rng.randint(0, len(b))
+            b[p : p + rng.randint(0, 1)] = rng.choice(["", "a", "d"])
+        b = "".join(b)
+        e = _edits(a, b)
+        assert [line_dedup.within(a, b, q) for q in range(8)] == [e <= q for q in range(8)]
+
+
+def test_a_line_of_a_megabyte_has_near_copies_found_in_seconds(spark):
+    import random
+    import time
+
+    rng = random.Random(4)
+    words = [f"w{rng.randint(0, 9999)}" for _ in range(180_000)]
+    base, other = " ".join(words), " ".join(rng.sample(words, len(words)))
+    some = list(words)
+    for k in range(0, len(words), 3_000):
+        some[k] = "zz"
+    rows = [(1, base), (2, " ".join(some)), (3, other), (4, base + " more"), (5, base[: len(base) // 2])]
+    assert len(base) > 1_000_000
+    began = time.time()
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string"), per=20).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+    assert time.time() - began < 120
+
+
+def test_classes_of_lengths_are_few_and_cover_the_bound(spark):
+    from pyspark.sql import functions as F
+
+    step, of = line_dedup._class(F.col("id"))
+    held = {r.id: (r.step, r.of) for r in spark.range(20, 60_000).select("id", step.alias("step"), of.alias("of")).collect()}
+    assert all(held[n] == (1, n) for n in range(20, line_dedup.EXACT_LENGTHS))
+    for n in (100, 799, 800, 1_700, 50_000):
+        spread = n // 19
+        assert len({held[m] for m in range(n - spread, n + spread + 1)}) <= 2 * 43 + 2

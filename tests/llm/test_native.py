@@ -182,10 +182,10 @@ def test_least_labels(spark):
     assert quality_rules.least_labels(1) == 99 and quality_rules.least_labels(4) == 144
     need = quality_rules.least_labels(2)
     rows = [(i, " ".join(f"w{j}" for j in range(30)), "a" if i < need else "b") for i in range(2 * need - 1)]
-    junk = [(1000 + i, " ".join(f"w{j}" for j in range(30)) + " %" * 60, s) for i, s in enumerate("ab")]
+    junk = [(1000 + i, " ".join(f"w{j}%%" for j in range(30)), s) for i, s in enumerate("ab")]
     d = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
     good = spark.createDataFrame([(i, 1) for i, _, _ in rows], "doc_id long, quality int")
-    assert {r.stratum for r in quality_rules.judge(d, good).where("not kept").collect()} == {"a"}
+    assert {r.stratum for r in quality_rules.judge(d, good).where("not base_failed and not kept").collect()} == {"a"}
 
 
 def test_false_rejection_is_limited(spark):
