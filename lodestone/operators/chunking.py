@@ -1,118 +1,97 @@
-"""Heading-aware chunks of normalised pages."""
+"""Heading-aware chunks of normalised pages, by expressions alone.
 
-from __future__ import annotations
+A source is cut where it lies, without a shuffle: its lines are an array, the
+boundary lines (headings and finding ids) are found by place, a fold over them
+keeps the headings in force, sections are slices between them, and a second fold
+gathers small sections. Folds run over boundaries and sections, never over lines,
+so that no text is copied once a line.
+
+Cases: a null, empty or blank text has no chunks; a text without boundaries is one
+section without a name; a blank tail goes; null titles are empty and null tags none.
+"""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from lodestone.constants import CLASS_TAGS, MERGE_BELOW, SPLIT_ABOVE
-from lodestone.session import ship
+from lodestone.constants import MERGE_BELOW
+from lodestone.functions.text import class_tags, is_finding_id, is_heading, lines, split_oversized, trim
 
-_HEADING = re.compile("(#{1,4}) ")
-_FINDING = re.compile(r"\[?[A-Z]{2,5}-(?=[A-Z0-9-]*[0-9])[A-Z0-9-]++(?![^\W_])")
 _DASH = " — "
 
 
-def _size(text: str) -> int:
-    return len(text.encode("utf-8", "surrogatepass"))
+def bound(value: Column, f) -> Column:
+    """f of a value that is made once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _lines(text: str) -> list[str]:
-    parts = re.split("\r?\n", text)
-    return parts[:-1] if parts[-1] == "" else parts
+def boundaries(ls: Column) -> Column:
+    """The boundary lines of an array of lines: place, depth and words; a finding id is as deep as a top heading."""
+    depth = lambda line: F.when(is_heading(line), F.length(F.regexp_extract(line, "^(#{1,4}) ", 1))).when(is_finding_id(line), 1).otherwise(0)
+    marked = F.filter(F.transform(ls, lambda line, i: F.struct(i.alias("at"), depth(line).alias("depth"), line.alias("line"))), lambda m: m["depth"] > 0)
+    return F.transform(marked, lambda m: F.struct(m["at"].alias("at"), m["depth"].alias("depth"), trim(F.regexp_replace(m["line"], "^#+", "")).alias("head")))
 
 
-def pieces(text: str, limit: int = SPLIT_ABOVE) -> list[str]:
-    """A text in pieces of at most so many bytes, cut at line ends."""
-    if _size(text) <= limit:
-        return [text]
-    out, now, held = [], [], 0
-    for line in _lines(text):
-        n = _size(line) + 1
-        if now and held + n > limit:
-            out.append("".join(now))
-            now, held = [], 0
-        now.append(line + "\n")
-        held += n
-    if "".join(now).strip():
-        out.append("".join(now))
-    return out
+def paths(marks: Column) -> Column:
+    """For each boundary the headings in force from the root down, as one name."""
+    empty = F.array().cast("array<string>")
 
+    def enter(s: Column, m: Column) -> Column:
+        above = F.slice(F.concat(s["stack"], F.array_repeat(F.lit(""), m["depth"])), F.lit(1), m["depth"] - 1)
+        return bound(F.concat(above, F.array(m["head"])), lambda stack: F.struct(stack.alias("stack"), F.array_append(s["out"], F.array_join(F.filter(stack, lambda x: x != ""), _DASH)).alias("out")))
 
-class _Path:
-    """The headings in force, from the root down."""
+    return F.aggregate(marks, F.struct(empty.alias("stack"), empty.alias("out")), enter, lambda s: s["out"])
 
-    def __init__(self) -> None:
-        self.stack: list[str] = []
 
-    def enter(self, line: str) -> str:
-        mark = _HEADING.match(line)
-        depth = len(mark.group(1)) if mark else 1
-        self.stack = (self.stack + [""] * depth)[: depth - 1] + [line.lstrip("#").strip()]
-        return _DASH.join(h for h in self.stack if h)
+def sections(ls: Column, marks: Column, names: Column) -> Column:
+    """(name, text) from one boundary to the next; lines before the first one have no name."""
+    lead = F.coalesce(F.get(marks, F.lit(0))["at"], F.lit(1)) > 0
+    none = F.array().cast("array<int>")
+    begins = F.concat(F.when(lead, F.array(F.lit(0))).otherwise(none), F.transform(marks, lambda m: m["at"]))
+    named = F.concat(F.when(lead, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")), names)
 
+    def cut(begin: Column, named: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(begin, i + 1), F.size(ls))
+        text = lambda a, i: F.concat(F.array_join(F.slice(ls, a + 1, end(i) - a), "\n"), F.lit("\n"))
+        return F.transform(begin, lambda a, i: F.struct(F.get(named, i).alias("name"), text(a, i).alias("text")))
 
-def sections(text: str) -> Iterator[tuple[str | None, str]]:
-    """(heading path, text) from one boundary line to the next."""
-    path, title, held = _Path(), None, []
-    for line in _lines(text):
-        if _HEADING.match(line) or _FINDING.match(line):
-            if held:
-                yield title, "".join(held)
-                held = []
-            title = path.enter(line)
-        held.append(line + "\n")
-    if "".join(held).strip():
-        yield title, "".join(held)
+    kept = lambda all_: F.filter(all_, lambda s, i: (i + 1 < F.size(all_)) | F.rlike(s["text"], F.lit(r"(?U)\S")))
+    return bound(bound(named, lambda n: bound(begins, lambda b: cut(b, n))), kept)
 
 
-def merged(parts: Iterator[tuple[str | None, str]]) -> Iterator[tuple[str | None, str]]:
+def gathered(parts: Column) -> Column:
     """Sections joined until what is gathered has enough bytes; the name deepens but is not replaced."""
-    title, text = None, None
-    for name, more in parts:
-        if text is not None and _size(text.strip()) < MERGE_BELOW:
-            text += more
-            if title is None or (name is not None and len(name) > len(title) and name.startswith(title)):
-                title = name
-            continue
-        if text is not None:
-            yield title, text
-        title, text = name, more
-    if text is not None:
-        yield title, text
-
-
-def chunks(source_title: str, inherited: list[str], text: str) -> list[tuple[str, str, list[str]]]:
-    """(title, text, tags) of each chunk of one source."""
-    if not text.strip():
-        return []
-    out = []
-    for path, body in merged(sections(text)):
-        if path is not None and path not in body:
-            body = f"{path}\n\n{body}"
-        named = source_title if path is None or not path.strip() or path == source_title else source_title + _DASH + path
-        for piece in pieces(body):
-            low = piece.lower()
-            out.append((named, piece, sorted({*inherited, *(t for t in CLASS_TAGS if t in low)})))
-    return out
-
-
-SCHEMA = "doc_id string, source_id string, chunk_ix int, source_url string, title string, text string, class_tags array<string>"
+    kind = "array<struct<name:string,text:string>>"
+    begin = F.struct(F.array().cast(kind).alias("done"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("text"))
+    state = lambda done, name, text: F.struct(done.alias("done"), name.alias("name"), text.alias("text"))
+    close = lambda s: F.when(s["text"].isNull(), s["done"]).otherwise(F.array_append(s["done"], F.struct(s["name"].alias("name"), s["text"].alias("text"))))
+
+    def add(s: Column, p: Column) -> Column:
+        small = F.coalesce(F.octet_length(trim(s["text"])) < MERGE_BELOW, F.lit(False))
+        deeper = s["name"].isNull() | F.coalesce((F.length(p["name"]) > F.length(s["name"])) & F.startswith(p["name"], s["name"]), F.lit(False))
+        return F.when(small, state(s["done"], F.when(deeper, p["name"]).otherwise(s["name"]), F.concat(s["text"], p["text"]))).otherwise(state(close(s), p["name"], p["text"]))
+
+    return F.aggregate(parts, begin, add, close)
+
+
+def pieces_of(chunk: Column, title: Column) -> Column:
+    """(title, text) of a gathered chunk's pieces: led by its name unless it says it, cut where it is too large."""
+    name, text = chunk["name"], chunk["text"]
+    led = F.when(name.isNotNull() & ~F.contains(text, name), F.concat(name, F.lit("\n\n"), text)).otherwise(text)
+    plain = name.isNull() | (trim(name) == "") | (name == title)
+    named = F.when(plain, title).otherwise(F.concat(title, F.lit(_DASH), name))
+    return F.transform(split_oversized(led), lambda x: F.struct(named.alias("title"), x.alias("text")))
 
 
 def chunk_sources(sources: DataFrame) -> DataFrame:
-    """Chunks of rows (source_id, url, title, text, class_tags); each source is cut by itself where it lies."""
-    ship(sources.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for s in b.itertuples(index=False):
-                for i, (title, text, tags) in enumerate(chunks(s.title or "", list(s.class_tags if s.class_tags is not None else []), s.text or "")):
-                    rows.append((f"{s.source_id}#{i}", s.source_id, i, s.url, title, text, tags))
-            yield pd.DataFrame(rows, columns=["doc_id", "source_id", "chunk_ix", "source_url", "title", "text", "class_tags"])
-
-    return sources.select("source_id", "url", "title", "text", "class_tags").mapInPandas(run, SCHEMA)
+    """Chunks of rows (source_id, url, title, text, class_tags)."""
+    rows = sources.select(F.col("source_id").cast("string").alias("source_id"), "url", F.coalesce("title", F.lit("")).alias("title"), "text", F.coalesce("class_tags", F.array().cast("array<string>")).alias("tags"))
+    rows = rows.where(F.rlike("text", F.lit(r"(?U)\S")))
+    chunks = bound(lines(F.col("text")), lambda ls: bound(boundaries(ls), lambda marks: gathered(sections(ls, marks, paths(marks)))))
+    every = F.flatten(F.transform(chunks, lambda c: pieces_of(c, F.col("title"))))
+    out = rows.select("source_id", "url", "tags", F.posexplode(every).alias("chunk_ix", "c"))
+    return out.select(
+        F.concat("source_id", F.lit("#"), F.col("chunk_ix").cast("string")).alias("doc_id"), "source_id", "chunk_ix", F.col("url").alias("source_url"),
+        "c.title", "c.text", class_tags(F.col("c.text"), F.col("tags")).alias("class_tags"),
+    )

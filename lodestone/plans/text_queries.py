@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.constants import BLOCK_TAGS
+from lodestone.constants import BLOCK_TAGS, CLASS_TAGS
 from lodestone.functions import html as H
 from lodestone.functions import score as S
 from lodestone.functions import text as X
@@ -112,11 +112,39 @@ def finding_id_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "line", X.is_finding_id(F.col("line")).alias("is_id"))
 
 
-@query()
+_STRIP = "' ' || chr(9) || chr(10) || chr(13)"
+_CHUNKS = f"""WITH RECURSIVE pt AS (SELECT page_id, url, {_html_sql()} AS t FROM pages), pl AS (SELECT page_id, {_lines_sql('t')} AS ls FROM pt WHERE trim(t, {_STRIP}) <> ''),
+li AS (SELECT page_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM pl),
+bo AS (SELECT *, CASE WHEN regexp_matches(l, '^#{{1,4}} ') THEN length(regexp_extract(l, '^#+')) WHEN regexp_matches(l, '^\\[?[A-Z]{{2,5}}-[A-Z0-9-]*[0-9][A-Z0-9-]*') AND NOT regexp_matches(l[length(regexp_extract(l, '^\\[?[A-Z]{{2,5}}-[A-Z0-9-]*')) + 1:], '^[\\p{{L}}\\p{{N}}]') THEN 1 ELSE 0 END AS d FROM li),
+he AS (SELECT *, CASE WHEN d > 0 THEN trim(ltrim(l, '#'), {_STRIP}) END AS h, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS sec FROM bo),
+up AS (SELECT *, {", ".join(f"last_value(CASE WHEN d = {j} THEN h END IGNORE NULLS) OVER w AS h{j}, max(CASE WHEN d = {j} THEN i END) OVER w AS p{j}, coalesce(max(CASE WHEN d > 0 AND d < {j} THEN i END) OVER w, 0) AS q{j}" for j in (1, 2, 3))}
+  FROM he WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+na AS (SELECT page_id, sec, array_to_string(list_filter([{", ".join(f"CASE WHEN d > {j} AND p{j} > q{j} THEN h{j} END" for j in (1, 2, 3))}, h], lambda x: x IS NOT NULL AND x <> ''), ' — ') AS name FROM up WHERE d > 0),
+se AS (SELECT page_id, sec, string_agg(l || chr(10), '' ORDER BY i) AS body, max(i) = any_value(n) AS last_ FROM he GROUP BY page_id, sec),
+sn AS (SELECT se.page_id, name, body, row_number() OVER (PARTITION BY se.page_id ORDER BY se.sec) AS k FROM se LEFT JOIN na USING (page_id, sec) WHERE NOT last_ OR trim(body, {_STRIP}) <> ''),
+mg AS (SELECT page_id, k, 1 AS chunk, name, body FROM sn WHERE k = 1 UNION ALL
+  SELECT s.page_id, s.k, CASE WHEN strlen(trim(m.body, {_STRIP})) < 200 THEN m.chunk ELSE m.chunk + 1 END,
+  CASE WHEN strlen(trim(m.body, {_STRIP})) >= 200 THEN s.name WHEN m.name IS NULL OR (s.name IS NOT NULL AND length(s.name) > length(m.name) AND starts_with(s.name, m.name)) THEN s.name ELSE m.name END,
+  CASE WHEN strlen(trim(m.body, {_STRIP})) < 200 THEN m.body || s.body ELSE s.body END FROM mg m JOIN sn s ON s.page_id = m.page_id AND s.k = m.k + 1),
+ch AS (SELECT page_id, chunk, arg_max(coalesce(name, chr(0)), k) AS name0, arg_max(body, k) AS body0 FROM mg GROUP BY page_id, chunk),
+cn AS (SELECT page_id, chunk, nullif(name0, chr(0)) AS name, body0 FROM ch),
+ct AS (SELECT page_id, chunk, CASE WHEN name IS NULL OR trim(name, {_STRIP}) = '' OR name = 'page ' || page_id THEN 'page ' || page_id ELSE 'page ' || page_id || ' — ' || name END AS title, CASE WHEN name IS NOT NULL AND NOT contains(body0, name) THEN name || chr(10) || chr(10) || body0 ELSE body0 END AS body FROM cn),
+cl AS (SELECT page_id, chunk, {_lines_sql('body')} AS ls FROM ct WHERE strlen(body) > 1500),
+st AS (SELECT page_id, chunk, ls, 1 AS i, 0 AS piece, 0::BIGINT AS held FROM cl UNION ALL SELECT page_id, chunk, ls, i + 1, CASE WHEN held > 0 AND held + strlen(ls[i]) + 1 > 1500 THEN piece + 1 ELSE piece END,
+  CASE WHEN held > 0 AND held + strlen(ls[i]) + 1 > 1500 THEN strlen(ls[i]) + 1 ELSE held + strlen(ls[i]) + 1 END FROM st WHERE i <= len(ls)),
+gr AS (SELECT page_id, chunk, piece, string_agg(ls[i - 1] || chr(10), '' ORDER BY i) AS x, max(i) > any_value(len(ls)) AS last_ FROM st WHERE i > 1 GROUP BY page_id, chunk, piece),
+pc AS (SELECT page_id, chunk, piece, x FROM gr WHERE NOT last_ OR trim(x, {_STRIP}) <> '' UNION ALL SELECT page_id, chunk, 0, body FROM ct WHERE strlen(body) <= 1500),
+nu AS (SELECT pc.*, title, url, row_number() OVER (PARTITION BY page_id ORDER BY chunk, piece) - 1 AS ix FROM pc JOIN ct USING (page_id, chunk) JOIN pt USING (page_id))
+SELECT page_id || '#' || ix AS doc_id, page_id::VARCHAR AS source_id, ix::BIGINT AS chunk_ix, url AS source_url, title, md5(x) AS text_md5,
+array_to_string(list_sort(list_distinct(list_concat(['web'], list_filter([{", ".join(repr(t) for t in CLASS_TAGS)}], lambda t: contains(lower(x), t))))), ',') AS class_tags FROM nu"""
+
+
+@query(_CHUNKS)
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_id"), "url", F.concat(F.lit("page "), "page_id").alias("title"), H.html_to_text_udf("html").alias("text"), F.array(F.lit("web")).alias("class_tags"))
-    return chunk_sources(pages)
+    out = chunk_sources(pages)
+    return out.select("doc_id", "source_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), "source_url", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.array_join("class_tags", ",").alias("class_tags"))
 
 
 @query("""WITH RECURSIVE src AS (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS ls FROM documents WHERE strlen(text) > 1500),

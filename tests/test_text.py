@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions.html import html_to_text, html_to_text_native
-from lodestone.operators.chunking import chunk_sources, chunks, merged, pieces, sections
+from lodestone.operators.chunking import chunk_sources
 from lodestone.sources import corpus
+from tests.walk import chunks, merged, pieces, sections
 
 
 def value(spark, column):
@@ -87,6 +88,34 @@ def test_chunk_sources(spark):
     assert [r.doc_id for r in got] == ["s1#0", "s1#1"] and got[0].title == "T — A"
 
 
+def test_chunks_agree_with_a_walk(spark):
+    """Random pages of headings, finding ids, blank and long lines: the expressions give what a walk over the lines gives."""
+    import random
+
+    rng = random.Random(11)
+    kinds = ["# {}", "## {}", "### {}", "#### {}", "##### {}", "#{}", "OS-{}-1 text", "[AB-{}]", "AB-C{}", "", "  ", "{} " * 12, "é{} " * 60, "{}" * 900, "missing-signer {}", "# ", "## One — {}"]
+    rows = []
+    for k in range(160):
+        lines_ = [rng.choice(kinds).replace("{}", rng.choice(["X", "Y9", "One", "two"])) for _ in range(rng.choice([0, 1, 2, 5, 12, 40]))]
+        rows.append((f"s{k}", "u", rng.choice(["T", None, "One"]), rng.choice(["\n", "\r\n", "\n"]).join(lines_) + rng.choice(["", "\n", "\n\n  "]), rng.choice([None, [], ["z", "base"]])))
+    got = {}
+    for r in chunk_sources(spark.createDataFrame(rows, "source_id string, url string, title string, text string, class_tags array<string>").repartition(4)).collect():
+        got.setdefault(r.source_id, []).append((r.chunk_ix, r.title, r.text, list(r.class_tags)))
+        assert r.doc_id == f"{r.source_id}#{r.chunk_ix}"
+    for name, _, title, text, tags in rows:
+        want = [(i, *c) for i, c in enumerate(chunks(title or "", tags or [], text))]
+        assert sorted(got.get(name, [])) == want, text
+
+
+def test_a_page_of_many_lines_takes_time_in_proportion(spark):
+    import time
+
+    page = "\n".join(f"## H{i}\n" + "some words of a line\n" * 30 for i in range(1_500))
+    began = time.time()
+    n = chunk_sources(spark.createDataFrame([("s", "u", "T", page, [])], "source_id string, url string, title string, text string, class_tags array<string>")).count()
+    assert n == 1_500 and time.time() - began < 60
+
+
 @pytest.mark.parametrize("path,unsafe", [("/etc/x", True), ("a/../b", True), ("..", True), ("a/b..c", False), ("a/b", False)])
 def test_paths(spark, path, unsafe):
     assert value(spark, X.is_unsafe_path(F.lit(path))) is unsafe
