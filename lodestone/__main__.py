@@ -46,7 +46,8 @@ def tracks(spark: SparkSession, files: DataFrame, path: str, client: Callable[[]
     from lodestone.lang.analyze import analyze
     from lodestone.lang.units import units
     from lodestone.operators import index
-    from lodestone.operators.findings import merge, ranked
+    from lodestone.operators.findings import ranked
+    from lodestone.operators.merging import fold
     from lodestone.operators.model_track import review
     from lodestone.session import stored
 
@@ -62,7 +63,7 @@ def tracks(spark: SparkSession, files: DataFrame, path: str, client: Callable[[]
             handlers = r.program.handlers.select("name", "file", "line")
             seen = review(units(r.program, files), handlers, path, client, top_k, vectors, embed)
             said = stored(seen.findings.select(*names), "said")
-            whole = merge(own.select(*names).unionByName(said))
+            whole = fold(own.select(*names).unionByName(said))
             out |= {"llm": said, "merged": ranked(whole, ("subject", "file")), "units": seen.units, "examined": seen.examined}
             notes = notes.unionByName(seen.diagnostics.select("file", "kind", "message"))
         except AnalysisException as e:  # no index to retrieve from

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.score import noisy_or, rank_score, severity_order, track_order
+from lodestone.functions.score import noisy_or, rank_score, severity_order
 
 #: severity by its order, for folds over numbers
 _BY_ORDER = ("info", "low", "medium", "high", "critical")
@@ -61,45 +61,6 @@ def merge_scores(findings: DataFrame) -> DataFrame:
     )
 
 
-def merge(findings: DataFrame) -> DataFrame:
-    """Merged findings with evidence, citations and absorbed handlers, by a fold in order of track and seq.
-
-    A group's rows are held together, as their evidence is in the result.
-    """
-    row = F.struct(
-        track_order(F.col("track")).alias("track"), "seq", severity_order(F.col("severity")).alias("severity"), F.col("confidence").cast("double").alias("confidence"), "file", "line", "evidence", "subject",
-        F.coalesce("citations", F.array().cast(findings.schema["citations"].dataType)).alias("citations"), F.coalesce("absorbed_handlers", F.array().cast("array<string>")).alias("absorbed_handlers"), "id",
-    )
-    weights = F.array(F.lit(0.1), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(1.0))
-    weigh = lambda f: F.get(weights, f["severity"]) * f["confidence"]
-    joined = lambda a, b: F.concat(a["evidence"], F.lit("\n\n---\n\n"), b["evidence"])
-    names = ("track", "seq", "severity", "confidence", "file", "line", "evidence", "subject", "citations", "absorbed_handlers", "id")
-
-    def built(**c: Column) -> Column:
-        return F.struct(*[c[n].alias(n) for n in names])
-
-    def stronger(a: Column, b: Column) -> Column:
-        union = handler_union(a["absorbed_handlers"], b["absorbed_handlers"])
-        return built(**{n: a[n] for n in names} | {"evidence": joined(a, b), "absorbed_handlers": union, "id": F.lit("")})
-
-    def step(a: Column, f: Column) -> Column:
-        wins = (weigh(f) > weigh(a)) | ((weigh(f) == weigh(a)) & (f["evidence"] <= a["evidence"]))
-        same = F.when(wins, stronger(f, a)).otherwise(stronger(a, f))
-        confidence = F.when((a["track"] == 2) | (f["track"] == 2), F.greatest(a["confidence"], f["confidence"])).otherwise(noisy_or(a["confidence"], f["confidence"]))
-        other = built(
-            track=F.lit(2), seq=a["seq"], severity=F.greatest(a["severity"], f["severity"]), confidence=confidence, file=a["file"], line=a["line"], evidence=joined(a, f), subject=F.coalesce(a["subject"], f["subject"]),
-            citations=F.concat(a["citations"], f["citations"]), absorbed_handlers=handler_union(a["absorbed_handlers"], f["absorbed_handlers"]), id=F.lit(""),
-        )
-        return F.when(a["track"] == f["track"], same).otherwise(other)
-
-    rows = findings.groupBy("handler", "class").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    folded = rows.select("handler", "class", F.reduce(F.slice("rows", 2, F.size("rows")), F.get("rows", F.lit(0)), step).alias("m"))
-    return folded.select(
-        "m.id", "class", F.get(F.array(*[F.lit(s) for s in _BY_ORDER]), F.col("m.severity")).alias("severity"), "m.confidence", F.get(F.array(F.lit("static"), F.lit("llm"), F.lit("corroborated")), F.col("m.track")).alias("track"),
-        "m.file", "m.line", "handler", "m.evidence", "m.citations", "m.subject", "m.absorbed_handlers",
-    )
-
-
 def ranked(findings: DataFrame, tail: tuple[str, ...] = ()) -> DataFrame:
     """Findings in order: score, severity, handler, class, and then what tells rows apart."""
     order = [F.desc("rank_score"), F.desc("severity_order"), F.asc("handler"), F.asc("class"), *[F.asc_nulls_first(c) for c in tail]]

@@ -16,6 +16,7 @@ from lodestone.operators.holdout import unreachable
 from lodestone.functions import score as S
 from lodestone.operators import evaluate as E
 from lodestone.operators import findings as O
+from lodestone.operators import merging
 from lodestone.plans.registry import query
 from lodestone.session import table
 
@@ -67,6 +68,40 @@ def merge_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.merge_scores(findings(spark, sf_dir)).select("handler", "class", "severity", "track", F.round("confidence", 9).alias("confidence"), "n")
 
 
+_SAID = "'said ' || event_id % 7 || CASE WHEN event_id % 11 = 0 THEN chr(10) || 'more' ELSE '' END"
+_STRONGER = "(f.weight > m.weight OR (f.weight = m.weight AND f.evidence <= m.evidence))"
+_UNION = "list_sort(list_distinct(list_concat(m.absorbed, f.absorbed)))"
+_SEP = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+
+
+def _kept(column: str) -> str:
+    """A column of the fold where two of one track meet: the stronger one's."""
+    return f"CASE WHEN m.track = f.track AND {_STRONGER} THEN f.{column} ELSE m.{column} END"
+
+
+@query(f"""WITH RECURSIVE {_F}, b AS (SELECT *, {_SORD} AS sev, {_WEIGHT}::DOUBLE * ((seq % 5 + 1) / 10.0)::DOUBLE AS weight, ((seq % 5 + 1) / 10.0)::DOUBLE AS conf, {_SAID.replace('event_id', 'seq')} AS evidence,
+CASE WHEN track = 'llm' THEN ['c' || seq % 3] ELSE []::VARCHAR[] END AS citations, CASE WHEN seq % 4 = 0 THEN ['q' || seq % 5] ELSE []::VARCHAR[] END AS absorbed, row_number() OVER (PARTITION BY handler, class ORDER BY track <> 'static', seq) AS k FROM f),
+fo AS (SELECT handler, class, k, track, sev, weight, conf, line, evidence, subject, citations, absorbed FROM b WHERE k = 1 UNION ALL
+SELECT f.handler, f.class, f.k, CASE WHEN m.track = f.track THEN m.track ELSE 'corroborated' END,
+CASE WHEN m.track = f.track THEN {_kept('sev')} ELSE greatest(m.sev, f.sev) END, {_kept('weight')},
+CASE WHEN m.track = f.track THEN {_kept('conf')} WHEN m.track = 'corroborated' THEN greatest(m.conf, f.conf) ELSE least(1 - (1 - m.conf) * (1 - f.conf), 0.98) END, {_kept('line')},
+CASE WHEN m.track = f.track AND {_STRONGER} THEN f.evidence || {_SEP} || m.evidence ELSE m.evidence || {_SEP} || f.evidence END,
+CASE WHEN m.track = f.track THEN {_kept('subject')} ELSE coalesce(m.subject, f.subject) END, CASE WHEN m.track = f.track THEN {_kept('citations')} ELSE list_concat(m.citations, f.citations) END, {_UNION}
+FROM fo m JOIN b f ON f.handler = m.handler AND f.class = m.class AND f.k = m.k + 1)
+SELECT handler, class, track, ['info', 'low', 'medium', 'high', 'critical'][sev + 1] AS severity, round(conf, 9) AS confidence, line, md5(evidence) AS evidence_md5, subject, array_to_string(citations, ',') AS citations, array_to_string(absorbed, ',') AS absorbed
+FROM fo SEMI JOIN (SELECT handler, class, max(k) AS k FROM b GROUP BY ALL) USING (handler, class, k)""")
+def merge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole merged findings, with evidence in order, citations and handlers."""
+    i, empty = F.col("seq"), F.array().cast("array<string>")
+    said = F.concat(F.lit("said "), (i % 7).cast("string"), F.when(i % 11 == 0, "\nmore").otherwise(""))
+    f = findings(spark, sf_dir).withColumns({
+        "confidence": ((i % 5 + 1) / 10.0).cast("double"), "evidence": said, "id": i.cast("string"),
+        "citations": F.when(F.col("track") == "llm", F.array(F.concat(F.lit("c"), (i % 3).cast("string")))).otherwise(empty), "absorbed_handlers": F.when(i % 4 == 0, F.array(F.concat(F.lit("q"), (i % 5).cast("string")))).otherwise(empty),
+    })
+    m = merging.merge(f)
+    return m.select("handler", "class", "track", "severity", F.round("confidence", 9).alias("confidence"), "line", F.md5(F.col("evidence").cast("binary")).alias("evidence_md5"), "subject", F.array_join("citations", ",").alias("citations"), F.array_join("absorbed_handlers", ",").alias("absorbed"))
+
+
 @query("SELECT event_id, round(least(1 - (1 - a) * (1 - b), 0.98), 9)::DOUBLE AS confidence FROM (SELECT event_id, (event_id % 100 / 100.0)::DOUBLE AS a, (event_id % 97 / 100.0)::DOUBLE AS b FROM events)")
 def noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")

@@ -15,7 +15,7 @@ from lodestone.lang.evaluation import run
 from lodestone.lang.ir import program
 from lodestone.lang.mutations import mutants
 from lodestone.lang.rules import CATALOGUE
-from lodestone.operators.findings import merge
+from lodestone.operators.merging import fold
 from lodestone.plans.registry import query
 from lodestone.plans.sample_programs import FILES, LOCKER, SIEVE
 from lodestone.session import table
@@ -148,7 +148,7 @@ def source_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_MERGED_SQL)
 def source_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = analyze(files(spark)).findings.where("program = 'sieve'").withColumn("citations", F.array().cast("array<string>"))
-    return merge(found).select("class", "severity", "confidence", "track", "handler", "line", "subject")
+    return fold(found).select("class", "severity", "confidence", "track", "handler", "line", "subject")
 
 
 @query(_MUTANTS_SQL)

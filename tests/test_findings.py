@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import evaluate as E
 from lodestone.operators import findings as O
 from lodestone.operators import history as H
+from lodestone.operators import merging as G
 from lodestone.operators import model_track as M
 from lodestone.operators import report as R
 
@@ -23,7 +24,7 @@ def made(spark, *rows):
 
 def merged(spark, *rows):
     both = made(spark, *rows)
-    full = {(r.handler, r["class"]): r for r in O.merge(both).collect()}
+    full = {(r.handler, r["class"]): r for r in G.merge(both).collect()}
     for r in O.merge_scores(both).collect():
         m = full[r.handler, r["class"]]
         assert (r.track, r.severity) == (m.track, m.severity) and r.confidence == pytest.approx(m.confidence)
@@ -48,6 +49,29 @@ def test_one_track_keeps_the_stronger(spark):
     assert tie.evidence == "a\n\n---\n\nb"
 
 
+def test_split_merge_is_the_fold(spark):
+    """Random rows with equal weights, evidence that begins others, merged rows, equal seqs and a hot group: the same as the fold."""
+    import random
+
+    rng = random.Random(9)
+    texts = ["a", "b", "ab", "a\nb", "a\x01", "a b", "", "c\n\n---\n\nd", "c", "c\n\nx"]
+    rows = []
+    for k in range(700):
+        hot = rng.random() < 0.35
+        rows.append({
+            "handler": "hot" if hot else rng.choice(["h1", "h2", "h3", None]), "class": "c" if hot else rng.choice("cdefghij"), "severity": rng.choice(["low", "high", "info"]), "confidence": rng.choice([0.2, 0.4, 0.6]),
+            "track": rng.choice(["static", "llm", "llm"] + (["corroborated"] if k % 40 == 0 else [])), "line": k, "subject": rng.choice([None, "s", "t"]), "evidence": rng.choice(texts) if k % 3 else f"e{rng.randint(0, 5)}",
+            "absorbed_handlers": rng.choice([[], ["z", "y"], ["x"]]), "citations": rng.choice([[], [("d", "u", f"t{k}")]]), "id": f"i{k}", "seq": k if rng.random() < 0.97 else k - 1,
+        })
+    both = made(spark, *rows).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(str, G.merge(both).select(*G.COLUMNS).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == sorted(map(str, G.fold(both).select(*G.COLUMNS).collect()))
+
+
 def test_rows_with_different_keys_stay(spark):
     assert len(merged(spark, dict(handler="a"), dict(handler="b"), {"class": "d"})) == 3
 
