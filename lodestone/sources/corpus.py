@@ -4,19 +4,16 @@ from __future__ import annotations
 
 import io
 import os
-import tarfile
 import tomllib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import is_included, is_unsafe_path
 from lodestone.clients.transport import Transport, get_bytes, outcome, urlopen
 from lodestone.functions.html import html_to_text
-from lodestone.session import ship, stored
+from lodestone.sources.archives import archive_files, members  # noqa: F401
 from lodestone.sources.manifest import write_atomically
 
 MANIFEST = "id string, url string, title string, license string, retrieved string, sha256 string, class_tags array<string>, kind string, include_paths array<string>"
@@ -49,33 +46,6 @@ def markdown_tree(spark: SparkSession, root: str) -> DataFrame:
     return files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "text"))), lambda f: F.concat(F.lit("# "), f["path"], F.lit("\n\n"), f["text"])), "\n\n").alias("text"))
 
 
-def archive_files(spark: SparkSession, path: str, keep: tuple[str, ...] = ("rs", "md"), includes: tuple[str, ...] = ()) -> DataFrame:
-    """(archive, path, text) of the wanted files in tar.gz archives: known endings, safe paths, valid UTF-8."""
-    ship(spark)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for name, content in zip(b["path"], b["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
-                    for member in tar:
-                        if member.isfile() and member.name.rpartition(".")[2] in keep:
-                            try:
-                                rows.append((name, member.name, tar.extractfile(member).read().decode("utf-8")))
-                            except UnicodeDecodeError:
-                                continue
-            yield pd.DataFrame(rows, columns=["archive", "path", "text"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, path string, text string")
-    # the files of an archive are written once: the check below and the caller both read them
-    files = stored(files, "archive")
-    wanted = F.array(*[F.lit(p) for p in includes]) if includes else F.array().cast("array<string>")
-    kept = files.where(~is_unsafe_path(F.col("path")) & is_included(F.col("path"), wanted))
-    if includes and kept.isEmpty():
-        raise ValueError(f"{path}: no file matches {', '.join(includes)}; the archive's layout or the paths are not what they were")
-    return kept.orderBy("archive", "path")
-
-
 # The wording of a change in size, which is part of the result.
 def size_change(old: Column, new: Column) -> Column:
     """What happened to a source's size, in words."""
@@ -101,17 +71,7 @@ def fetched_text(kind: str, url: str, includes: list[str], get: Callable[[str],
     if kind == "page":
         return html_to_text(get(url).decode("utf-8", "replace")) or ""
     if kind == "archive":
-        parts = []
-        with tarfile.open(fileobj=io.BytesIO(get(url)), mode="r:gz") as tar:
-            for member in tar:
-                below = member.name.partition("/")[2]
-                unsafe = member.name.startswith("/") or ".." in member.name.split("/")
-                if not member.isfile() or unsafe or member.name.rpartition(".")[2] not in ("rs", "md") or (includes and not any(below.startswith(p) for p in includes)):
-                    continue
-                try:
-                    parts.append((member.name, tar.extractfile(member).read().decode("utf-8")))
-                except UnicodeDecodeError:
-                    continue
+        parts = list(members(io.BytesIO(get(url)), includes=tuple(includes), name=url))
         if includes and not parts:
             raise ValueError(f"{url}: no file matches {', '.join(includes)}")
         return "\n\n".join(f"# {name}\n\n{text}" for name, text in sorted(parts))
