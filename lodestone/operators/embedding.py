@@ -11,34 +11,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.clients.transport import Unavailable
+from lodestone.clients.pool import WORKERS, Stop, in_order
+from lodestone.clients.transport import HttpProblem, Unavailable
 from lodestone.constants import EMBED_BATCH
-from lodestone.session import ship, stored
+from lodestone.session import scratch, ship, stored
+from lodestone.sources.archives import readable
 
 
 class BadVectors(ValueError):
     """An embedder that gives another number of vectors than texts, or vectors of several widths or none."""
 
 
-def embed_documents(docs: DataFrame, embedder: Callable[[], object], batch: int = EMBED_BATCH) -> DataFrame:
+def embed_documents(docs: DataFrame, embedder: Callable[[], object], batch: int = EMBED_BATCH, workers: int = WORKERS) -> DataFrame:
     """(doc_id, embedding) of documents (doc_id, text); ``embedder`` makes an object with ``embed(texts)`` in each task.
 
-    Calls hold at most ``batch`` texts. The vectors are written once, so that the
-    check of their widths over all tasks does not ask the embedder again.
+    Calls hold at most ``batch`` texts, and a task has ``workers`` of them under
+    way. The vectors are written once, so that the check of their widths over all
+    tasks does not ask the embedder again. Once the service is gone, no task asks on.
     """
     ship(docs.sparkSession)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
+    flag = scratch(docs.sparkSession, "embedder-gone")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = embedder()
-        for b in batches:
-            for at in range(0, b.num_rows, batch):
-                part = b.slice(at, batch)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                vectors = client.embed(texts)
-                if len(vectors) != len(texts):
-                    raise BadVectors(f"{len(vectors)} vectors for {len(texts)} documents")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["doc_id", "embedding"])
+        stop = Stop(flag if readable(flag) else None)
+        parts = (b.slice(at, batch) for b in batches for at in range(0, b.num_rows, batch))
+        for part, vectors, problem in in_order(parts, embedder, lambda e, p: e.embed([t or "" for t in p.column(1).to_pylist()]), stop, workers):
+            if problem is not None:
+                raise Unavailable(problem) if isinstance(problem, str) else problem
+            if len(vectors) != part.num_rows:
+                raise BadVectors(f"{len(vectors)} vectors for {part.num_rows} documents")
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["doc_id", "embedding"])
 
     try:
         out = stored(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "vectors")
@@ -48,6 +52,8 @@ def embed_documents(docs: DataFrame, embedder: Callable[[], object], batch: int
             raise BadVectors(said.partition("BadVectors: ")[2].split("\n")[0]) from e
         if "transport.Unavailable" in said:
             raise Unavailable(said.partition("transport.Unavailable: ")[2].split("\n")[0]) from e
+        if "clients.transport." in said:
+            raise HttpProblem(said.rpartition("clients.transport.")[2].split("\n")[0]) from e
         raise
     widths = out.agg(F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
     if widths.least is not None and (widths.least != widths.most or widths.least <= 0):

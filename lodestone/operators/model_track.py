@@ -16,14 +16,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.clients.models import HttpProblem, Refused, Unavailable
+from lodestone.clients.models import HttpProblem, Refused, Unavailable  # noqa: F401
+from lodestone.clients.pool import WORKERS, Stop, in_order
 from lodestone.constants import BACKFILL, OVERFETCH, SEVERITIES
 from lodestone.functions.score import clamp_confidence, parse_severity
 from lodestone.functions.text import stable_id
 from lodestone.operators import index
+from lodestone.operators.embedding import embed_documents
 from lodestone.operators.findings import resolve_citations
 from lodestone.operators.retrieval import grounded, knn, rrf, scores_pairs
-from lodestone.session import ship, stored
+from lodestone.session import scratch, ship, stored
+from lodestone.sources.archives import readable
 
 FINDINGS = "findings"
 _NEEDED = {"class": str, "severity": str, "confidence": (int, float), "handler": str, "evidence": str, "citations": list}
@@ -164,69 +167,83 @@ def prompts(units: DataFrame, hits: DataFrame) -> DataFrame:
     return units.join(shown, "seq").select("seq", user.alias("user"))
 
 
-def replies(units: DataFrame, client: Callable[[], object], system: str = SYSTEM) -> DataFrame:
-    """Ask the model about units (seq, user) on the executors: (seq, status, problem, findings).
+def replies(units: DataFrame, client: Callable[[], object], system: str = SYSTEM, workers: int = WORKERS) -> DataFrame:
+    """Ask the model about units (seq, user) on the executors: (seq, status, problem, findings), in the order of a task's units.
 
-    ``client`` makes a client in each task. Once it is unavailable, the rest of
-    the task's units are marked so and not tried.
+    ``client`` makes a client in each thread; a task has ``workers`` requests under
+    way. Once the model is unavailable to one task, all tasks mark the units that
+    are left and do not try them.
     """
-    ship(units.sparkSession)
+    spark = ship(units.sparkSession)
     schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("status", T.StringType()), T.StructField("problem", T.StringType()), T.StructField("findings", T.StringType())])
+    flag = scratch(spark, "model-gone")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c, gone = client(), None
+        stop = Stop(flag if readable(flag) else None)
         for b in batches:
             rows = []
-            for seq, user in zip(b["seq"], b["user"]):
-                if gone is None:
-                    try:
-                        found, problem = complete(c, system, user)
-                        rows.append((seq, "dropped" if problem else "examined", problem, json.dumps(found)))
-                        continue
-                    except Unavailable as e:
-                        gone = str(e)
-                    except (HttpProblem, Refused) as e:  # this unit is lost, the next may not be
-                        rows.append((seq, "dropped", str(e), "[]"))
-                        continue
-                rows.append((seq, "unavailable", gone, "[]"))
+            for (seq, _), got, problem in in_order(zip(b["seq"], b["user"]), client, lambda c, unit: complete(c, system, unit[1]), stop, workers):
+                if problem is None:
+                    found, fault = got
+                    rows.append((seq, "dropped" if fault else "examined", fault, json.dumps(found)))
+                elif isinstance(problem, str):
+                    rows.append((seq, "unavailable", problem, "[]"))
+                elif isinstance(problem, (HttpProblem, Refused)):  # this unit is lost, the next may not be
+                    rows.append((seq, "dropped", str(problem), "[]"))
+                else:
+                    raise problem
             yield pd.DataFrame(rows, columns=["seq", "status", "problem", "findings"])
 
     return units.select(F.col("seq").cast("long").alias("seq"), "user").mapInPandas(run, schema).withColumn("findings", F.from_json("findings", REPLY))
 
 
-def validated(answers: DataFrame, offers: DataFrame, handlers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validated(answers: DataFrame, offers: DataFrame, handlers: DataFrame, programs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, diagnostics): findings must cite an offered document and name a known handler.
 
     ``handlers`` has name, file and line; an unknown or zero line becomes the handler's.
+    With ``programs`` (seq, program), handlers are those of the unit's own program.
     """
     flat = answers.select(F.col("seq").alias("unit"), F.posexplode("findings").alias("ix", "f")).select("unit", "ix", "f.*")
     keyed = flat.withColumn("seq", F.xxhash64("unit", "ix"))
     own = offers.withColumnRenamed("seq", "unit").join(keyed.select("unit", "seq"), "unit")
     cited = resolve_citations(keyed.withColumn("cited", F.col("citations")).drop("citations"), own)
-    known = handlers.select(F.col("name").alias("handler"), "file", F.col("line").alias("handler_line"))
-    j = cited.join(known, "handler", "left")
+    known = handlers.select(*([] if programs is None else ["program"]), F.col("name").alias("handler"), "file", F.col("line").alias("handler_line"))
+    if programs is None:
+        j = cited.join(known, "handler", "left")
+    else:
+        j = cited.join(programs.select(F.col("seq").alias("unit"), "program"), "unit").join(known, ["program", "handler"], "left")
     lost = j.where("file is null").select(F.lit("unknown handler").alias("kind"), F.concat(F.lit("no handler `"), "handler", F.lit("`")).alias("message"))
     line = F.coalesce(F.nullif(F.col("line"), F.lit(0)), F.col("handler_line"))
     n = F.size("citations")
     kept = j.where("file is not null").select(
         "seq", stable_id(F.col("handler"), F.col("class"), line.cast("string")).alias("id"), "class", parse_severity(F.col("severity")).alias("severity"), clamp_confidence(F.col("confidence"), n).alias("confidence"), F.lit("llm").alias("track"),
-        "file", line.alias("line"), "handler", "evidence", "citations", F.lit(None).cast("string").alias("subject"), F.array().cast("array<string>").alias("absorbed_handlers"),
+        "file", line.alias("line"), "handler", "evidence", "citations", F.lit(None).cast("string").alias("subject"), F.array().cast("array<string>").alias("absorbed_handlers"), *([] if programs is None else ["program"]),
     )
     return kept, lost
 
 
-def retrieved(spark: SparkSession, path: str, queries: dict[str, str], top_k: int, vectors: DataFrame | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+@dataclass
+class _Asker:
+    """What embeds, as an object that a task makes."""
+
+    embed: Callable[[list[str]], list[list[float]]]
+
+
+def retrieved(spark: SparkSession, path: str, queries: dict[str, str] | DataFrame, top_k: int, vectors: DataFrame | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """Fused hits of many queries at once: (query_id, rank, doc_id, rrf, dense, bm25), from the index below ``path``.
 
+    Queries are stated, or rows (query_id, text), which are embedded in tasks.
     Without vectors, or where embedding fails, the dense leg is null.
     """
+    if isinstance(queries, dict):
+        queries = spark.createDataFrame(list(queries.items()), "query_id string, text string")
     n = OVERFETCH * max(0, top_k)
     sparse = stored(index.search(spark, path, queries, n).withColumn("doc_id", F.col("doc_id").cast("string")), "sparse-legs")
     lists = sparse.select("query_id", "rank", "doc_id")
     asked = None
-    if vectors is not None and embed is not None and queries:
+    if vectors is not None and embed is not None:
         try:
-            asked = spark.createDataFrame(list(zip(queries, embed(list(queries.values())))), "query_id string, embedding array<float>")
+            asked = embed_documents(queries.select(F.col("query_id").alias("doc_id"), "text"), lambda: _Asker(embed)).withColumnRenamed("doc_id", "query_id")
         except HttpProblem:
             asked = None
     if asked is not None:
@@ -260,12 +277,13 @@ def review(units: DataFrame, handlers: DataFrame, path: str, client: Callable[[]
     """Retrieve for all units of a program, leave out ungrounded ones, ask, read replies, and check what they cite and name.
 
     ``units`` has handler, file, line, source and query; ``handlers`` name, file
-    and line. An unreachable model stops the track with one diagnostic. Queries
-    are a row a handler and are known to the driver, as a search's terms are.
+    and line. Where both have ``program``, many programs are reviewed at once. An
+    unreachable model stops the track with one diagnostic. Queries stay rows.
     """
     spark = units.sparkSession
-    numbered = stored(units.withColumn("seq", F.xxhash64("file", "handler", "line")), "units")
-    asked = {str(r.seq): r.query for r in numbered.select("seq", "query").orderBy("seq").collect()}
+    keyed = "program" in units.columns and "program" in handlers.columns
+    numbered = stored(units.withColumn("seq", F.xxhash64(*(["program"] if keyed else []), "file", "handler", "line")), "units")
+    asked = numbered.select(F.col("seq").cast("string").alias("query_id"), F.col("query").alias("text"))
     hits = stored(retrieved(spark, path, asked, top_k, vectors, embed).withColumn("seq", F.col("query_id").cast("long")), "hits")
     kept = grounded(hits).where("grounded").select(F.col("query_id").cast("long").alias("seq"))
     docs = index.described(spark, path, hits.select("doc_id")).withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -273,7 +291,7 @@ def review(units: DataFrame, handlers: DataFrame, path: str, client: Callable[[]
     offered = hits.join(docs.select("doc_id", "title", "text", source_url.alias("source_url")), "doc_id")
     answers = stored(replies(prompts(numbered.join(kept, "seq", "left_semi"), offered), client), "answers")
     offers = offered.select("seq", F.col("rank").alias("offer"), "doc_id", "source_url", "title")
-    findings, lost = validated(answers, offers, handlers)
+    findings, lost = validated(answers, offers, handlers, numbered.select("seq", "program") if keyed else None)
     states = {r.status: r["count"] for r in answers.groupBy("status").count().collect()}
     note = lambda kind, message: (F.lit(kind).alias("kind"), message.alias("message"))
     dropped = answers.where("status = 'dropped'").join(numbered.select("seq", "file", "handler"), "seq")
@@ -282,7 +300,7 @@ def review(units: DataFrame, handlers: DataFrame, path: str, client: Callable[[]
     if states.get("unavailable"):
         why = answers.where("status = 'unavailable'").agg(F.min("problem")).first()[0]
         notes = notes.unionByName(spark.createDataFrame([(None, "track skipped", f"the model track stopped after {states.get('examined', 0)} unit(s): {why}")], "file string, kind string, message string"))
-    return Review(findings, notes, len(asked), states.get("examined", 0))
+    return Review(findings, notes, numbered.count(), states.get("examined", 0))
 
 
 def unit_coverage(answers: DataFrame, units: int) -> DataFrame:

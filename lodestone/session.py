@@ -57,6 +57,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
+#: Schemes that Arrow opens, and its names for them.
+_SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+class UnknownStore(ValueError):
+    """A URI that Python code in tasks cannot open."""
+
+
+def arrow_store(uri: str):
+    """(file system, path) for Python code in tasks, of a URI as Spark writes it; dbfs is the folder that machines mount."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":") if ":" in uri.split("/")[0] else ("file", "", uri)
+    if scheme in ("file", "dbfs"):
+        return fs.LocalFileSystem(), ("/dbfs" if scheme == "dbfs" else "") + "/" + rest.lstrip("/")
+    if scheme not in _SCHEMES:
+        raise UnknownStore(uri)
+    return fs.FileSystem.from_uri(f"{_SCHEMES[scheme]}:{rest}")
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh folder name (a URI) below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/lodestone/{tag}-{uuid.uuid4().hex}"

@@ -21,16 +21,13 @@ from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.session import ship
+from lodestone.session import UnknownStore, arrow_store, ship
 
 KEEP = ("rs", "md")
 SCHEMA = "archive string, path string, text string"
 #: Bytes of archives that share a task, and of texts in a batch.
 TASK_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
 _SOURCE = "lodestone_archives"
-#: Schemes that Arrow opens as streams, and its names for them; archives elsewhere are read through Spark.
-_SCHEMES = {"": "file", "file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
-
 
 class BadArchive(ValueError):
     """A file that is not a whole tar archive."""
@@ -62,13 +59,17 @@ def members(stream: BinaryIO, keep: tuple[str, ...] = KEEP, includes: tuple[str,
 
 def opened(path: str) -> BinaryIO:
     """A stream of an archive's bytes."""
-    from pyarrow import fs
+    store, at = arrow_store(path)
+    return store.open_input_stream(at, compression=None)
+
 
-    scheme, _, rest = path.partition(":") if ":" in path.split("/")[0] else ("", "", path)
-    if _SCHEMES.get(scheme) == "file":
-        return open("/" + rest.lstrip("/"), "rb")
-    store, at = fs.FileSystem.from_uri(_SCHEMES[scheme] + ":" + rest)
-    return store.open_input_stream(at)
+def readable(path: str) -> bool:
+    """Whether tasks can open a path themselves."""
+    try:
+        arrow_store(path)
+        return True
+    except (UnknownStore, OSError, ValueError):
+        return False
 
 
 def batches(rows: Iterator[tuple[str, str, str]]) -> Iterator:
@@ -149,7 +150,7 @@ def archive_files(spark: SparkSession, path: str, keep: tuple[str, ...] = KEEP,
     ship(spark)
     listed = spark.read.format("binaryFile").load(path)
     found = [(r.path, r.length) for r in listed.select("path", "length").collect()]  # names only, as any listing is the driver's
-    if all((p.partition(":")[0] if ":" in p.split("/")[0] else "") in _SCHEMES for p, _ in found):
+    if not found or readable(found[0][0]):  # one path, one store
         spark.dataSource.register(_source())
         files = spark.read.format(_SOURCE).options(tasks=json.dumps(dealt(found)), keep=json.dumps(keep), includes=json.dumps(includes)).load() if found else spark.createDataFrame([], SCHEMA)
     else:
