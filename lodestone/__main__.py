@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.clients.models import LOCAL_HOST, LOCAL_MODEL
+from lodestone.clients.transport import Transport, urlopen
 from lodestone.operators.holdout import CASES, CHECKOUTS, RUNS
 
+#: What opens connections; tests put another one here.
+TRANSPORT: Transport = urlopen
+
 
 def _files(spark: SparkSession, roots: list[str]) -> DataFrame:
     from lodestone.sources.corpus import source_tree
@@ -31,10 +35,10 @@ def _clients(a: argparse.Namespace) -> tuple[Callable[[], object], Callable[[lis
     from lodestone.clients.models import Embedder, HostedModel, LocalModel
 
     if a.hosted:
-        name, make = HostedModel(a.model).name, lambda model=a.model: HostedModel(model)
+        name, make = HostedModel(a.model).name, lambda model=a.model, via=TRANSPORT: HostedModel(model, transport=via)
     else:
-        name, make = LocalModel(a.host, a.model).name, lambda host=a.host, model=a.model: LocalModel(host, model)
-    return make, (Embedder(a.host, a.embedder).embed if a.embedder else None), name
+        name, make = LocalModel(a.host, a.model).name, lambda host=a.host, model=a.model, via=TRANSPORT: LocalModel(host, model, via)
+    return make, (Embedder(a.host, a.embedder, TRANSPORT).embed if a.embedder else None), name
 
 
 def tracks(spark: SparkSession, files: DataFrame, path: str, client: Callable[[], object] | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None, top_k: int = 5, embedder: str = "") -> dict:
@@ -45,7 +49,6 @@ def tracks(spark: SparkSession, files: DataFrame, path: str, client: Callable[[]
     """
     from lodestone.lang.analyze import analyze
     from lodestone.lang.units import units
-    from lodestone.operators import index
     from lodestone.operators.findings import ranked
     from lodestone.operators.merging import fold
     from lodestone.operators.model_track import review
@@ -58,8 +61,7 @@ def tracks(spark: SparkSession, files: DataFrame, path: str, client: Callable[[]
     if client is not None:
         names = ["id", "class", "severity", "confidence", "track", "file", "line", "handler", "evidence", "subject", "citations", "absorbed_handlers", "seq"]
         try:
-            held = index.meta(spark, path)
-            vectors = index.open_vectors(spark, path, *held) if held and embed and held[0] == embedder else None
+            vectors = _dense(spark, path, embed, embedder)
             handlers = r.program.handlers.select("name", "file", "line")
             seen = review(units(r.program, files), handlers, path, client, top_k, vectors, embed)
             said = stored(seen.findings.select(*names), "said")
@@ -104,23 +106,59 @@ def _ir(spark: SparkSession, a: argparse.Namespace) -> str:
     return json.dumps(parts, indent=2, ensure_ascii=False)
 
 
+class Absent(RuntimeError):
+    """Something that was asked for cannot be had."""
+
+
+def _dense(spark: SparkSession, path: str, embed: Callable[[list[str]], list[list[float]]] | None, embedder: str) -> DataFrame | None:
+    """The vectors of an index, if queries can be embedded as they were."""
+    from lodestone.operators import index
+
+    held = index.meta(spark, path)
+    return index.open_vectors(spark, path, *held) if held and embed and held[0] == embedder else None
+
+
 def _eval(spark: SparkSession, a: argparse.Namespace) -> str:
-    from lodestone.lang.evaluation import run
-    from lodestone.operators import history
+    from lodestone.lang.evaluation import NoModel, model_findings, run
+    from lodestone.operators import history, index
     from lodestone.operators.evaluate import rendered
-
-    r = run(_files(spark, a.paths))
-    rows = r.summary.orderBy("class", "view").withColumns({c: rendered(F.col(c)) for c in ("recall", "precision")}).collect()
+    from lodestone.operators.retrieval import corpus_hash
+
+    said, model, name = [], None, None
+    if a.track == "merged":
+        said.append("`merged` is a view and no track: both tracks run, as with `all`")
+    if a.track != "static":
+        client, embed, name = _clients(a)
+        vectors = _dense(spark, a.index, embed, a.embedder)
+        model = lambda files: model_findings(files, a.index, client, a.top, vectors, embed)
+    files = _files(spark, a.paths)
+    try:
+        r = run(files, static=a.track != "llm", model=model, gated=not a.no_check)
+    except (NoModel, AnalysisException) as e:
+        if model is None:
+            raise
+        raise Absent(f"the model track cannot run: {e}") from e
+    per_class = r.summary.orderBy("class", "view")
+    rows = per_class.withColumns({c: rendered(F.col(c)) for c in ("recall", "precision")}).collect()
     noise = [x.asDict() for x in r.noise.orderBy("view").collect()]
+    refused = [] if r.rejected is None else r.rejected.select("program", "operator", "id", "class", "reason").orderBy("program", "operator", "id").collect()
     if a.history:
-        history.append(a.history, {"schema_version": 1, "per_class": [x.asDict() for x in r.summary.collect()], "noise": noise})
-    lines = [f"{x['class']:<28} {x.view:<8} {x.true_positives}/{x.total_cases} recall {x.recall} precision {x.precision}" for x in rows]
-    return "\n".join(lines + [f"noise {n['view']}: {n['findings']} ({n['per_kloc']:.3f}/KLOC)" for n in noise])
+        now = datetime.datetime.now(datetime.timezone.utc).isoformat()
+        track = "all" if a.track == "merged" else a.track
+        entry = {"schema_version": 1, "run_id": a.run_id or f"{now}-{track}", "timestamp": now, "per_class": [x.asDict() for x in per_class.collect()], "noise": noise, "cases_rejected": len(refused)}
+        if model is not None:
+            entry |= {"model": name, "corpus_hash": corpus_hash(index.open_sparse(spark, a.index)).first().corpus_hash}
+        history.append(a.history, entry)
+    said += [f"{x['class']:<28} {x.view:<8} {x.true_positives}/{x.total_cases} recall {x.recall} precision {x.precision}" for x in rows]
+    said += [f"noise {n['view']}: {n['findings']} ({n['per_kloc']:.3f}/KLOC)" for n in noise]
+    said.append("validity gate skipped: cases are unverified" if a.no_check else f"validity gate: {len(refused)} case(s) rejected")
+    return "\n".join(said + [f"  {x.program}/{x.operator}-{x.id} ({x['class']}): {x.reason}" for x in refused])
 
 
 def _mutate(spark: SparkSession, a: argparse.Namespace) -> str:
     from lodestone.lang.ir import program
     from lodestone.lang.mutations import mutants
+    from lodestone.lang.resolution import gate
     from lodestone.operators import cases
     from lodestone.operators.evaluate import cases_per_operator
     from lodestone.session import stored
@@ -128,8 +166,13 @@ def _mutate(spark: SparkSession, a: argparse.Namespace) -> str:
     files = _files(spark, [a.path])
     made = stored(mutants(program(files), files), "mutants")
     cases.materialize(a.path, made.orderBy("operator", "id").toLocalIterator(), a.out)
+    refused = []
+    if not a.no_check:
+        made, rejected = gate(files, made)
+        refused = [cases.reject(a.out, f"{r.operator}-{r.id}", r.reason) for r in rejected.orderBy("operator", "id").toLocalIterator()]
     counts = cases_per_operator(made).orderBy("operator").collect()
-    return "\n".join([f"{c.operator:<28} {c.cases}" for c in counts] + [f"{sum(c.cases for c in counts)} case(s) below {a.out}"])
+    verdict = "validity gate skipped: cases are unverified" if a.no_check else f"validity gate: {len(refused)} case(s) rejected"
+    return "\n".join([f"{c.operator:<28} {c.cases}" for c in counts] + [f"{sum(c.cases for c in counts)} case(s) below {a.out}", verdict] + [f"  {r['name']}: {r['reason']}" for r in refused])
 
 
 def _holdout(spark: SparkSession, a: argparse.Namespace) -> str:
@@ -175,8 +218,8 @@ def _corpus(spark: SparkSession, a: argparse.Namespace) -> str:
             return corpus_hash(chunks).first().corpus_hash
         dense = None
         if a.embedder:
-            first = Embedder(a.host, a.embedder)
-            dense = lambda docs, host=a.host, model=a.embedder: embed_documents(docs, lambda: Embedder(host, model))
+            first = Embedder(a.host, a.embedder, TRANSPORT)
+            dense = lambda docs, host=a.host, model=a.embedder, via=TRANSPORT: embed_documents(docs, lambda: Embedder(host, model, via))
             try:
                 width = len(first.embed(["width"])[0])
             except HttpProblem:
@@ -184,12 +227,32 @@ def _corpus(spark: SparkSession, a: argparse.Namespace) -> str:
         index.build(chunks, a.index, dense, a.embedder, width if dense else 0)
         return f"indexed {chunks.count()} chunks" + ("" if dense or not a.embedder else "; no vectors, the embedder cannot be reached")
     docs = index.open_sparse(spark, a.index)
-    hits = hybrid(docs, None, a.text, None, a.top, lambda queries, k: index.search(spark, a.index, queries, k)).join(docs.select("doc_id", "title"), "doc_id").orderBy("rank")
+    held = index.meta(spark, a.index)
+    vectors = vector = None
+    if held:  # the dense leg: the query embedded as the vectors were, or a null leg where that cannot be done
+        try:
+            vector = Embedder(a.host, a.embedder or held[0], TRANSPORT).embed([a.text])[0]
+            vectors = index.open_vectors(spark, a.index, a.embedder or held[0], len(vector))
+        except HttpProblem:
+            vectors = vector = None
+    search, exists = (lambda queries, k: index.search(spark, a.index, queries, k)), (lambda ids: index.existing(spark, a.index, ids))
+    hits = hybrid(docs, vectors, a.text, vector, a.top, search, exists)
+    hits = hits.join(index.described(spark, a.index, hits.select("doc_id")).select("doc_id", "title"), "doc_id").orderBy("rank")
     shown = hits.select("rank", "doc_id", "title", rendered(F.col("rrf"), 4).alias("rrf"), rendered(F.col("dense"), 4).alias("dense"), rendered(F.col("bm25"), 4).alias("bm25")).collect()
     verdict = grounded(hits.withColumn("query_id", F.lit("q"))).collect()
     return "\n".join([f"{h.rank}. {h.doc_id} rrf {h.rrf} dense {h.dense} bm25 {h.bm25} {h.title}" for h in shown] + [f"grounded: {bool(verdict and verdict[0].grounded)}"])
 
 
+def _asks(p: argparse.ArgumentParser) -> None:
+    """How the model track asks and retrieves."""
+    p.add_argument("--hosted", action="store_true", help="ask the hosted model, with the key in the environment")
+    p.add_argument("--model", default=LOCAL_MODEL)
+    p.add_argument("--host", default=LOCAL_HOST)
+    p.add_argument("--embedder", default="")
+    p.add_argument("--index", default="corpus/index")
+    p.add_argument("--top", type=int, default=5)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("lodestone", description=__doc__)
     verbs = p.add_subparsers(dest="command", required=True)
@@ -197,12 +260,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("path")
     a.add_argument("--format", choices=("markdown", "json", "sarif"), default="markdown")
     a.add_argument("--llm", action="store_true", help="run the model track too")
-    a.add_argument("--hosted", action="store_true", help="ask the hosted model, with the key in the environment")
-    a.add_argument("--model", default=LOCAL_MODEL)
-    a.add_argument("--host", default=LOCAL_HOST)
-    a.add_argument("--embedder", default="")
-    a.add_argument("--index", default="corpus/index")
-    a.add_argument("--top", type=int, default=5)
+    _asks(a)
     a.set_defaults(run=_analyze)
     i = verbs.add_parser("ir")
     i.add_argument("path")
@@ -210,10 +268,15 @@ def parser() -> argparse.ArgumentParser:
     e = verbs.add_parser("eval")
     e.add_argument("paths", nargs="+")
     e.add_argument("--history")
+    e.add_argument("--track", choices=("static", "llm", "all", "merged"), default="static", help="which tracks run; merged is a view and means all")
+    e.add_argument("--run-id", default="")
+    e.add_argument("--no-check", action="store_true", help="score mutants that may not be valid programs too")
+    _asks(e)
     e.set_defaults(run=_eval)
     m = verbs.add_parser("mutate")
     m.add_argument("path")
     m.add_argument("out")
+    m.add_argument("--no-check", action="store_true", help="keep mutants that may not be valid programs")
     m.set_defaults(run=_mutate)
     h = verbs.add_parser("holdout")
     h.add_argument("--cases", default=CASES)
