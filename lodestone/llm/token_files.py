@@ -13,13 +13,15 @@ A file is written under the attempt's own name, and only files named in the
 manifest count, so tasks may be run again or twice.
 
 Cases: a null text is empty and has only the end id; rows with equal doc_id,
-repeated ones too, stand in the order of their text's hash and length, spread
-over partitions by the hash; a null doc_id comes first; a very long text's ids
+repeated ones too, stand in the order of their text's hash and length, and
+copies of one row in that of the rows as they came, so that no partition has to
+take them all; a null doc_id comes first; a very long text's ids
 are held once, as the file has them; an empty table gives an empty manifest and
 no rows; further columns are ignored, whatever their names.
 
-On a store that is no local or mounted folder a file cannot be mapped; there
-ranges of it are read, a few documents at a time.
+Object stores are reached by the names that Spark has for them (``s3a`` and the
+like). On a store that is no local or mounted folder a file cannot be mapped;
+there ranges of it are read, a few documents at a time.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.vocab import WORD_END, Pieces, as_chars, place, plain
 from lodestone.llm.memory import bounded, returned
-from lodestone.session import scratch, ship
+from lodestone.session import arrow_store, scratch, ship
 
 END_ID = 1
 _ENCODERS: dict[tuple, "WordEncoder"] = {}
@@ -82,13 +84,6 @@ def _width(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def _open(uri: str):
-    """A file system and the path in it; a plain path is local."""
-    if uri.startswith("file:/"):
-        return pafs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
-
-
 class _Ranges:
     """The numbers of a file that cannot be mapped; a slice reads its range."""
 
@@ -105,7 +100,7 @@ class _Ranges:
 
 def _map(uri: str, dtype: str, fs=None):
     """The numbers of a file: mapped into memory where it is local, else read by ranges."""
-    known, path = _open(uri)
+    known, path = arrow_store(uri)
     fs = fs or known
     if isinstance(fs, pafs.LocalFileSystem):
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
@@ -123,14 +118,14 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     dtype = _width(path)
     ended = b"" if end_id is None else np.array([end_id], dtype).tobytes()
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fs, local = _open(folder)
+    fs, local = arrow_store(folder)
     fs.create_dir(local, recursive=True)
 
     def run(batches):
         enc = encoder(path, dtype)
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}"
-        fs, local = _open(folder)
+        fs, local = arrow_store(folder)
         n_docs = n_ids = 0
         with fs.open_output_stream(f"{local}/{name}.ids") as ids, fs.open_output_stream(f"{local}/{name}.docs") as heads:
             for b in batches:
@@ -145,8 +140,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], names=["part", "name", "n_docs", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.length("text")]
-    ordered = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    # the row's number comes last, so that copies of one row, however many, are no one's share alone
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.length("text"), F.monotonically_increasing_id()]
+    keyed = rows.select("*", *[k.alias(f"k{i}") for i, k in enumerate(order[1:])])
+    keys = [order[0], "k0", "k1", "k2"]
+    ordered = keyed.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     parts = sorted((r for r in ordered.mapInArrow(lambda batches: returned(run(batches)), "part long, name string, n_docs long, n_ids long").collect() if r.n_docs), key=lambda r: r.part)
     bases = np.concatenate([[0], np.cumsum([r.n_ids for r in parts], dtype=np.int64)])
     manifest = {"dtype": dtype, "end_id": end_id, "n_ids": int(bases[-1]), "parts": [{"name": r.name, "n_docs": r.n_docs, "n_ids": r.n_ids, "base": int(b)} for r, b in zip(parts, bases)]}
@@ -154,7 +152,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     def offsets(batches):
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                fs, local = _open(folder)
+                fs, local = arrow_store(folder)
                 sizes = _map(f"{folder}/{name}.docs", "<i8")[:].reshape(-1, 2)[:, 1]
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8") + np.uint64(base)
                 tried = f"{local}/{name}.off-{uuid.uuid4().hex[:12]}"
@@ -180,7 +178,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: dict | None = N
     """One row a document, from the files: doc_id, start, n_tokens and the CRC of its ids."""
     bounded(ship(spark))
     if manifest is None:
-        fs, local = _open(folder)
+        fs, local = arrow_store(folder)
         with fs.open_input_file(f"{local}/manifest.json") as f:
             manifest = json.loads(f.read())
     dtype = manifest["dtype"]

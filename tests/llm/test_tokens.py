@@ -154,6 +154,37 @@ def test_one_id_is_spread_over_partitions(spark, tmp_path):
     assert token_files.read_token_files(spark, f"file://{tmp_path}/t").count() == 400
 
 
+def test_copies_of_one_row_are_spread_over_partitions(spark, tmp_path):
+    """A million equal rows: no partition takes more than its share, and all are there."""
+    d = spark.range(0, 1_000_000, 1, 8).selectExpr("7L as doc_id", "'one word' as text")
+    manifest = token_files.write_token_files(d, f"file://{tmp_path}/t", partitions=8)
+    assert len(manifest["parts"]) == 8 and max(p["n_docs"] for p in manifest["parts"]) < 250_000
+    assert sum(p["n_docs"] for p in manifest["parts"]) == 1_000_000
+    got = token_files.read_token_files(spark, f"file://{tmp_path}/t")
+    assert got.selectExpr("count(distinct start)", "count(distinct ids_crc32)").first()[:] == (1_000_000, 1)
+
+
+def test_files_on_an_object_store(spark, docs, tmp_path, monkeypatch):
+    """A folder as Spark names it on an object store is reached by Arrow's name for the store."""
+    import pyarrow.fs as pafs
+
+    from lodestone import session
+
+    held = pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem())
+    asked = []
+
+    def from_uri(uri):
+        asked.append(uri)
+        return held, uri.split("/", 3)[3]
+
+    monkeypatch.setattr(pafs, "FileSystem", type("Known", (), {"from_uri": staticmethod(from_uri)}))
+    fs, path = session.arrow_store("s3a://bucket/a/b")
+    assert asked == ["s3://bucket/a/b"] and path == "a/b"
+    with fs.open_output_stream("x.ids") as f:
+        f.write(np.arange(9, dtype="<u2").tobytes())
+    assert token_files._map("s3a://bucket/x.ids", "<u2")[2:5].tolist() == [2, 3, 4]
+
+
 def test_columns_with_clashing_names(wide):
     from pyspark.sql import functions as F
 
