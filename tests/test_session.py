@@ -51,3 +51,16 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(session.NoSharedFolder):
         session.checkpoint_root(type("Spark", (), {"sparkContext": Context()})())
+
+
+def test_stores_as_tasks_open_them(tmp_path):
+    import pyarrow.fs as pafs
+
+    from lodestone.session import UnknownStore, arrow_store
+
+    for uri in (f"file:{tmp_path}/x", f"file://{tmp_path}/x", f"{tmp_path}/x"):
+        fs, path = arrow_store(uri)
+        assert isinstance(fs, pafs.LocalFileSystem) and path == f"{tmp_path}/x"
+    assert arrow_store("dbfs:/a/b")[1] == "/dbfs/a/b"
+    with pytest.raises(UnknownStore):
+        arrow_store("viewfs://shelf/in")
