@@ -3,6 +3,8 @@
 import collections
 import hashlib
 
+import pytest
+
 from lodestone.llm import line_dedup, ngram_join
 from lodestone.llm.components import components
 
@@ -394,3 +396,34 @@ def test_classes_of_lengths_are_few_and_cover_the_bound(spark):
     for n in (100, 799, 800, 1_700, 50_000):
         spread = n // 19
         assert len({held[m] for m in range(n - spread, n + spread + 1)}) <= 2 * 43 + 2
+
+
+def test_recall_of_near_lines_of_the_small_table(spark):
+    """All near lines of a real table, by pairs that character counts do not rule out: none is missed and none is too many."""
+    import os
+
+    import numpy as np
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no table")
+    docs = spark.read.parquet(path).select("doc_id", "text")
+    first = {}
+    for d, text in sorted((r.doc_id, r.text or "") for r in docs.collect()):
+        for k, line in enumerate(text.split("\n")):
+            if len(line.strip(BLANK)) >= 20:
+                first.setdefault(line.strip(BLANK), (d, k))
+    lines = sorted(first, key=len)
+    n = np.array([len(x) for x in lines])
+    counts = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le"), "<u4") % 512, minlength=512) for x in lines])
+    want = set()
+    for i, x in enumerate(lines):
+        j = np.arange(i + 1, np.searchsorted(n, n[i] + n[i] // 19 + 1, "right"))
+        bound = np.maximum(1, n[j] // 20)
+        d = counts[j] - counts[i]
+        for q in np.flatnonzero((n[j] - n[i] <= bound) & (np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) <= bound)):
+            y = lines[j[q]]
+            if line_dedup.within(x, y, int(bound[q])):
+                want.add(y if first[y] > first[x] else x)
+    kept = {(r.d, r.l) for r in line_dedup.kept_places(docs, per=20).collect()}
+    assert {x for x in lines if first[x] not in kept} == want and len(want) > 100
