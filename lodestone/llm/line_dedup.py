@@ -231,6 +231,29 @@ def within(s: str, t: str, bound: int) -> bool:
     return False
 
 
+#: Classes of characters that are counted, eight in a number.
+_CLASSES = 16
+
+
+def signs(text: str) -> tuple[int, int]:
+    """Counts of a text's characters by class, up to 255 each, packed in two numbers."""
+    counts = np.bincount((_codes(text) * np.uint32(0x9E3779B1)) >> np.uint32(28), minlength=_CLASSES)
+    return tuple(np.minimum(counts, 255).astype(np.uint8).view("<i8").tolist())
+
+
+def _signed(batches):
+    """Lines (d, r, l, t) with their signs in place of the text."""
+    for b in batches:
+        got = [signs(t) for t in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([g for g, _ in got], pa.int64()), pa.array([g for _, g in got], pa.int64())], names=["d", "r", "l", "g", "h"])
+
+
+def _apart(*pairs: tuple[str, str]) -> Column:
+    """By how much counts by class differ in all; an edit changes this by two at most."""
+    part = lambda x, k: F.shiftrightunsigned(F.col(x), 8 * k).bitwiseAND(F.lit(255))
+    return sum((F.abs(part(x, k) - part(y, k)) for x, y in pairs for k in range(8)), F.lit(0))
+
+
 def _close(batches):
     """The places of the lines whose texts are within their bound."""
     for b in batches:
@@ -276,12 +299,17 @@ def _far(docs: DataFrame, distinct: DataFrame, min_chars: int, per: int) -> Data
     n = F.length("t")
     keys = stored(texts.select(*place, n.alias("n"), F.explode(_far_keys(n, F.col("t"), per)).alias("k")).select(*place, "n", "k.*"), "far-keys")
     groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("own"), 1)).alias("owns")).where("all > 1 and owns > 0").select("key")
-    used = stored(keys.join(_small(stored(groups, "far-groups")), "key"), "far-used")
+    found_keys = stored(keys.join(_small(stored(groups, "far-groups")), "key"), "far-shared")
     forget(keys)
+    asked = stored(found_keys.select(*place).distinct(), "far-asked")
+    signed = stored(texts.join(_small(asked), place, "left_semi").select(*place, "t").mapInArrow(lambda batches: returned(_signed(batches)), "d long, r long, l int, g long, h long"), "far-signs")
+    used = stored(found_keys.join(_small(signed), place), "far-used")
+    forget(found_keys, asked, signed)
+    with_signs = (*place, "n", "g", "h")
 
     def near(pairs: DataFrame) -> DataFrame:
         bound = F.floor(F.greatest("n", "n2") / per).cast("int")
-        close = pairs.withColumn("bound", bound).where("struct(d2, r2, l2) < struct(d, r, l) and abs(n - n2) <= bound and bound > 1")
+        close = pairs.withColumn("bound", bound).where("struct(d2, r2, l2) < struct(d, r, l) and abs(n - n2) <= bound and bound > 1").where(_apart(("g", "g2"), ("h", "h2")) <= 2 * F.col("bound"))
         close = stored(close.select(*place, "d2", "r2", "l2", "bound").distinct(), "far-pairs")
         ends = stored(close.select(*place).union(close.select("d2", "r2", "l2")).distinct(), "far-ends")
         text = stored(_lines(docs, least).join(_small(ends), place).dropDuplicates(place), "far-lines")
@@ -294,10 +322,10 @@ def _far(docs: DataFrame, distinct: DataFrame, min_chars: int, per: int) -> Data
         return found
 
     # one earlier line is enough, and each key's earliest settles most lines
-    whole = F.struct(*place, "n")
+    whole = F.struct(*with_signs)
     firsts = used.groupBy("key").agg(F.min(whole).alias("first"), F.min(F.when(F.col("own"), whole)).alias("first_own"))
     by = used.join(firsts, "key").withColumn("by", F.when(F.col("own"), F.col("first")).otherwise(F.col("first_own")))
-    settled = near(by.select(*place, "n", *[F.col(f"by.{c}").alias(f"{c}2") for c in (*place, "n")]))
+    settled = near(by.select(*with_signs, *[F.col(f"by.{c}").alias(f"{c}2") for c in with_signs]))
     # the rest are held to the earliest line of each class of lengths in their bound that has the key: rows in proportion, never pairs of a key
     step, of = _class(F.col("n"))
     by_class = used.groupBy("key", step.alias("step"), of.alias("of")).agg(F.min(whole).alias("first"), F.min(F.when(F.col("own"), whole)).alias("first_own"))
@@ -305,9 +333,9 @@ def _far(docs: DataFrame, distinct: DataFrame, min_chars: int, per: int) -> Data
     low, high = F.col("n") - spread, F.col("n") + spread
     classes = lambda w: F.transform(F.sequence(F.floor(low / w).cast("int"), F.floor(high / w).cast("int")), lambda x: F.struct(w.alias("step"), x.alias("of")))
     steps = F.array_distinct(F.concat(classes(_class(low)[0]), classes(_class(high)[0])))
-    rest = used.join(_small(settled), place, "left_anti").withColumn("c", F.explode(steps)).select(*place, "n", "key", "own", "c.step", "c.of")
+    rest = used.join(_small(settled), place, "left_anti").withColumn("c", F.explode(steps)).select(*with_signs, "key", "own", "c.step", "c.of")
     held = rest.join(by_class, ["key", "step", "of"]).withColumn("by", F.when(F.col("own"), F.col("first")).otherwise(F.col("first_own")))
-    found = settled.union(near(held.select(*place, "n", *[F.col(f"by.{c}").alias(f"{c}2") for c in (*place, "n")])))
+    found = settled.union(near(held.select(*with_signs, *[F.col(f"by.{c}").alias(f"{c}2") for c in with_signs])))
     forget(used)
     return found
 

@@ -369,6 +369,24 @@ def test_distances_by_diagonals():
         assert [line_dedup.within(a, b, q) for q in range(8)] == [e <= q for q in range(8)]
 
 
+def test_signs_never_rule_out_near_lines(spark):
+    """An edit changes the counts by class by two at most, beyond 255 of a class as well."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(300):
+        a = "".join(rng.choice("abcdeé東 ") for _ in range(rng.choice([1, 20, 200, 4000])))
+        b, edits = list(a), rng.randint(0, 6)
+        for _ in range(edits):
+            p = rng.randint(0, len(b))
+            b[p : p + rng.randint(0, 1)] = rng.choice(["", "x", "東"])
+        rows.append((edits, *line_dedup.signs(a), *line_dedup.signs("".join(b))))
+    got = spark.createDataFrame(rows, "e int, g long, h long, g2 long, h2 long").select("e", line_dedup._apart(("g", "g2"), ("h", "h2")).alias("x")).collect()
+    assert all(r.x <= 2 * r.e for r in got) and max(r.x for r in got) > 4
+    assert line_dedup.signs("") == (0, 0)
+
+
 def test_a_line_of_a_megabyte_has_near_copies_found_in_seconds(spark):
     import random
     import time
