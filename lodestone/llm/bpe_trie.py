@@ -21,7 +21,7 @@ encoded again, and ties do not matter, as each row is encoded by itself; a very
 long text takes memory in proportion to its length, a very long word as well, and
 no time beyond its length; special strings in a text become the vocabulary's
 special id and decode to themselves; an empty table gives no rows; further
-columns are kept by ``encode`` and ``decode``, whose own column takes the place of
+columns are kept by ``encode``, ``decode`` and ``round_trip``, whose own column takes the place of
 one of the same name (``ids``, ``decoded``), and ignored by ``encode_digest``.
 """
 
@@ -276,7 +276,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The rows of docs with an array column ``ids``."""
     bounded(ship(docs.sparkSession))
     path = path or place("byte_bpe_50k.json")
-    docs = _packed(docs, "text", "string", "ids")
+    docs = _packed(docs, "text", "string", ("ids",))
     schema = T.StructType([docs.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
@@ -288,9 +288,25 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.mapInArrow(lambda batches: returned(run(batches)), schema).select("row.*", "ids")
 
 
-def _packed(rows: DataFrame, column: str, kind: str, own: str) -> DataFrame:
-    """The columns but ``own`` as one struct, so that their names cannot matter, and the one that is read."""
-    rest = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c.lower() != own])
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of docs with ``ids`` and, made from these, ``decoded``: both in one worker, which has the vocabulary once."""
+    bounded(ship(docs.sparkSession))
+    path = path or place("byte_bpe_50k.json")
+    docs = _packed(docs, "text", "string", ("ids", "decoded"))
+    schema = T.StructType([docs.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(batches):
+        c = codec(path)
+        for b in batches:
+            ids = c.encode_many(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(c.decode, ids), pa.string())], names=["row", "ids", "decoded"])
+
+    return docs.mapInArrow(lambda batches: returned(run(batches)), schema).select("row.*", "ids", "decoded")
+
+
+def _packed(rows: DataFrame, column: str, kind: str, own: tuple[str, ...]) -> DataFrame:
+    """The columns but the operator's own as one struct, so that their names cannot matter, and the one that is read."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c.lower() not in own])
     return rows.select(rest.alias("row"), F.col(f"`{column}`").cast(kind).alias("read"))
 
 
@@ -298,7 +314,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     """The rows with a string column ``decoded`` made from their ``ids``."""
     bounded(ship(rows.sparkSession))
     path = path or place("byte_bpe_50k.json")
-    rows = _packed(rows, "ids", "array<int>", "decoded")
+    rows = _packed(rows, "ids", "array<int>", ("decoded",))
     schema = T.StructType([rows.schema["row"], T.StructField("decoded", T.StringType())])
 
     def run(batches):

@@ -113,6 +113,11 @@ def test_encode_decode_round_trip_keeps_columns(wide):
     assert out.where("decoded <> coalesce(text, '')").count() == 0
 
 
+def test_round_trip_is_encode_and_decode(wide):
+    both = lambda df: sorted(str(r) for r in df.select(*sorted(df.columns)).collect())
+    assert both(bpe_trie.round_trip(wide)) == both(bpe_trie.decode(bpe_trie.encode(wide)))
+
+
 def test_token_files(docs, rows, word_lib, tmp_path):
     folder = f"file://{tmp_path}/t"
     manifest = token_files.write_token_files(docs, folder, partitions=3)
