@@ -43,8 +43,8 @@ def bm25(docs: DataFrame, queries: dict[str, str], k: int, fields: tuple[str, ..
     """The k best documents of each query: (query_id, rank, doc_id, score).
 
     A query's terms are known when the plan is made, so a document's counts are
-    taken where it is scanned and nothing is exploded or shuffled but one row of
-    corpus sums and the k best of each partition. Every match is scored before
+    taken where it is scanned and written as numbers, and nothing is exploded or
+    shuffled but one row of corpus sums and the k best of each partition. Every match is scored before
     the cut, and ties go by doc_id. A phrase has the sum of its tokens' weights.
     """
     parsed = {q: parse_query(text) for q, text in queries.items()}
@@ -54,6 +54,8 @@ def bm25(docs: DataFrame, queries: dict[str, str], k: int, fields: tuple[str, ..
         return spark.createDataFrame([], "query_id string, rank int, doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     counted = docs.select("doc_id", *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
     counted = counted.select("doc_id", *[F.size(f).alias(f"len_{f}") for f in fields], *[_count(F.col(f), p).alias(f"{f}_{i}") for f in fields for i, p in enumerate(phrases)])
+    # written, so that the texts are taken apart once: a condition on counts would be moved to the scan, and make its tokens anew for each
+    counted = stored(counted, "counts")
     index = {p: i for i, p in enumerate(phrases)}
     sums = counted.agg(
         F.count(F.lit(1)).alias("n_docs"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields],

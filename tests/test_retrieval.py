@@ -127,3 +127,10 @@ def test_upsert(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "doc_id string, v int")
     new = spark.createDataFrame([("b", 3, 1), ("b", 4, 2), ("c", 5, 1)], "doc_id string, v int, seq int")
     assert {tuple(r) for r in R.upsert(old, new).collect()} == {("a", 1), ("b", 4), ("c", 5)}
+
+
+def test_scan_takes_texts_apart_once(spark):
+    """What is ranked are written counts: no text is split for a condition, or again for the scores."""
+    docs = spark.createDataFrame([(i, "ha ha ha the", "the") for i in range(3)], "doc_id long, text string, title string")
+    plan = R.bm25(docs, {"q": "ha-ha the-the"}, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
