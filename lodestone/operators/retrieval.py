@@ -247,4 +247,6 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
 def hash_embed(words: Column, width: int = 8) -> Column:
     """A deterministic vector of a token array: counts of its words by bucket, for tests without a model."""
     buckets = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int"), F.lit(width)))
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("float"))
+    # the buckets are bound as a variable, so that words are hashed once and not once a bucket
+    counted = lambda held: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(held, lambda b: b == i)).cast("float"))
+    return F.get(F.transform(F.array(buckets), counted), F.lit(0))

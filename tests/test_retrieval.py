@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.score import cosine
+from lodestone.functions.text import tokens
 from lodestone.operators import retrieval as R
 
 
@@ -134,3 +135,9 @@ def test_scan_takes_texts_apart_once(spark):
     docs = spark.createDataFrame([(i, "ha ha ha the", "the") for i in range(3)], "doc_id long, text string, title string")
     plan = R.bm25(docs, {"q": "ha-ha the-the"}, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan
+
+
+def test_words_are_hashed_once(spark):
+    d = spark.createDataFrame([("a b c",)], "text string").select(R.hash_embed(tokens(F.col("text")), 8).alias("e"))
+    plan = d._jdf.queryExecution().analyzed().toString()
+    assert plan.count("md5(") == 1 and plan.index("md5(") < plan.index("sequence(")  # outside of what runs for each bucket
