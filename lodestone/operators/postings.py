@@ -27,19 +27,26 @@ from dataclasses import dataclass
 from math import ceil, sqrt
 from zlib import crc32
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.constants import BM25_B, BM25_K1
 from lodestone.functions.text import query_terms, tokens
 from lodestone.operators import keyed
 from lodestone.operators.retrieval import parse_query
-from lodestone.session import forget, stored
+from lodestone.memory import bounded, returned
+from lodestone.session import forget, ship, stored
 
 #: Documents of a span.
 SPAN_DOCS = 1_024
 #: Spans of the highest bounds that are scored first, for each query.
 SEEDS = 8
+#: Tokens of documents that a task holds while it makes their blocks, but for one document's own.
+MOST_HELD = 1_000_000
 #: Distinct tokens of all queries up to which files are chosen by token; terms up to which they are broadcast.
 MOST_TOKENS, MOST_BROADCAST = 5_000, 200_000
 TERMS = "query_id string, term int, at int, width int, tok string"
@@ -63,22 +70,87 @@ def build_sparse(docs: DataFrame, path: str, fields: tuple[str, ...] = ("text",
     stats.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
     stats = spark.read.parquet(f"{path}/statistics")
 
-    every = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_len_{f}").alias("len"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields]))
-    said = placed.select("doc_id", F.col("_span").alias("span"), every.alias("x")).select("doc_id", "span", "x.field", "x.len", F.posexplode("x.t").alias("pos", "tok"))
-    dealt = said.withColumn("bucket", _bucket(F.col("tok"), buckets)).withColumn("slice", F.pmod(F.xxhash64("span"), F.lit(slices))).repartition(max(parts, buckets * slices), "bucket", "slice")
-    block = ("bucket", "slice", "tok", "field", "span")
-    each = dealt.groupBy(*block, "doc_id", "len").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    entries = each.groupBy(*block).agg(F.sort_array(F.collect_list(F.struct("doc_id", "len", F.size("places").alias("tf"), "places"))).alias("e"))
-    impact = lambda x: _impact(x["tf"], x["len"], F.col("avg_len"))
-    blocks = entries.join(F.broadcast(stats.select("field", "avg_len")), "field").select(
-        "bucket", "tok", "field", "span", F.size("e").alias("n"), F.array_max(F.transform("e", impact)).alias("impact"),
-        *[F.col("e")[c].alias(c) for c in ("doc_id", "len", "tf", "places")],
-    )
-    blocks.sortWithinPartitions("bucket", "tok", "field", "span").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    means = {r.field: r.avg_len for r in stats.select("field", "avg_len").collect()}  # a row a field
+    said = placed.select("doc_id", F.col("_span").alias("span"), *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(fields)])
+    kind = T.StructType([T.StructField("tok", T.StringType()), T.StructField("field", T.StringType()), T.StructField("span", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("impact", T.DoubleType()),
+                         T.StructField("doc_id", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("packed", T.ArrayType(T.IntegerType()))])
+    bounded(ship(spark))
+    made = said.mapInArrow(lambda batches: returned(_inverted(batches, fields, means)), kind)
+    dealt = made.withColumn("bucket", _bucket(F.col("tok"), buckets)).withColumn("slice", F.pmod(F.xxhash64("span"), F.lit(slices)))
+    dealt = dealt.repartitionById(buckets * slices, (F.col("bucket") * slices + F.col("slice")).cast("int"))  # each its own task, where a hash would put some together
+    # the numbers of a block travel as one array, as most tokens are rare and arrays have a head each
+    n = F.col("n")
+    part = lambda name, begin, size: F.slice("packed", begin + 1, size).alias(name)
+    own = [part("len", F.lit(0), n), part("tf", n, n), part("begin", 2 * n, n), part("places", 3 * n, F.size("packed") - 3 * n)]
+    blocks = dealt.sortWithinPartitions("bucket", "tok", "field", "span").select("bucket", *[f.name for f in kind if f.name != "packed"], *own)
+    blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     words = spark.read.schema(blocks.schema).parquet(f"{path}/blocks").groupBy("bucket", "tok", "field").agg(F.sum("n").cast("long").alias("df"), F.count(F.lit(1)).alias("blocks"), F.max("impact").alias("impact"))
     words.repartition("bucket").sortWithinPartitions("bucket", "tok").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/dictionary")
 
 
+def _inverted(batches, fields: tuple[str, ...], means: dict[str, float]):
+    """Blocks of documents (doc_id, span, tokens of each field) that come by span, where they are read.
+
+    What is held is a span's documents, or ``MOST_HELD`` of its tokens about; a
+    span that has more, or that lies in two tasks, gets several blocks of a token,
+    each with documents of its own.
+    """
+    held, size = [], 0
+    for b in batches:
+        spans = b.column(1).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sum(pc.list_value_length(b.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(2, b.num_columns)))
+        at = 0
+        while at < b.num_rows:
+            if held and (size >= MOST_HELD or held[0].column(1)[0].as_py() != spans[at]):
+                yield from _blocks(held, fields, means)
+                held, size = [], 0
+            before = ends[at - 1] if at else 0
+            same = at + int((spans[at:] == spans[at]).argmin() or len(spans) - at)
+            end = min(same, max(at + 1, int(np.searchsorted(ends, before + MOST_HELD - size, "right"))))
+            held.append(b.slice(at, end - at))
+            size += int(ends[end - 1] - before)
+            at = end
+    if held:
+        yield from _blocks(held, fields, means)
+
+
+def _blocks(held: list[pa.RecordBatch], fields: tuple[str, ...], means: dict[str, float]):
+    """The blocks of some documents of one span, a batch a field: a stable sort by token leaves documents and places in order.
+
+    A block's lengths, counts, where each document's places begin, and all places are one after another in ``packed``.
+    """
+    rows = pa.Table.from_batches(held).combine_chunks()
+    span, whole = rows.column(1)[0].as_py(), lambda c: rows.column(c).chunk(0)
+    for k, field in enumerate(fields):
+        t = whole(k + 2)
+        lengths = pc.list_value_length(t).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not lengths.sum():
+            continue
+        coded = t.flatten().dictionary_encode()
+        tok = coded.indices.to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        order = np.argsort(tok, kind="stable")
+        tok, doc, place = tok[order], doc[order], place[order]
+        begins = lambda *keys: np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in keys], axis=0)]))
+        pair = begins(tok, doc)  # where a token's places in a document begin
+        tf, tok, doc = np.diff(np.append(pair, len(tok))), tok[pair], doc[pair]
+        first = begins(tok)
+        ints = lambda x: pa.array(x, pa.int32())
+        n, said = np.diff(np.append(first, len(tok))), np.diff(np.append(pair[first], len(place)))
+        ends = np.cumsum(3 * n + said)
+        base = ends - 3 * n - said
+        each = np.repeat(base, n) + np.arange(len(tok)) - np.repeat(first, n)
+        packed = np.empty(ends[-1], np.int32)
+        for i, x in enumerate((lengths[doc], tf, pair - np.repeat(pair[first], n))):
+            packed[each + i * np.repeat(n, n)] = x
+        packed[np.repeat(base + 3 * n, said) + np.arange(len(place)) - np.repeat(pair[first], said)] = place
+        yield pa.RecordBatch.from_arrays([
+            coded.dictionary.take(pa.array(tok[first])), pa.array([field] * len(first)), pa.array(np.full(len(first), span, np.int64)), ints(n),
+            pa.array(np.maximum.reduceat(_impact(tf, lengths[doc], means[field]), first)), pa.ListArray.from_arrays(ints(np.append(first, len(tok))), whole(0).take(pa.array(doc))), pa.ListArray.from_arrays(ints(np.append(0, ends)), ints(packed)),
+        ], names=["tok", "field", "span", "n", "impact", "doc_id", "packed"])
+
+
 def _bucket(tok, buckets: int):
     return F.pmod(F.crc32(tok.cast("binary")), F.lit(buckets)).cast("int")
 
@@ -120,7 +192,12 @@ def postings(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
     if head is None:
         return keyed.read(spark, f"{path}/documents").select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("field", "string"), ("len", "int"), ("pos", "int"), ("tok", "string"))]).limit(0)
     rows = _tokens_of(spark, path, "blocks", words, head.buckets)
-    return rows.select("tok", "field", F.explode(F.arrays_zip("doc_id", "len", "places")).alias("e")).select("e.doc_id", "field", "e.len", F.explode("e.places").alias("pos"), "tok")
+    return rows.select("tok", "field", F.explode(_placed()).alias("e")).select("e.doc_id", "field", "e.len", F.explode("e.places").alias("pos"), "tok")
+
+
+def _placed() -> Column:
+    """The documents of a block with their places, which the block holds one after another."""
+    return F.transform("doc_id", lambda d, i: F.struct(d.alias("doc_id"), F.get("len", i).alias("len"), F.slice("places", F.get("begin", i) + 1, F.get("tf", i)).alias("places")))
 
 
 def query_terms_of(spark: SparkSession, queries: dict[str, str] | DataFrame) -> DataFrame:
@@ -154,22 +231,26 @@ class Search:
     def bounded(self) -> DataFrame:
         """(query_id, span, bound) from the heads of blocks."""
         heads = _tokens_of(self.spark, self.path, "blocks", self.words, self.buckets).select(*_HEAD)
-        term = heads.join(self.near(self.terms), "tok").groupBy("query_id", "term", "width", "field", "span").agg(F.min("impact").alias("impact"), F.count(F.lit(1)).alias("n")).where("n = width")
+        # a span may have several blocks of a token
+        each = heads.join(self.near(self.terms), "tok").groupBy("query_id", "term", "width", "field", "span", "at").agg(F.max("impact").alias("impact"))
+        term = each.groupBy("query_id", "term", "width", "field", "span").agg(F.min("impact").alias("impact"), F.count(F.lit(1)).alias("n")).where("n = width")
         # a little is added, as sums in another order may differ in the last digits
         return term.join(self.near(self.weights), ["query_id", "term", "field"]).groupBy("query_id", "span").agg((F.sum(F.col("weight") * F.col("impact")) * (1 + 1e-9)).alias("bound"))
 
     def scored(self, spans: DataFrame | None) -> DataFrame:
         """(query_id, doc_id, score) of all documents that match, in the spans given for each query, or in all."""
-        blocks = _tokens_of(self.spark, self.path, "blocks", self.words, self.buckets).join(self.near(self.terms), "tok")
-        if spans is not None:
-            blocks = blocks.join(spans.select("query_id", "span"), ["query_id", "span"], "left_semi")
-        one = blocks.where("width = 1").select("query_id", "term", "field", F.explode(F.arrays_zip("doc_id", "len", "tf")).alias("e")).select("query_id", "term", "field", "e.*")
+        every = _tokens_of(self.spark, self.path, "blocks", self.words, self.buckets)
+        within = lambda df: df if spans is None else df.join(spans.select("query_id", "span"), ["query_id", "span"], "left_semi")
+        blocks = within(every.join(self.near(self.terms.where("width = 1")), "tok"))
+        one = blocks.select("query_id", "term", "field", F.explode(F.arrays_zip("doc_id", "len", "tf")).alias("e")).select("query_id", "term", "field", "e.*")
         if self.phrases:
-            # a posting of a phrase's i-th token votes for the place i before it; places with all votes count, overlaps included
-            many = blocks.where("width > 1").select("query_id", "term", "width", "field", "at", F.explode(F.arrays_zip("doc_id", "len", "places")).alias("e"))
-            many = many.select("query_id", "term", "width", "field", "e.doc_id", "e.len", "at", F.explode("e.places").alias("pos")).withColumn("start", F.col("pos") - F.col("at"))
-            votes = many.groupBy("query_id", "term", "width", "field", "doc_id", "len", "start").agg(F.count(F.lit(1)).alias("n")).where("n = width")
-            one = one.unionByName(votes.groupBy("query_id", "term", "field", "doc_id", "len").agg(F.count(F.lit(1)).cast("int").alias("tf")))
+            # a token's places, each less where the token stands in the phrase, are where the phrase may begin; those that all its tokens have count, overlaps included
+            where = self.terms.where("width > 1").groupBy("query_id", "term", "width", "tok").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+            many = within(every.join(self.near(where), "tok")).select("query_id", "term", "width", "field", "ats", F.explode(_placed()).alias("e"))
+            starts = _common(F.transform("ats", lambda a: F.transform("e.places", lambda p: p - a)))
+            many = many.select("query_id", "term", "width", "field", "e.doc_id", "e.len", F.size("ats").alias("n"), starts.alias("starts")).where(F.size("starts") > 0)
+            met = many.groupBy("query_id", "term", "width", "field", "doc_id", "len").agg(F.sum("n").alias("n"), F.collect_list("starts").alias("starts")).where("n = width")
+            one = one.unionByName(met.select("query_id", "term", "field", "doc_id", "len", F.size(_common(F.col("starts"))).alias("tf")).where("tf > 0"))
         part = F.col("weight") * _impact(F.col("tf"), F.col("len"), F.col("avg_len"))
         return one.join(self.near(self.weights), ["query_id", "term", "field"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
@@ -222,6 +303,11 @@ def search(spark: SparkSession, path: str, queries: dict[str, str] | DataFrame,
     return work.run()
 
 
+def _common(lists) -> Column:
+    """What all of some arrays have."""
+    return F.aggregate(F.slice(lists, 2, F.size(lists)), F.get(lists, F.lit(0)), F.array_intersect)
+
+
 def _highest(bounds: DataFrame, n: int) -> DataFrame:
     """The n spans of each query with the highest bounds; a query's spans are thinned in parts before they meet."""
     order = [F.desc("bound"), F.col("span")]

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,25 @@ def test_empty_and_single(spark, tmp_path):
     assert [r.doc_id for r in I.search(spark, path, {"q": "a b"}, 3).collect()] == [1]
     assert I.search(spark, path, {"q": ""}, 3).count() == 0 and I.search(spark, path, {"q": "a"}, 0).count() == 0
     assert I.open_sparse(spark, path).columns == ["doc_id", "text", "title"]
+
+
+def test_a_span_in_several_blocks(spark, tmp_path, monkeypatch):
+    """Spans with more tokens than a task holds are cut between documents, and nothing is found otherwise."""
+    held = []
+    for most in (3, 1_000_000):
+        monkeypatch.setattr(postings, "MOST_HELD", most)
+        batches = [pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "span": [0, 0, 0], "t0": [["a", "b", "a"], [], ["b"]]}), pa.RecordBatch.from_pydict({"doc_id": [4, 5], "span": [0, 1], "t0": [["a", "a", "a", "a"], ["a"]]})]
+        rows = [r for b in postings._inverted(iter(batches), ("t0",), {"t0": 2.0}) for r in b.to_pylist()]
+        held.append((len(rows), sorted((r["tok"], r["span"], d, x[i], x[n + i], tuple(x[3 * n :][x[2 * n + i] : x[2 * n + i] + x[n + i]])) for r in rows for x, n in ((r["packed"], r["n"]),) for i, d in enumerate(r["doc_id"]))))
+    assert [n for n, _ in held] == [5, 3] and held[0][1] == held[1][1]
+    assert held[0][1] == [("a", 0, 1, 3, 2, (0, 2)), ("a", 0, 4, 4, 4, (0, 1, 2, 3)), ("a", 1, 5, 1, 1, (0,)), ("b", 0, 1, 3, 1, (1,)), ("b", 0, 3, 1, 1, (0,))]
+
+
+def test_phrases_exchange_documents(spark, tmp_path):
+    """A phrase's rows are a document's, with its places in them: these are not rows of their own."""
+    docs = spark.createDataFrame([(i, "ha " * (20 + i), "x") for i in range(64)], SCHEMA)
+    path = f"file://{tmp_path}/index"
+    I.build_sparse(docs, path, span_docs=8)
+    plan = postings.searching(spark, path, {"q": "ha-ha"}, 3).scored(None)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2  # the documents of blocks, for words and for phrases
+    assert rows(I.search(spark, path, {"q": "ha-ha"}, 3)) == rows(bm25(docs, {"q": "ha-ha"}, 3))
