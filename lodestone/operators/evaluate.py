@@ -20,10 +20,16 @@ def diff(baseline: DataFrame, mutant: DataFrame, key: tuple[str, ...] = ("track"
     return mutant.join(known, list(key), "left").withColumn("introduced", F.col("known").isNull()).drop("known")
 
 
-def detected(differences: DataFrame, labels: DataFrame) -> DataFrame:
-    """A row a case: whether an introduced finding matches its label, and on which tracks, in track order."""
-    found = differences.where("introduced").join(labels.select("case", F.col("handler"), F.col("class")), ["case", "handler", "class"], "left_semi")
-    tracks = found.groupBy("case").agg(F.transform(F.array_sort(F.collect_set(track_order(F.col("track")))), lambda i: F.get(F.array(*[F.lit(t) for t in TRACKS]), i)).alias("detecting_tracks"))
+def detected(differences: DataFrame, labels: DataFrame, by: str = "case") -> DataFrame:
+    """A row a case: whether an introduced finding matches its label, and on which tracks, in track order.
+
+    ``by`` names the column that says which findings are a case's; where several
+    cases share a run, it is the run's, and the findings stay one row each.
+    """
+    where = list(dict.fromkeys((by, "handler", "class")))
+    found = differences.where("introduced").groupBy(*where).agg(F.collect_set(track_order(F.col("track"))).alias("on"))
+    each = labels.select(*dict.fromkeys(("case", *where))).join(found, where).groupBy("case").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("on")))).alias("on"))
+    tracks = each.select("case", F.transform("on", lambda i: F.get(F.array(*[F.lit(t) for t in TRACKS]), i)).alias("detecting_tracks"))
     out = labels.join(tracks, "case", "left")
     return out.withColumn("detecting_tracks", F.coalesce("detecting_tracks", F.array().cast("array<string>"))).withColumn("detected", F.size("detecting_tracks") > 0)
 
@@ -43,16 +49,30 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole)
 
 
-def summarize(differences: DataFrame, labels: DataFrame) -> DataFrame:
-    """Recall and precision of each class in each view; precision is null where nothing was reported."""
+def _wrong(differences: DataFrame, labels: DataFrame, by: str) -> DataFrame:
+    """(class, track, n): introduced findings that differ from a case's label in class and handler, over all cases.
+
+    Findings and labels are counted by what they are, and of all that belong to a
+    case those of its class and those of its handler are taken off, and put back
+    where they are both: joins on equal keys, so no findings meet cases in pairs.
+    """
+    both = differences.where("introduced and handler is not null and class is not null").groupBy(by, "track", "handler", "class").agg(F.count(F.lit(1)).alias("n"))
+    label = labels.where("handler is not null and class is not null").groupBy(by, "handler", "class").agg(F.count(F.lit(1)).alias("m"))
+    out = label.join(both.groupBy(by, "track").agg(F.sum("n").alias("n_all")), by)
+    for name, also in (("n_class", ("class",)), ("n_handler", ("handler",)), ("n_both", ("handler", "class"))):
+        out = out.join(both.groupBy(by, "track", *also).agg(F.sum("n").alias(name)), [by, "track", *also], "left").fillna(0, [name])
+    n = F.col("m") * (F.col("n_all") - F.col("n_class") - F.col("n_handler") + F.col("n_both"))
+    return out.groupBy("class", "track").agg(F.sum(n).alias("n")).where("n > 0")
+
+
+def summarize(differences: DataFrame, labels: DataFrame, by: str = "case") -> DataFrame:
+    """Recall and precision of each class in each view; precision is null where nothing was reported. ``by`` as for ``detected``."""
     spark = labels.sparkSession
     of = F.broadcast(views(spark))  # fixed, seven rows
-    cases = detected(differences, labels)
+    cases = detected(differences, labels, by)
     total = labels.groupBy("class").agg(F.count(F.lit(1)).alias("total_cases"))
     hits = cases.select("case", "class", F.explode("detecting_tracks").alias("track")).join(of, "track").groupBy("class", "view").agg(F.countDistinct("case").alias("tp"))
-    label = labels.select("case", F.col("handler").alias("l_handler"), F.col("class").alias("l_class"))
-    wrong = differences.where("introduced").join(label, "case").where("class <> l_class and handler <> l_handler")
-    wrong = wrong.join(of, "track").groupBy(F.col("l_class").alias("class"), "view").agg(F.count(F.lit(1)).alias("fp"))
+    wrong = _wrong(differences, labels, by).join(of, "track").groupBy("class", "view").agg(F.sum("n").alias("fp"))
     frame = total.crossJoin(F.broadcast(views(spark).select("view").distinct()))  # three views
     out = frame.join(hits, ["class", "view"], "left").join(wrong, ["class", "view"], "left").fillna(0, ["tp", "fp"])
     return out.select("class", "view", F.col("tp").alias("true_positives"), "total_cases", F.col("fp").alias("false_positives"), ratio(F.col("tp"), F.col("total_cases")).alias("recall"), ratio(F.col("tp"), F.nullif(F.col("tp") + F.col("fp"), F.lit(0))).alias("precision"))

@@ -140,9 +140,9 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CASES = "dc AS (SELECT c, d.* FROM d JOIN (SELECT DISTINCT doc_id AS c FROM labels) ON d.seq % 400 = c % 400)"
 
 
-def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("case")).distinct().withColumn("k", F.col("case") % 400)
-    return _diff(spark, sf_dir).withColumn("k", F.col("seq") % 400).join(cases, "k").drop("k")
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Differences and labels, each with the number of the run ``k`` that cases share."""
+    return _diff(spark, sf_dir).withColumn("k", F.col("seq") % 400), _labels(spark, sf_dir).withColumn("k", F.col("case") % 400)
 
 
 _ORDER = "CASE track WHEN 'static' THEN 0 WHEN 'llm' THEN 1 ELSE 2 END"
@@ -151,7 +151,7 @@ _ORDER = "CASE track WHEN 'static' THEN 0 WHEN 'llm' THEN 1 ELSE 2 END"
 @query(f"""WITH {_D}, {_LABELS}, {_CASES}, t AS (SELECT DISTINCT lb.c, track FROM lb JOIN dc ON dc.c = lb.c AND dc.handler = lb.handler AND dc.class = lb.class AND introduced)
 SELECT lb.c AS "case", count(track) > 0 AS detected, coalesce(string_agg(track, ',' ORDER BY {_ORDER}), '') AS tracks FROM lb LEFT JOIN t USING (c) GROUP BY lb.c""")
 def diff_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.detected(_cases(spark, sf_dir), _labels(spark, sf_dir)).select("case", "detected", F.array_join("detecting_tracks", ",").alias("tracks"))
+    return E.detected(*_runs(spark, sf_dir), by="k").select("case", "detected", F.array_join("detecting_tracks", ",").alias("tracks"))
 
 
 _V = "v(view, track) AS (VALUES ('static', 'static'), ('static', 'corroborated'), ('llm', 'llm'), ('llm', 'corroborated'), ('merged', 'static'), ('merged', 'llm'), ('merged', 'corroborated'))"
@@ -164,13 +164,13 @@ sr AS (SELECT *, true_positives / total_cases AS recall, true_positives / nullif
 
 @query(f"WITH {_SUMMARY} SELECT class, view, true_positives, total_cases, false_positives, round(recall, 9) AS recall, round(precision, 9) AS precision FROM sr")
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = E.summarize(_cases(spark, sf_dir), _labels(spark, sf_dir))
+    s = E.summarize(*_runs(spark, sf_dir), by="k")
     return s.withColumn("recall", F.round("recall", 9)).withColumn("precision", F.round("precision", 9))
 
 
 @query(f"WITH {_SUMMARY} SELECT class, view, printf('%.3f', recall) AS recall, coalesce(printf('%.3f', precision), '-') AS precision FROM sr")
 def metrics_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = E.summarize(_cases(spark, sf_dir), _labels(spark, sf_dir))
+    s = E.summarize(*_runs(spark, sf_dir), by="k")
     return s.select("class", "view", E.rendered(F.col("recall")).alias("recall"), E.rendered(F.col("precision")).alias("precision"))
 
 
