@@ -10,6 +10,7 @@ from lodestone.functions import html as H
 from lodestone.functions import score as S
 from lodestone.functions import text as X
 from lodestone.operators.chunking import chunk_sources
+from lodestone.memory import bounded
 from lodestone.plans.registry import query
 from lodestone.session import ship, table
 
@@ -68,7 +69,7 @@ def _html_sql(x: str = "html") -> str:
 
 @query(f"SELECT page_id, {_html_sql()} AS text FROM pages")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ship(bounded(spark))
     return table(spark, sf_dir, "pages").select("page_id", H.html_to_text_udf("html").alias("text"))
 
 
@@ -141,7 +142,7 @@ array_to_string(list_sort(list_distinct(list_concat(['web'], list_filter([{", ".
 
 @query(_CHUNKS)
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ship(bounded(spark))
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_id"), "url", F.concat(F.lit("page "), "page_id").alias("title"), H.html_to_text_udf("html").alias("text"), F.array(F.lit("web")).alias("class_tags"))
     out = chunk_sources(pages)
     return out.select("doc_id", "source_id", F.col("chunk_ix").cast("long").alias("chunk_ix"), "source_url", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.array_join("class_tags", ",").alias("class_tags"))

@@ -170,3 +170,21 @@ def test_archives(spark, tmp_path):
     path = f"file:{tmp_path}/a.tar.gz"
     assert sorted(r.path for r in corpus.archive_files(spark, path).collect()) == ["repo-1/doc/b.md", "repo-1/src/a.rs"]
     assert sorted(r.path for r in corpus.archive_files(spark, path, includes=("src/",)).collect()) == ["repo-1/src/a.rs"]
+
+
+def test_pages_reach_python_in_small_batches(spark, tmp_path):
+    """However many pages a partition has, a worker holds a bounded batch of them."""
+    from lodestone.memory import BATCH_BYTES, BATCH_ROWS
+    from lodestone.plans.text_queries import chunk_pages
+
+    spark.createDataFrame([(1, "u", "<h1>A</h1>b")], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    held = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        assert chunk_pages(spark, f"file://{tmp_path}").count() == 1
+        assert {k: int(spark.conf.get(k)) for k in keys} == keys
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
