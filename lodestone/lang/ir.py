@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import compact
 from lodestone.lang.lexer import SyntaxProblem
 from lodestone.lang.parser import parse
+from lodestone.memory import bounded
 from lodestone.session import ship, stored
 
+#: Tasks that parse, for each core.
+DEALT = 3
+
 _PLACE = "name string, line int, end_line int"
 HANDLER = f"{_PLACE}, context_ty string, args array<struct<name:string,ty:string>>, arith array<struct<op:string,line:int,checked:boolean>>, calls array<struct<name:string,line:int,is_cpi:boolean>>, checks array<struct<kind:string,idents:array<string>,text:string,line:int>>, writes array<struct<account:string,line:int>>, sinks array<string>"
 ACCOUNTS = f"{_PLACE}, decls array<struct<name:string,wrapper:string,inner_ty:string,boxed:boolean,optional:boolean,line:int,attr_line:int,attr_end_line:int,constraints:array<struct<kind:string,payload:string>>>>"
@@ -59,9 +63,14 @@ def matched(rows: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
 
 
 def program(files: DataFrame) -> Program:
-    """Parse files (program, path, text), each by itself where it lies; a broken file is a diagnostic."""
-    ship(files.sparkSession)
-    raw = stored(files.select("program", "path", "text").mapInPandas(_parse, "program string, file string, pos int, kind string, row string"), "ir")
+    """Parse files (program, path, text), each by itself; a broken file is a diagnostic.
+
+    Files are dealt to as many tasks as there are cores for, some times over: a
+    table of them may lie in one part, and parsing takes longer than reading.
+    """
+    spark = bounded(ship(files.sparkSession))
+    dealt = files.select("program", "path", "text").repartition(DEALT * spark.sparkContext.defaultParallelism, "program", "path")
+    raw = stored(dealt.mapInPandas(_parse, "program string, file string, pos int, kind string, row string"), "ir")
 
     def of(kind: str, schema: str) -> DataFrame:
         return raw.where(F.col("kind") == kind).select("program", "file", "pos", F.from_json("row", schema).alias("r")).select("program", "file", "pos", "r.*")

@@ -131,3 +131,12 @@ def test_every_oracle_has_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_files_of_one_part_are_parsed_by_many_tasks(spark):
+    """A table of files that lies in one part is dealt before it is parsed."""
+    many = spark.createDataFrame([(f"p{i}", "src/lib.rs", LOCKER) for i in range(64)], "program string, path string, text string").coalesce(1)
+    from lodestone.lang.ir import program
+
+    handlers = program(many).handlers
+    assert handlers.select("program").distinct().count() == 64 and len(handlers.inputFiles()) > 1
