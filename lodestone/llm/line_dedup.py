@@ -231,25 +231,26 @@ def within(s: str, t: str, bound: int) -> bool:
     return False
 
 
-#: Classes of characters that are counted, eight in a number.
-_CLASSES = 16
+#: The numbers that hold a line's counts of characters by class, eight classes in each.
+_SIGNS = ("ga", "gb", "gc", "gd")
 
 
-def signs(text: str) -> tuple[int, int]:
-    """Counts of a text's characters by class, up to 255 each, packed in two numbers."""
-    counts = np.bincount((_codes(text) * np.uint32(0x9E3779B1)) >> np.uint32(28), minlength=_CLASSES)
+def signs(text: str, numbers: int = 2) -> tuple[int, ...]:
+    """Counts of a text's characters by class, up to 255 each, packed in a power of two of numbers."""
+    bits = numbers.bit_length() + 2
+    counts = np.bincount((_codes(text) * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits), minlength=1 << bits)
     return tuple(np.minimum(counts, 255).astype(np.uint8).view("<i8").tolist())
 
 
 def _signed(batches):
     """Lines (d, r, l, t) with their signs in place of the text."""
     for b in batches:
-        got = [signs(t) for t in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([g for g, _ in got], pa.int64()), pa.array([g for _, g in got], pa.int64())], names=["d", "r", "l", "g", "h"])
+        got = [signs(t, len(_SIGNS)) for t in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array([g[k] for g in got], pa.int64()) for k in range(len(_SIGNS))]], names=["d", "r", "l", *_SIGNS])
 
 
 def _apart(*pairs: tuple[str, str]) -> Column:
-    """By how much counts by class differ in all; an edit changes this by two at most."""
+    """By how much counts by class differ in all; an edit changes this, with the difference of the lengths added, by two at most."""
     part = lambda x, k: F.shiftrightunsigned(F.col(x), 8 * k).bitwiseAND(F.lit(255))
     return sum((F.abs(part(x, k) - part(y, k)) for x, y in pairs for k in range(8)), F.lit(0))
 
@@ -267,6 +268,31 @@ def _class(m: Column) -> tuple[Column, Column]:
     return step, F.floor(m / step).cast("int")
 
 
+def _band(m: Column, per: int) -> Column:
+    """The band of lengths about m; those in the bound of one length lie in two bands at most."""
+    return F.floor(F.log(F.greatest(m, F.lit(1))) * ((per - 2) / 2)).cast("int")
+
+
+def _by_class(used: DataFrame, rest: DataFrame, per: int, columns: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    """The lines of ``rest``, each with the earliest lines (columns with a 2) of the classes of lengths about its bound that share a key with it.
+
+    With the condition returned, which is best asked last, a pair of lines comes
+    out once, at the least of the keys that lead to it. A key that a line has for shorter lines' steps leads to the lines that have it
+    as their own only, and is told apart by its bits turned round.
+    """
+    whole = F.struct(*columns)
+    turned = F.bitwise_not("key")
+    step, of = _class(F.col("n"))
+    offers = used.select(whole.alias("by"), step.alias("step"), of.alias("of"), F.explode(F.when(F.col("own"), F.array("key", turned)).otherwise(F.array("key"))).alias("key"))
+    earliest = offers.groupBy("key", "step", "of").agg(F.min("by").alias("by")).groupBy("by").agg(F.collect_set("key").alias("keys2"))
+    earliest = earliest.select(*[F.col(f"by.{c}").alias(f"{c}2") for c in columns], "keys2", F.explode("keys2").alias("key")).withColumn("band", _band(F.col("n2"), per))
+    lines = rest.groupBy(*columns).agg(F.collect_set(F.when(F.col("own"), F.col("key")).otherwise(turned)).alias("keys"))
+    spread = F.floor(F.col("n") / (per - 1)).cast("int")  # no longer line in the bound is longer than this allows
+    bands = F.sequence(_band(F.col("n") - spread, per), _band(F.col("n") + spread, per))
+    lines = lines.withColumn("band", F.explode(bands)).withColumn("key", F.explode("keys"))
+    return lines.join(earliest, ["key", "band"]), F.col("key") == F.array_min(F.array_intersect("keys", "keys2"))
+
+
 def _far_keys(n: Column, t: Column, per: int) -> Column:
     """A line's keys for the grown bound, each with whether it is the line's own step or one of shorter lines' steps.
 
@@ -302,14 +328,14 @@ def _far(docs: DataFrame, distinct: DataFrame, min_chars: int, per: int) -> Data
     found_keys = stored(keys.join(_small(stored(groups, "far-groups")), "key"), "far-shared")
     forget(keys)
     asked = stored(found_keys.select(*place).distinct(), "far-asked")
-    signed = stored(texts.join(_small(asked), place, "left_semi").select(*place, "t").mapInArrow(lambda batches: returned(_signed(batches)), "d long, r long, l int, g long, h long"), "far-signs")
+    signed = stored(texts.join(_small(asked), place, "left_semi").select(*place, "t").mapInArrow(lambda batches: returned(_signed(batches)), "d long, r long, l int, " + ", ".join(f"{g} long" for g in _SIGNS)), "far-signs")
     used = stored(found_keys.join(_small(signed), place), "far-used")
     forget(found_keys, asked, signed)
-    with_signs = (*place, "n", "g", "h")
+    with_signs = (*place, "n", *_SIGNS)
 
-    def near(pairs: DataFrame) -> DataFrame:
+    def near(pairs: DataFrame, once: Column = F.lit(True)) -> DataFrame:
         bound = F.floor(F.greatest("n", "n2") / per).cast("int")
-        close = pairs.withColumn("bound", bound).where("struct(d2, r2, l2) < struct(d, r, l) and abs(n - n2) <= bound and bound > 1").where(_apart(("g", "g2"), ("h", "h2")) <= 2 * F.col("bound"))
+        close = pairs.withColumn("bound", bound).where("struct(d2, r2, l2) < struct(d, r, l) and abs(n - n2) <= bound and bound > 1").where(_apart(*[(g, f"{g}2") for g in _SIGNS]) + F.abs(F.col("n") - F.col("n2")) <= 2 * F.col("bound")).where(once)
         close = stored(close.select(*place, "d2", "r2", "l2", "bound").distinct(), "far-pairs")
         ends = stored(close.select(*place).union(close.select("d2", "r2", "l2")).distinct(), "far-ends")
         text = stored(_lines(docs, least).join(_small(ends), place).dropDuplicates(place), "far-lines")
@@ -326,16 +352,9 @@ def _far(docs: DataFrame, distinct: DataFrame, min_chars: int, per: int) -> Data
     firsts = used.groupBy("key").agg(F.min(whole).alias("first"), F.min(F.when(F.col("own"), whole)).alias("first_own"))
     by = used.join(firsts, "key").withColumn("by", F.when(F.col("own"), F.col("first")).otherwise(F.col("first_own")))
     settled = near(by.select(*with_signs, *[F.col(f"by.{c}").alias(f"{c}2") for c in with_signs]))
-    # the rest are held to the earliest line of each class of lengths in their bound that has the key: rows in proportion, never pairs of a key
-    step, of = _class(F.col("n"))
-    by_class = used.groupBy("key", step.alias("step"), of.alias("of")).agg(F.min(whole).alias("first"), F.min(F.when(F.col("own"), whole)).alias("first_own"))
-    spread = F.floor(F.col("n") / (per - 1)).cast("int")  # no longer line in the bound is longer than this allows
-    low, high = F.col("n") - spread, F.col("n") + spread
-    classes = lambda w: F.transform(F.sequence(F.floor(low / w).cast("int"), F.floor(high / w).cast("int")), lambda x: F.struct(w.alias("step"), x.alias("of")))
-    steps = F.array_distinct(F.concat(classes(_class(low)[0]), classes(_class(high)[0])))
-    rest = used.join(_small(settled), place, "left_anti").withColumn("c", F.explode(steps)).select(*with_signs, "key", "own", "c.step", "c.of")
-    held = rest.join(by_class, ["key", "step", "of"]).withColumn("by", F.when(F.col("own"), F.col("first")).otherwise(F.col("first_own")))
-    found = settled.union(near(held.select(*with_signs, *[F.col(f"by.{c}").alias(f"{c}2") for c in with_signs])))
+    # the rest are held to the earliest line of each class of lengths in their bound that has one of their keys: rows in proportion, never pairs of a key
+    rest = used.join(_small(settled), place, "left_anti")
+    found = settled.union(near(*_by_class(used, rest, per, with_signs)))
     forget(used)
     return found
 

@@ -445,3 +445,63 @@ def test_recall_of_near_lines_of_the_small_table(spark):
                 want.add(y if first[y] > first[x] else x)
     kept = {(r.d, r.l) for r in line_dedup.kept_places(docs, per=20).collect()}
     assert {x for x in lines if first[x] not in kept} == want and len(want) > 100
+
+
+def test_a_common_passage_gives_each_pair_of_lines_once(spark):
+    """Lines that share a passage and thus many keys: rows of the last step are pairs, not keys of pairs, and earliest lines by length are all asked."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    passage = " ".join(word() for _ in range(40))
+    lines = [" ".join([*[word() for _ in range(rng.randint(3, 9))], passage]) for _ in range(120)]
+    lines += [x[:-8] + "zzzz" + x[-4:] for x in lines[60:80]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    place = ["d", "r", "l"]
+    texts = line_dedup._lines(docs, 38)
+    signed = texts.mapInArrow(line_dedup._signed, "d long, r long, l int, " + ", ".join(f"{g} long" for g in line_dedup._SIGNS))
+    n = F.length("t")
+    used = texts.select(*place, n.alias("n"), F.explode(line_dedup._far_keys(n, F.col("t"), 20)).alias("k")).select(*place, "n", "k.*").join(signed, place)
+    columns = (*place, "n", *line_dedup._SIGNS)
+    pairs, once = line_dedup._by_class(used, used, 20, columns)
+    every = collections.Counter((r.d, r.d2) for r in pairs.select("d", "d2").collect())
+    got = collections.Counter((r.d, r.d2) for r in pairs.where(once).select("d", "d2").collect())
+    assert set(got) == set(every) and max(got.values()) == 1 and max(every.values()) > 3
+    # by hand: the earliest line of each key and length, where the bound of lengths holds
+    keys, size = collections.defaultdict(set), {}
+    for r in used.collect():
+        keys[r.key].add((r.d, r.own))
+        size[r.d] = r.n
+    want = set()
+    for held in keys.values():
+        for d, own in held:
+            first = {}
+            for e, theirs in sorted(held):
+                if theirs or own:
+                    first.setdefault(size[e], e)
+            want |= {(d, e) for m, e in first.items() if abs(m - size[d]) <= max(m, size[d]) // 20}
+    assert want <= set(got)
+    left = {r.d for r in line_dedup.kept_places(docs, per=20).collect()}
+    assert left.isdisjoint(range(120, 140)) and len(left) > 100
+
+
+def test_more_signs_rule_out_more_and_never_near_lines(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    rows, names = [], line_dedup._SIGNS
+    for k in range(300):
+        a = "".join(rng.choice("abcdefghijklmnopé東 ") for _ in range(rng.choice([1, 20, 200, 6000])))
+        b, edits = list(a), rng.randint(0, 9)
+        for _ in range(edits):
+            p = rng.randint(0, len(b))
+            b[p : p + rng.randint(0, 1)] = rng.choice(["", "x", "東"])
+        b = "".join(b)
+        rows.append((edits, len(a), len(b), *line_dedup.signs(a, len(names)), *line_dedup.signs(b, len(names))))
+    schema = "e int, n int, n2 int, " + ", ".join(f"{g} long" for g in (*names, *[f"{g}2" for g in names]))
+    apart = line_dedup._apart(*[(g, f"{g}2") for g in names]) + F.abs(F.col("n") - F.col("n2"))
+    assert all(r.x <= 2 * r.e for r in spark.createDataFrame(rows, schema).select("e", apart.alias("x")).collect())
